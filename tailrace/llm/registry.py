@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tailrace.llm import mixing, simhash
+from tailrace.llm import licenses, linededup, mixing, simhash
 from tailrace.llm.common import table
 
 
@@ -18,8 +19,16 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op5_simhash_pivots)}
+    return {f.__name__: f for f in (op3_source_mix, op5_simhash_pivots, op6_line_chunks, op10_license_rules)}
 
 
 OP3_SQL = r"""
@@ -43,5 +52,21 @@ FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS k, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, k, len(lines) AS n_lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+e AS (SELECT *, i = n_lines OR ((coalesce(lag(h) OVER w, 0) % 2147483647) * 1000003 + h) % 2147483647 % 3 = 0 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+c AS (SELECT rid, doc_id, k, n_lines, c, count(*) AS n, min(i) AS lo, string_agg(line, chr(10) ORDER BY i) AS txt FROM g GROUP BY ALL),
+f AS (SELECT *, n >= 2 AND regexp_matches(txt, '[^\x20\x09-\x0D]') AS counts FROM c),
+p AS (SELECT *, min(k) OVER (PARTITION BY txt, counts) AS first, row_number() OVER (PARTITION BY rid, txt ORDER BY lo) AS place FROM f),
+r AS (SELECT *, counts AND (first < k OR place > 1) AS gone FROM p)
+SELECT doc_id, n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(txt, chr(10) ORDER BY lo) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY rid, doc_id, n_lines
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": OP3_SQL}
+    return {"op3_source_mix": OP3_SQL, "op6_line_chunks": OP6_SQL}
