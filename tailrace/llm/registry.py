@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import bpe, licenses, linededup, mixing, quality, simhash
+from tailrace.llm import bpe, chat, knn, licenses, linededup, mixing, quality, simhash, webp
 from tailrace.llm.common import table
 
 
@@ -18,6 +18,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    members, packs = chat.chat_format(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    return members.join(chat.read_back(packs), "conversation").drop("conversation")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +41,24 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = webp.from_media(webp.to_media(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,8 +69,30 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_bpe_automaton, op5_simhash_pivots, op6_line_chunks, op9_compression_quality, op10_license_rules)}
+    return {f.__name__: f for f in (op1_chat_prefix_tree, op3_source_mix, op4_bpe_automaton, op5_simhash_pivots, op6_line_chunks, op7_lossless_webp, op8_voronoi_topk, op9_compression_quality, op10_license_rules)}
+
+
+OP1_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length(role || text) + 33 + len(regexp_extract_all(role, p)) + len(regexp_extract_all(text, p)) AS n
+      FROM c, (SELECT '[<\[]\\*(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])' AS p))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -85,4 +132,4 @@ FROM r GROUP BY rid, doc_id, n_lines
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": OP3_SQL, "op6_line_chunks": OP6_SQL}
+    return {"op1_chat_prefix_tree": OP1_SQL, "op8_voronoi_topk": OP8_SQL, "op3_source_mix": OP3_SQL, "op6_line_chunks": OP6_SQL}
