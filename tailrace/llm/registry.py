@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import bpe, chat, knn, licenses, linededup, mixing, quality, simhash, webp
+from tailrace.llm import bpe, chat, knn, licenses, linededup, mixing, quality, simhash, substring, webp
 from tailrace.llm.common import table
 
 
+def op2_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the tokenizer's file is on every machine."""
     import public_tokenizers
@@ -69,7 +75,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_prefix_tree, op3_source_mix, op4_bpe_automaton, op5_simhash_pivots, op6_line_chunks, op7_lossless_webp, op8_voronoi_topk, op9_compression_quality, op10_license_rules)}
+    return {f.__name__: f for f in (op1_chat_prefix_tree, op2_substring_automata, op3_source_mix, op4_bpe_automaton, op5_simhash_pivots, op6_line_chunks, op7_lossless_webp, op8_voronoi_topk, op9_compression_quality, op10_license_rules)}
 
 
 OP1_SQL = r"""
@@ -94,6 +100,20 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS i FROM f WHERE first < doc_id),
+n AS (SELECT rid, list(i) AS gone, count(*) AS n FROM c GROUP BY rid),
+x AS (SELECT d.rid, doc_id, w, n, unnest(CASE WHEN len(w) = 0 THEN [0] ELSE range(1, len(w) + 1) END) AS i FROM d LEFT JOIN n ON d.rid = n.rid),
+k AS (SELECT x.*, c.i IS NULL AS stays FROM x LEFT JOIN c ON x.rid = c.rid AND x.i = c.i)
+SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, coalesce(any_value(n), 0) AS n_removed,
+       sha256(coalesce(string_agg(w[i], ' ' ORDER BY i) FILTER (stays AND i > 0), '')) AS kept_sha256
+FROM k GROUP BY rid, doc_id
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                   md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))) AS k FROM documents),
@@ -132,4 +152,4 @@ FROM r GROUP BY rid, doc_id, n_lines
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_tree": OP1_SQL, "op8_voronoi_topk": OP8_SQL, "op3_source_mix": OP3_SQL, "op6_line_chunks": OP6_SQL}
+    return {"op1_chat_prefix_tree": OP1_SQL, "op2_substring_automata": OP2_SQL, "op8_voronoi_topk": OP8_SQL, "op3_source_mix": OP3_SQL, "op6_line_chunks": OP6_SQL}
