@@ -40,13 +40,14 @@ def chunk_ends(hashes: Column, window: int = WINDOW, divisor: int = DIVISOR) ->
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with lines and chunks: array of (lo, n), the first line's number from 1 and
+    """docs(doc_id, text, ...) with lines and chunks in the place of text: array of (lo, n), the first line's number from 1 and
     the number of lines."""
-    with_lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    with_lines = docs.select("doc_id", *rest, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     ends = with_lines.withColumn("hashes", line_hashes(F.col("lines"))).withColumn("ends", chunk_ends(F.col("hashes")))
     before = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(j, F.lit(1))))
     chunks = F.transform("ends", lambda e, j: F.struct((before(j) + 1).alias("lo"), (e - before(j)).alias("n")))
-    return ends.select("doc_id", "lines", chunks.alias("chunks"))
+    return ends.select("doc_id", *rest, "lines", chunks.alias("chunks"))
 
 
 def chunk_text(chunk: Column) -> Column:
@@ -54,19 +55,22 @@ def chunk_text(chunk: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept), a row for each row of docs; kept is the text that is left.
+    """(doc_id, row, n_lines, n_removed, kept), a row for each row of docs: row is all of it as it was
+    but for the text, kept the text that is left.
 
     A chunk of at least `least_lines` lines with something other than white space stays at its first
     place - the smallest doc_id, there the first line - and is removed at every other place. Rows
     that share a doc_id are versions of one document: the chunk stays in each version, at its first
     place there. Rows without doc_id come after all others and are treated alike among themselves.
-    Null text counts as empty: one line, never removed. Empty table: no rows. Other columns are ignored.
+    Null text counts as empty: one line, never removed. Empty table: no rows. Other columns
+    are carried along in row, whatever their names.
     """
     last = F.lit((1 << 63) - 1)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string"))
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string"), row)
     # only chunks that may count leave the row, as hashes
     several = F.filter("chunks", lambda c: (c["n"] >= least_lines) & F.rlike(chunk_text(c), F.lit(WORD)))
-    hashes = checkpointed(chunked(docs).select("doc_id", F.explode(F.transform(several, lambda c: F.xxhash64(chunk_text(c)))).alias("hash")))
+    hashes = checkpointed(chunked(docs.select("doc_id", "text")).select("doc_id", F.explode(F.transform(several, lambda c: F.xxhash64(chunk_text(c)))).alias("hash")))
     # one exchange of the texts; both reads of it below are the same exchange
     rows = chunked(docs.repartition(partitions(docs), "doc_id"))
     repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -89,7 +93,16 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     kept = F.when(F.col("elsewhere").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform("stays", chunk_text), "\n"))
     return marked.select(
         F.nullif("doc_id", last).alias("doc_id"),
+        "row",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - n_kept).cast("long").alias("n_removed"),
         kept.alias("kept"),
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the text that is left of each, n_chars after it if there is such a column; rows go
+    of which nothing but white space is left where something was removed."""
+    found = line_dedup(docs).where((F.col("n_removed") == 0) | F.rlike("kept", F.lit(WORD)))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -44,7 +44,7 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.llm.common import blocks, checkpointed, components, partitions
@@ -171,13 +171,11 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row for each class of near-duplicates: the row of the smallest doc_id, of
-    several such rows that of the smallest text. Classes without any doc_id keep the smallest text."""
+    """docs with one row for each class of near-duplicates: that of the smallest doc_id, of several
+    such rows the one with the smallest text. Rows without doc_id cannot be told apart and stay."""
     names = docs.columns
-    of = simhash_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
-    kept = docs.join(of, docs["doc_id"].eqNullSafe(of["doc_id"]), "left").select(*(docs[c] for c in names), "__component")
-    chosen = kept.where("doc_id <=> __component")
-    # repeated ids: one row each; min of a struct combines before the shuffle
-    order = [c for c in names if c not in ("doc_id", "text")]
-    one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", *order)).alias("__row"))
-    return one.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in names))
+    found = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(found, docs["doc_id"].cast("long") == found["__id"])
+    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
+    one = kept.withColumn("__n", first).where("__n = 1").select(*(docs[c] for c in names))
+    return one.unionByName(docs.where("doc_id is null"))
