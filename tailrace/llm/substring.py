@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tailrace.llm.common import blocks, partitions
 
@@ -204,8 +205,8 @@ def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, fragments, masks): the fragments of each document that have windows which a smaller
-    document has too, and which windows these are, as bits. held: docs dealt by doc_id."""
+    """(key, fragments, masks): the fragments of each document that have windows which a smaller
+    document has too, and which windows these are, as bits. held: docs dealt by key, the doc_id."""
     n = partitions(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,18 +216,20 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
             start, _, anchor, name = fragments(words, document, window, gram)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(ids[document[start]])], names=["anchor", "fragment", "doc_id"])
 
-    found = docs.where("doc_id is not null").mapInArrow(cut, "anchor long, fragment long, doc_id long").repartition(n, "anchor")
+    # without nulls no filter is put before one use of the exchange and not the other: it is made once
+    whole = T.StructType([T.StructField(c, T.LongType(), False) for c in ("anchor", "fragment", "doc_id")])
+    found = docs.where("doc_id is not null").mapInArrow(cut, whole).repartition(n, "anchor")
     distinct = found.groupBy("anchor", "fragment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     mine = found.join(shared.select("anchor", "n", "low"), "anchor").where("doc_id > low")
     alone = mine.where("n = 1").select("doc_id", "fragment", F.lit(-1).cast("long").alias("mask"))
 
     # the words of the other distinct fragments, from the smallest document of each
-    wanted = distinct.join(shared.where("n > 1").select("anchor"), "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("fragment").alias("wanted"))
+    wanted = distinct.join(shared.where("n > 1").select("anchor"), "anchor").groupBy(F.col("low").alias("key")).agg(F.collect_list("fragment").alias("wanted"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 2_000_000):
-            ids, want = b.column("doc_id").to_pylist(), b.column("wanted").to_pylist()
+            ids, want = b.column("key").to_pylist(), b.column("wanted").to_pylist()
             words, document = batch_words([(t or "").encode() for t in b.column("text").to_pylist()])
             start, count, anchor, name = fragments(words, document, window, gram)
             name = name.view(np.int64)
@@ -257,12 +260,13 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
         if waiting:
             yield emit()
 
-    reference = held.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(spell, "anchor long, fragment long, low long, words binary")
+    # the same columns as in the other use of the exchange
+    reference = held.join(wanted, "key").select("key", "doc_id", "text", "wanted").mapInArrow(spell, "anchor long, fragment long, low long, words binary")
     lows = reference.repartition(n, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(stream, "anchor long, fragment long, lows array<long>")
     several = mine.where("n > 1").select("anchor", "fragment", "doc_id").join(lows, ["anchor", "fragment"])
     bits = F.aggregate(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
     several = several.select("doc_id", "fragment", bits.alias("mask")).where("mask <> 0")
-    return alone.unionAll(several).groupBy("doc_id").agg(F.collect_list("fragment").alias("fragments"), F.collect_list("mask").alias("masks"))
+    return alone.unionAll(several).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("fragment").alias("fragments"), F.collect_list("mask").alias("masks"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -275,17 +279,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = docs.repartition(partitions(docs), "doc_id")
+    # rows without doc_id are dealt by their text; they find nothing
+    key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
+    held = docs.select(key, "doc_id", "text").repartition(partitions(docs), "key")
     gone = repeated_windows(docs, held, window, gram)
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
         for b in blocks(batches, "text", 1_000_000):
             rows = []
-            for text, names, masks in zip(*(b.column(c).to_pylist() for c in ("text", "fragments", "masks")), strict=True):
+            for doc_id, text, names, masks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "fragments", "masks")), strict=True):
                 data = (text or "").encode()
                 words = data.split()
-                if not names:
+                if not names or doc_id is None:
                     rows.append((len(words), [], b" ".join(words)))
                     continue
                 hashes = word_hashes(data)
@@ -308,5 +314,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             new = [pa.array([r[i].decode() for r in rows] if i == 2 else [r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *new], names=["doc_id", "n_words", "spans", "kept"])
 
-    joined = held.join(gone, "doc_id", "left").select("doc_id", "text", "fragments", "masks")
+    joined = held.join(gone, "key", "left").select("doc_id", "text", "fragments", "masks")
     return joined.mapInArrow(take_out, "doc_id long, n_words long, spans array<struct<start:int,n:int>>, kept string")
