@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,27 @@ from pyspark.sql import functions as F
 from tailrace.llm.common import blocks
 
 #: Kept words and arcs of a worker process; beyond that the store is emptied and fills anew.
-WORDS, ARCS = 250_000, 1_000_000
+WORDS, ARCS = 250_000, 500_000
+#: Bytes of text of one step.
+TEXT_BYTES = 1_000_000
+#: Keys of a path's tokens, inside a word and at its end.
+INSIDE, LAST = 0, 1
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def narrowed(pattern: str) -> re.Pattern:
+    """The pattern for texts of the first 256 signs, its classes written out."""
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        signs = "".join(re.escape(c) for c in map(chr, range(256)) if regex.match(name, c))
+        pattern = pattern.replace(name, signs)
+    return re.compile(pattern)
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +77,17 @@ class Automaton:
             if self.made[ab] < 0:
                 self.left[ab], self.right[ab], self.made[ab] = a, b, rank
         self.never = never
-        self.longest = max(map(len, vocabulary), default=0)
+        # labels letter by letter; under INSIDE and LAST the token that ends there, without and with the suffix
+        self.paths: dict = {}
+        for label, i in vocabulary.items():
+            last = bool(suffix) and label.endswith(suffix)
+            letters, node = label[: -len(suffix)] if last else label, self.paths
+            for c in letters:
+                node = node.setdefault(c, {})
+            if letters and self.whole(i):
+                node[LAST if last or not suffix else INSIDE] = i
+                if not suffix:
+                    node[INSIDE] = i
         self.arcs: dict[int, bool] = {}
 
     def arc(self, state: int, token: int) -> bool:
@@ -77,29 +108,29 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """The tokens of one word, given as its bytes' letters."""
-        n, ids, arcs, longest = len(word), self.ids, self.arcs, self.longest
-        if not n:
-            return []
+        n, arcs, paths = len(word), self.arcs, self.paths
         if len(arcs) > ARCS:
             arcs.clear()
         last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end] + tail)
-                if token is None or (start and last[start] < 0):
+        for start in range(n):
+            state, node = last[start], paths
+            if start and state < 0:
+                continue
+            for end in range(start + 1, n + 1):
+                node = node.get(word[end - 1])
+                if node is None:
+                    break
+                token = node.get(LAST if end == n else INSIDE)
+                if token is None or last[end] >= 0:
                     continue
                 if start:
-                    key = last[start] << 32 | token
+                    key = state << 32 | token
                     ok = arcs.get(key)
                     if ok is None:
-                        ok = arcs[key] = self.arc(last[start], token)
+                        ok = arcs[key] = self.arc(state, token)
                     if not ok:
                         continue
-                elif not self.whole(token):
-                    continue
                 last[end], begin[end] = token, start
-                break
         out, at = [], n
         while at:
             if last[at] < 0:
@@ -136,9 +167,11 @@ class Tokenizer:
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {a["content"]: a["id"] for a in description.get("added_tokens", [])}
-        self.labels = {i: s for i, s in enumerate(self.automaton.labels)} | {i: s for s, i in self.special.items()}
+        labels = {i: s for i, s in enumerate(self.automaton.labels)} | {i: s for s, i in self.special.items()}
+        self.labels = pa.array([labels.get(i, "") for i in range(max(labels) + 1)], pa.string())
         steps = description["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        self.narrow = narrowed(self.split.pattern)
         kinds = [s["type"] for s in description["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or description.get("decoder"):
             raise ValueError("this kind of tokenizer file is not supported")
@@ -146,35 +179,60 @@ class Tokenizer:
         self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if self.special else None
         self.letters, self.known = byte_letters(), {}
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
+        """The word's ids, four bytes each."""
         letters = self.letters
         if len(self.known) > WORDS:
             self.known.clear()
-        out = self.known[word] = tuple(self.automaton.encode("".join([letters[b] for b in word.encode()])))
+        out = self.known[word] = np.array(self.automaton.encode("".join([letters[b] for b in word.encode()])), dtype=np.int32).tobytes()
         return out
 
     def words(self, piece: str) -> list[str]:
         text = unicodedata.normalize("NFC", piece)
         # lower case letter by letter: no special form at the end of a word
-        return self.split.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        return (self.narrow if text.isascii() or latin(text) else self.split).findall(text)
 
-    def plain(self, piece: str) -> list[int]:
+    def plain(self, piece: str) -> bytes:
         known = self.known
-        return list(chain.from_iterable([known.get(w) or self.word(w) for w in self.words(piece)]))
+        return b"".join([known.get(w) or self.word(w) for w in self.words(piece)])
 
-    def encode(self, text: str) -> list[int]:
+    def ids(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
             return self.plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += self.plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out += [self.plain(text[at : m.start()]), np.int32(self.special[m[0]]).tobytes()]
             at = m.end()
-        return out + self.plain(text[at:])
+        return b"".join([*out, self.plain(text[at:])])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.ids(text), dtype=np.int32).tolist()
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        of = [self.ids(t or "") for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in of)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(of), dtype=np.int32))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.StringArray:
+        """The labels of each list's arcs, a space between them; ids that are none give nothing, no
+        ids or null an empty text."""
+        return spelled(ids, self.labels)
 
     def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs, a space between them; ids that are none of the vocabulary give nothing."""
-        return " ".join([s for s in map(self.labels.get, ids) if s is not None])
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+
+def spelled(ids: pa.ListArray, words: pa.StringArray) -> pa.StringArray:
+    """words[id] of each list's ids, joined by a space."""
+    ids = pc.fill_null(ids, []) if ids.null_count else ids
+    flat, ends = ids.flatten(), np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())].astype(np.int32)
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(words)))
+    if not pc.all(known, min_count=0).as_py():
+        keep = known.to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(keep)][ends].astype(np.int32)
+        flat = flat.filter(known)
+    return pc.binary_join(pa.ListArray.from_arrays(ends, words.take(flat)), " ")
 
 
 @lru_cache(maxsize=2)
@@ -190,11 +248,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in blocks(batches, "text", 1_000_000):
-            ids = [t.encode(x or "") for x in b.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+        for b in blocks(batches, "text", TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), t.encode_all(b.column("text").to_pylist())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -205,22 +260,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                texts = [t.decode(x or []) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                ids = part.column("ids")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, t.decode_all(ids)], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode and decode."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode and decode return: the same calls,
+    in one stage, so that neither ids nor decoded texts leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = hashlib.sha256
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            rows = [[len(x) for x in ids], [sha(" ".join(map(str, x)).encode()).hexdigest() for x in ids], [sha((x or "").encode()).hexdigest() for x in b.column("decoded").to_pylist()]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decode(encode(docs, path), path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        t, sha = tokenizer(path), hashlib.sha256
+        decimal = pa.array(map(str, range(len(t.labels))), pa.string())
+        for b in blocks(batches, "text", TEXT_BYTES):
+            ids = t.encode_all(b.column("text").to_pylist())
+            shas = [pa.array([sha(x.as_buffer()).hexdigest() for x in texts.cast(pa.binary())], pa.string()) for texts in (spelled(ids, decimal), t.decode_all(ids))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *shas], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
