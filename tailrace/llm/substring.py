@@ -214,7 +214,11 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
             ids = b.column("doc_id").to_numpy()
             words, document = batch_words([(t or "").encode() for t in b.column("text").to_pylist()])
             start, _, anchor, name = fragments(words, document, window, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(ids[document[start]])], names=["anchor", "fragment", "doc_id"])
+            # what a document repeats counts once
+            of = document[start]
+            order = np.lexsort((name, of))
+            once = order[np.r_[True, (name[order][1:] != name[order][:-1]) | (of[order][1:] != of[order][:-1])][: len(order)]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[once].view(np.int64)), pa.array(name[once].view(np.int64)), pa.array(ids[of[once]])], names=["anchor", "fragment", "doc_id"])
 
     # without nulls no filter is put before one use of the exchange and not the other: it is made once
     whole = T.StructType([T.StructField(c, T.LongType(), False) for c in ("anchor", "fragment", "doc_id")])
