@@ -132,13 +132,15 @@ def cjk_pairs(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
 
 
+def plain_words(text: Column, shortest: int = 2) -> Column:
+    """Lower-cased words without punctuation and stop words."""
+    words = F.split(F.lower(F.translate(text, PUNCTUATION, "")), FLAGS + r"\s+")
+    return F.filter(words, lambda w: (F.length(w) >= shortest) & ~w.isin(*STOP_WORDS["en"]))
+
+
 def keywords(text: Column, language: str = "en", most: int = 10, shortest: int = 2) -> Column:
     """The most frequent words without stop words, ties in order of appearance."""
-    if language == "zh":
-        words = cjk_pairs(text)
-    else:
-        words = F.filter(F.split(F.lower(F.translate(text, PUNCTUATION, "")), FLAGS + r"\s+"), lambda w: w != "")
-    words = F.filter(words, lambda w: (F.length(w) >= shortest) & ~w.isin(*STOP_WORDS[language]))
+    words = F.filter(cjk_pairs(text), lambda w: (F.length(w) >= shortest) & ~w.isin(*STOP_WORDS["zh"])) if language == "zh" else plain_words(text, shortest)
     counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("w")))
     return F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: x["w"])
 

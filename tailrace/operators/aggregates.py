@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailrace.functions.filters import is_error
+from tailrace.functions.text import plain_words
 from tailrace.functions.times import calendar, floor_to
 from tailrace.schema import ERROR_LEVELS
 
@@ -95,5 +96,16 @@ def keyword_counts(texts: DataFrame, words: Column, n: int = 10) -> DataFrame:
     return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(n)
 
 
+def text_keywords(texts: DataFrame, key: str, most: int = 10, shortest: int = 2) -> DataFrame:
+    """(key, keywords): each text's most frequent words, comma-joined, ties by first appearance. By
+    counting rows: for long texts, where text.keywords would compare all of a text's words."""
+    words = texts.select(key, F.posexplode(plain_words(F.col("message"), shortest)).alias("at", "word"))
+    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "at"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("top"))
+    joined = F.array_join(F.transform("top", lambda x: x["word"]), ",")
+    return texts.select(key).join(top, key, "left").select(key, F.coalesce(joined, F.lit("")).alias("keywords"))
+
+
 def prediction_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.sum("prediction").alias("anomalies"), F.avg("prediction").alias("ratio"))

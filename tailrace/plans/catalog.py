@@ -285,7 +285,7 @@ _PUNCT = text.PUNCTUATION.replace("'", "''")
 u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM c)
 SELECT d.doc_id, coalesce((SELECT string_agg(word, ',' ORDER BY r) FROM r WHERE r.doc_id = d.doc_id AND r <= 5), '') AS keywords FROM documents d""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_join(text.keywords(F.col("message"), most=5), ",").alias("keywords"))
+    return aggregates.text_keywords(docs(spark, sf_dir), "id", 5).withColumnRenamed("id", "doc_id")
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(0, (length(text) + 383) // 384)) AS i FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST((length(text) + 383) // 384 AS INTEGER) AS total_chunks, substr(text, i * 384 + 1, 512) AS chunk FROM c""")
@@ -408,18 +408,18 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merge(a, b)
 
 
-_HYBRID = f"""d AS (SELECT *, 'ERROR' AS log_level, 'svc-' || (id % 8) AS service_name, 1704067200 + id * 100 AS pos FROM docs), {_BM25.replace('@TERMS', _TERMS)}, vec AS (SELECT vec_id AS id, {_COSINE} AS score FROM embeddings e, {_FIRST} ORDER BY score DESC, vec_id LIMIT 50), vd AS (SELECT vec.* FROM vec JOIN docs USING (id)),
-h AS (SELECT id, coalesce(lex.score, 0) AS es_score, coalesce(vd.score, 0) AS vector_score FROM lex FULL JOIN vd USING (id)), hits AS (SELECT h.*, message, service_name, pos FROM h JOIN d USING (id)), {_TFIDF.replace('@HITS', 'hits')},
+_HYBRID = f"""dd AS (SELECT *, 'ERROR' AS log_level, 'svc-' || (id % 8) AS service_name, 1704067200 + id * 100 AS pos FROM docs), {_BM25.replace('@TERMS', _TERMS)}, vec AS (SELECT vec_id AS id, {_COSINE} AS score FROM embeddings e, {_FIRST} ORDER BY score DESC, vec_id LIMIT 50), vd AS (SELECT vec.* FROM vec JOIN docs USING (id)),
+h AS (SELECT id, coalesce(lex.score, 0) AS es_score, coalesce(vd.score, 0) AS vector_score FROM lex FULL JOIN vd USING (id)), hits AS (SELECT h.*, message, service_name, pos FROM h JOIN dd USING (id)), {_TFIDF.replace('@HITS', 'hits')},
 c AS (SELECT *, lag(pos) OVER w AS a1, lag(service_name) OVER w AS s1, lead(pos) OVER w AS a2, lead(service_name) OVER w AS s2 FROM hits WINDOW w AS (ORDER BY pos, id)),
 k AS (SELECT *, CASE WHEN abs(pos - a1) < 300 THEN 1 + (1 - abs(pos - a1) / 300e0) * 0.2e0 ELSE 1 END * CASE WHEN s1 = service_name THEN 1.05e0 ELSE 1 END * CASE WHEN abs(pos - a2) < 300 THEN 1 + (1 - abs(pos - a2) / 300e0) * 0.2e0 ELSE 1 END * CASE WHEN s2 = service_name THEN 1.05e0 ELSE 1 END AS ctx FROM c),
 m AS (SELECT *, ctx / greatest(1, max(ctx) OVER ()) AS context_score, {_EFFECTIVE.replace('@M', 'message')} AS n FROM k),
-s AS (SELECT m.id, (0.5e0 * es_score + 0.35e0 * vector_score) AS base, {_RELEVANCE} AS lang, {_KEYWORD} AS kw, coalesce(tfidf, 0) AS tfidf, context_score, {_PENALTY.replace('@M', 'message')} AS pen,
+ss AS (SELECT m.id, (0.5e0 * es_score + 0.35e0 * vector_score) AS base, {_RELEVANCE} AS lang, {_KEYWORD} AS kw, coalesce(tfidf, 0) AS tfidf, context_score, {_PENALTY.replace('@M', 'message')} AS pen,
   CASE WHEN length(message) = 0 THEN 0 ELSE least(1e0, least(length(message), {len(QUERY)}) / greatest(length(message), {len(QUERY)}) * 0.2e0 + CASE WHEN regexp_matches(message, '[a-zA-Z]') THEN 1e0 ELSE 0.7e0 END * 0.3e0 + 1.5e0 * 0.3e0) END AS mt,
   CASE WHEN 1706745600 - pos < 3600 THEN 1.2e0 WHEN 1706745600 - pos < 86400 THEN 1.1e0 WHEN 1706745600 - pos < 604800 THEN 1e0 WHEN 1706745600 - pos < 2592000 THEN 0.95e0 ELSE 0.9e0 END AS fresh FROM m LEFT JOIN tfidf USING (id)),
-f AS (SELECT *, (base * 0.3e0 + lang * 0.2e0 + kw * 0.3e0 + mt * 0.1e0 + tfidf * 0.05e0 + (0.9e0 * 0.6e0 + context_score * 0.3e0 + fresh * 0.1e0) * 0.05e0) * pen AS final FROM s)"""
+ff AS (SELECT *, (base * 0.3e0 + lang * 0.2e0 + kw * 0.3e0 + mt * 0.1e0 + tfidf * 0.05e0 + (0.9e0 * 0.6e0 + context_score * 0.3e0 + fresh * 0.1e0) * 0.05e0) * pen AS final FROM ss)"""
 
 
-@query(f"WITH @DOCS, {_HYBRID} SELECT id, CAST(row_number() OVER (ORDER BY round(final, 9) DESC, id) AS INTEGER) AS rank, round(final, 6) AS final_score, round(base, 6) AS base_score, round(context_score, 6) AS context_score FROM f QUALIFY rank <= 20")
+@query(f"WITH @DOCS, {_HYBRID} SELECT id, CAST(row_number() OVER (ORDER BY round(final, 9) DESC, id) AS INTEGER) AS rank, round(final, 6) AS final_score, round(base, 6) AS base_score, round(context_score, 6) AS context_score FROM ff QUALIFY rank <= 20")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.ranked(hybrid_hits(spark, sf_dir), QUERY, NOW, (0.5, 0.35, 0.15), 20, similarity=F.lit(0.0))
     return found.select("id", "rank", F.round("final_score", 6).alias("final_score"), F.round("base_score", 6).alias("base_score"), F.round("context_score", 6).alias("context_score"))
@@ -504,13 +504,8 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH @LOGS, {sessions_sql(1800, 'service_name')} SELECT service_name, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY service_name, session")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
-    # a batch's sessions are complete once the watermark has passed; here the rest is flushed by a read of all
-    found = jobs.error_sessions(logs(spark, sf_dir), "1800 seconds")
-    live = jobs.error_sessions(event_stream(spark, sf_dir), "1800 seconds").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    live.awaitTermination()
-    done = spark.read.schema(found.schema).parquet(f"{folder}/rows")
-    rest = found.join(done.select("service_name", "start"), ["service_name", "start"], "left_anti").select(*found.columns)
-    return done.unionByName(rest).select("service_name", F.unix_micros("start").alias("start_us"), "n")
+    jobs.complete(jobs.error_sessions(event_stream(spark, sf_dir), "1800 seconds"), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("service_name", F.unix_micros("start").alias("start_us"), "n")
 
 
 @query()

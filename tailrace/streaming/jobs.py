@@ -33,6 +33,15 @@ def incremental(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ta
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def complete(result: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Runs an aggregation over all there is; the table at target is its result after each batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def tumbling(logs: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
     """(window_start, log_level, n) with late rows up to the watermark; slide makes windows overlap."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
