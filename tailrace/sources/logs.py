@@ -79,7 +79,10 @@ def latest_per_id(rows: DataFrame, key: str, order: Column | str) -> DataFrame:
 
 def upsert(existing: DataFrame | None, new: DataFrame, key: str = "_id") -> DataFrame:
     """existing with the rows of new in place of those with the same id; of new, one row for each id."""
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in new.columns if c != key and dict(new.dtypes)[c] in ("timestamp", "string", "bigint", "int")))
+    kinds = dict(new.dtypes)
+    plain = [c for c in new.columns if c != key and kinds[c] in ("timestamp", "string", "bigint", "int")]
+    rest = [c for c in new.columns if c not in plain and not kinds[c].startswith("map")]
+    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in plain), F.xxhash64(*rest))
     one = new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     return one if existing is None else existing.join(one.select(key), key, "left_anti").select(*existing.columns).unionByName(one, allowMissingColumns=True)
 
