@@ -18,7 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is repeated this many times at most.
 EPOCHS = 3
 #: Rows of one source in a key range, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Named in the keys: another seed, another order.
 SEED = 7
 
