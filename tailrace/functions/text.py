@@ -9,6 +9,7 @@ import difflib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, FLAGS + pattern, by)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: in a lambda an expression is worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def level_of(text: Column) -> Column:
     """The level a message names: its tag, else the first of the known words, else INFO; "" for ""."""
     tag, low = F.regexp_extract(text, LEVEL_TAG, 1), F.lower(text)
@@ -110,8 +116,8 @@ def key_values(text: Column) -> Column:
     """Map of the pairs in five notations, ASCII keys only; a later notation and place wins."""
     pairs = [F.zip_with(F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(1)), F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(2)), lambda k, v: F.struct(k.alias("k"), v.alias("v"))) for p in KEY_VALUES]
     ascii_only = F.filter(F.concat(*pairs), lambda x: x["k"].rlike(r"^[\x00-\x7f]*$"))
-    last = F.filter(ascii_only, lambda x, i: ~F.exists(F.slice(ascii_only, i + 2, F.size(ascii_only) + 1), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    last = lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, i + 2, F.size(found) + 1), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(once(ascii_only, last))
 
 
 def clean_text(text: Column, **off: bool) -> Column:
@@ -141,8 +147,8 @@ def plain_words(text: Column, shortest: int = 2) -> Column:
 def keywords(text: Column, language: str = "en", most: int = 10, shortest: int = 2) -> Column:
     """The most frequent words without stop words, ties in order of appearance."""
     words = F.filter(cjk_pairs(text), lambda w: (F.length(w) >= shortest) & ~w.isin(*STOP_WORDS["zh"])) if language == "zh" else plain_words(text, shortest)
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda x: x["w"])
+    counted = lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct((-F.size(F.filter(ws, lambda x: x == w))).alias("n"), F.array_position(ws, w).alias("at"), w.alias("w")))
+    return F.transform(F.slice(F.array_sort(once(words, counted)), 1, most), lambda x: x["w"])
 
 
 def chunks(text: Column, size: int = 512, overlap: int = 0) -> Column:
