@@ -17,6 +17,8 @@ from tailrace.llm.common import WORD, checkpointed, partitions
 WINDOW, BASE, MODULUS, DIVISOR = 2, 1_000_003, 2_147_483_647, 3
 #: A chunk of fewer lines is never removed.
 LEAST_LINES = 2
+#: Places of a chunk that one task compares; a chunk with more is dealt to several by doc_id.
+PLACES = 500
 
 
 def line_hashes(lines: Column) -> Column:
@@ -73,13 +75,15 @@ def line_dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     hashes = checkpointed(chunked(docs.select("doc_id", "text")).select("doc_id", F.explode(F.transform(several, lambda c: F.xxhash64(chunk_text(c)))).alias("hash")))
     # one exchange of the texts; both reads of it below are the same exchange
     rows = chunked(docs.repartition(partitions(docs), "doc_id"))
-    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.expr(f"1 + n div {PLACES}").alias("parts"))
     # which documents hold a repeated hash: sums per document and hash, then the texts of those chunks
-    wanted = hashes.distinct().join(repeated, "hash").groupBy("doc_id").agg(F.collect_list("hash").alias("wanted"))
-    places = rows.join(wanted, "doc_id").select("doc_id", F.explode(F.array_distinct(F.filter(F.transform(several, chunk_text), lambda t: F.array_contains("wanted", F.xxhash64(t))))).alias("chunk"))
-    # the comparison of bytes: equal texts form a group, whatever their hashes say
-    first = places.groupBy("chunk").agg(F.min("doc_id").alias("first"))
-    gone = places.join(first, "chunk").groupBy("doc_id").agg(
+    wanted = hashes.distinct().join(repeated, "hash").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "parts"))).alias("wanted"))
+    places = rows.join(wanted, "doc_id").select("doc_id", "wanted", F.explode(F.array_distinct(F.filter(F.transform(several, chunk_text), lambda t: F.map_contains_key("wanted", F.xxhash64(t))))).alias("chunk"))
+    places = places.select("doc_id", "chunk", F.element_at("wanted", F.xxhash64("chunk")).alias("parts")).withColumn("part", F.pmod("doc_id", "parts"))
+    # the comparison of bytes: equal texts form a group, whatever their hashes say; the first place of
+    # a chunk goes to each of the parts that its places are dealt to
+    first = places.groupBy("chunk").agg(F.min("doc_id").alias("first"), F.max("parts").alias("parts")).select("chunk", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    gone = places.join(first, ["chunk", "part"]).groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("first") < F.col("doc_id"), F.col("chunk"))).alias("elsewhere"),
         F.collect_list(F.when(F.col("first") == F.col("doc_id"), F.col("chunk"))).alias("here"),
     )

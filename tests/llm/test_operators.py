@@ -298,6 +298,14 @@ def test_line_dedup(docs):
     assert left.columns == docs(rows).columns and all(x.n_chars == len(x.text) for x in left.collect())
 
 
+def test_line_dedup_deals_a_common_chunk_out(docs, monkeypatch):
+    monkeypatch.setattr(linededup, "PLACES", 3)
+    shared = "\n".join(f"shared {i}" for i in range(12))
+    rows = [(i, f"own {i}\n{shared}\nend {i}") for i in range(-20, 40)] + [(7, shared), (8, f"{shared}\n{shared}")]
+    got = linededup.line_dedup(docs(rows)).collect()
+    assert sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept) for x in got), key=repr) == brute_lines(rows)
+
+
 # ---------------------------------------------------------------- 8 nearest vectors
 
 
