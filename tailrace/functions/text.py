@@ -32,6 +32,7 @@ CLEANING = {
     "numbers": [(r"\b\d+(?:\.\d+)?\b", " [NUM] ")],
 }
 KEY_VALUES = (r"(\w+)=([^,\s]+)", r'(\w+):"([^"]*)"', r"(\w+):'([^']*)'", r"(\w+)->([^,\s]+)", r"(\w+)\s*:\s*([^,\s]+)")
+FRAMEWORK_EXCEPTION = r"(Volo\.Abp\.[A-Za-z\.]+Exception)"
 EXCEPTIONS = (
     ("abp_exception", r"(Volo\.Abp\.[A-Za-z\.]+Exception:.*?)(?=\s+---|\s+at\s+|$)"),
     ("system_exception", r"(System\.[A-Za-z\.]+Exception:.*?)(?=\s+---|\s+at\s+|$)"),
@@ -112,6 +113,21 @@ def exception_columns(text: Column) -> dict[str, Column]:
     return {"exception_type": kind, "exception_class": F.substring_index(message, ":", 1), "exception_message": message}
 
 
+def regex_group(text: Column, pattern: str, group: int) -> Column:
+    """The group of the first match; empty where there is no text or no match."""
+    return F.coalesce(F.regexp_extract(text, FLAGS + pattern, group), F.lit(""))
+
+
+def framework_exception(text: Column) -> Column:
+    """The full name of the framework's first exception in the text, else empty."""
+    return regex_group(text, FRAMEWORK_EXCEPTION, 1)
+
+
+def framework_module(exception: Column) -> Column:
+    """The third part of an exception's dotted name, else empty."""
+    return F.coalesce(F.get(F.split(exception, r"\."), F.lit(2)), F.lit(""))
+
+
 def key_values(text: Column) -> Column:
     """Map of the pairs in five notations, ASCII keys only; a later notation and place wins."""
     pairs = [F.zip_with(F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(1)), F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(2)), lambda k, v: F.struct(k.alias("k"), v.alias("v"))) for p in KEY_VALUES]

@@ -49,8 +49,14 @@ def dbscan(points: DataFrame, similarity: float = 0.92, min_samples: int = 2) ->
     """(id, dup_cluster_id): DBSCAN on cosine distance 1 - similarity; -1 is noise. Clusters are the
     connected components of core points; a border point joins the smallest core next to it. Labels
     count the clusters by their smallest member."""
-    edges = neighbours(points, similarity)
-    degree = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).groupBy("id").agg((F.count("*") + 1).alias("n"))
+    # equal vectors stand together, with their number: copies make no pairs. Zero vectors are near nothing, each alone
+    zero = F.forall("vector", lambda x: x == 0)
+    named = points.select("id", "vector", F.when(zero, F.col("id").cast("string")).otherwise("").alias("__alone"))
+    groups = named.where("vector IS NOT NULL").groupBy("vector", "__alone").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    copies = groups.select(F.col("rep").alias("id"), "copies")
+    edges = neighbours(groups.select(F.col("rep").alias("id"), "vector"), similarity)
+    around = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    degree = around.join(copies.withColumnRenamed("id", "other"), "other").select("id", "copies").unionAll(copies).groupBy("id").agg(F.sum("copies").alias("n"))
     core = degree.where(F.col("n") >= min_samples).select("id")
     inner = edges.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b")
     labels = reach(inner.select("a", "b"))
@@ -59,7 +65,8 @@ def dbscan(points: DataFrame, similarity: float = 0.92, min_samples: int = 2) ->
     rim = rim.join(core, "id", "left_anti").join(labels, "node").groupBy("id").agg(F.min_by("label", "node").alias("label"))
     members = labels.select(F.col("node").alias("id"), "label").unionByName(rim)
     ranked = members.select("label").distinct().withColumn("dup_cluster_id", F.row_number().over(Window.orderBy("label")) - 1)
-    found = members.join(ranked, "label").select("id", "dup_cluster_id")
+    found = members.join(ranked, "label").select(F.col("id").alias("rep"), "dup_cluster_id").join(groups, "rep")
+    found = named.join(found, ["vector", "__alone"]).select("id", "dup_cluster_id")
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("dup_cluster_id", F.lit(-1)).cast("int").alias("dup_cluster_id"))
 
 

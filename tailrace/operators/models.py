@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailrace.functions.text import STOP_WORDS
+from tailrace.operators.dedup import dbscan
 
 #: Rows of the sample that a forest is grown from, of each tree, and trees.
 SAMPLE_ROWS, TREE_ROWS, TREES = 20_000, 256, 100
+#: Density clusters of texts: the distance within which texts are near, and how many make a core.
+EPS, NEAR = 0.5, 5
 
 
 def path_bound(n: int) -> float:
@@ -103,8 +106,14 @@ def vectorise(rows: DataFrame, column: str = "template", **how: float) -> DataFr
 
 
 def cluster(rows: DataFrame, column: str = "template", k: int | None = None, method: str = "kmeans", seed: int = 42) -> DataFrame:
-    """rows with cluster_id by k-means or bisecting (hierarchical) k-means on tf-idf; k defaults to
-    min(20, rows // 100 + 5), at most the number of different texts."""
+    """rows(_id, ...) with cluster_id by k-means, bisecting (hierarchical) k-means or density (dbscan) on
+    tf-idf; k defaults to min(20, rows // 100 + 5), at most the number of different texts. dbscan takes
+    no k: unit vectors within EPS are near, NEAR of them make a core, -1 is noise."""
+    if method == "dbscan":
+        x = vectorise(rows, column)
+        # on unit vectors a distance of EPS is a cosine of 1 - EPS^2 / 2
+        found = dbscan(x.select(F.col("_id").alias("id"), vector_to_array("features").alias("vector")), 1 - EPS**2 / 2, NEAR)
+        return rows.join(found.select(F.col("id").alias("_id"), F.col("dup_cluster_id").alias("cluster_id")), "_id")
     seen = rows.agg(F.count("*").alias("n"), F.count_distinct(column).alias("different")).first()
     k = max(2, min(k or min(20, seen["n"] // 100 + 5), seen["different"] or 2))
     if seen["different"] < 2:

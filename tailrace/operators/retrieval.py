@@ -27,6 +27,8 @@ SCORE_WEIGHTS = {
     "question_query": (0.25, 0.40, 0.15, 0.10, 0.10, 0.00, 0.3, 0.5, 0.2),
     "general": (0.30, 0.30, 0.20, 0.10, 0.05, 0.05, 0.4, 0.4, 0.2),
 }
+# Words that tell a query about errors, and a question.
+ERROR_TERMS, QUESTION_TERMS = ("error", "exception", "fail", "错误", "异常"), ("什么", "如何")
 TECHNICAL_WEIGHTS = {"error_terms": 2.5, "api_terms": 1.8, "auth_terms": 1.8, "db_terms": 1.5, "timeout_terms": 2.0}
 LEVEL_IMPORTANCE = {"FATAL": 1.0, "CRITICAL": 1.0, "ERROR": 0.9, "EXCEPTION": 0.9, "WARN": 0.7, "WARNING": 0.7, "INFO": 0.5, "DEBUG": 0.3, "TRACE": 0.2}
 
@@ -121,6 +123,17 @@ def quality(hits: DataFrame) -> float:
     return hits.orderBy(F.col("score").desc()).limit(5).agg(F.avg("score")).first()[0] or 0.0
 
 
+def heuristic_weights(query: str, weights: Weights) -> tuple[float, float, float]:
+    """(lexical, vector, reranker) by the query's form alone: short or about errors, long or a question,
+    else as set; always as set where dynamic weights are off."""
+    n, low = len(query.split()), query.lower()
+    if weights.dynamic and (n <= 3 or any(t in low for t in ERROR_TERMS)):
+        return 0.5, 0.3, 0.2
+    if weights.dynamic and (n >= 5 or low.endswith("?") or any(t in low for t in QUESTION_TERMS)):
+        return 0.2, 0.6, 0.2
+    return weights.es, weights.vector, weights.rerank
+
+
 def source_weights(kind: str, lexical_mean: float | None, vector_mean: float | None, base: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> tuple[float, float, float]:
     """Weights of the three sources by query type, moved by 0.1 towards a leg whose best scores are
     more than half as high again; they sum to 1."""

@@ -16,6 +16,7 @@ from tailrace.functions import text, times
 from tailrace.functions.masks import first_in_bucket, with_templates
 from tailrace.functions.vectors import neighbours, novelty, top_k
 from tailrace.operators import aggregates, anomaly, dedup, drain, models, patterns, prompting, retrieval
+from tailrace.operators.similar import similar_texts
 from tailrace.plans import pipelines
 from tailrace.sources import logs as sources
 from tailrace.streaming import jobs
@@ -351,11 +352,19 @@ def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_latest(found, 2).select("_id")
 
 
-@query("""WITH h AS (SELECT * FROM embeddings WHERE vec_id < 100), n AS (SELECT * FROM embeddings WHERE vec_id >= 100)
-SELECT n.vec_id AS id, round(min(1 - list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[]))), 6) AS distance, min(1 - list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[]))) > 0.7 AS novel FROM n, h GROUP BY 1""")
+#: One vector of each label, the first; computed over the whole table.
+_LABEL_FIRST = "l AS (SELECT label, arg_min(embedding, vec_id) AS embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY 1)"
+
+
+def label_first(points: DataFrame) -> DataFrame:
+    return points.groupBy("label").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"))
+
+
+@query(f"""WITH {_LABEL_FIRST}, d AS (SELECT e.vec_id AS id, min(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[]))) AS d FROM embeddings e, l GROUP BY 1)
+SELECT id, abs(round(d, 6)) AS distance, d > 0.7 AS novel FROM d""")
 def novelty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return novelty(p.where("id >= 100"), p.where("id < 100"), 0.7).select("id", F.round("distance", 6).alias("distance"), "novel")
+    return novelty(p, label_first(p), 0.7).select("id", F.abs(F.round("distance", 6)).alias("distance"), "novel")
 
 
 _BM25 = """t AS (SELECT id, regexp_extract_all(lower(message), '[a-z]+') AS t FROM docs), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), u AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t), f AS (SELECT id, dl, term, count(*) AS tf FROM u WHERE term IN (@TERMS) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
@@ -446,10 +455,21 @@ def calendar_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in times.calendar(ts).items()), times.freshness(ts, F.lit(NOW).cast("timestamp")).alias("freshness"))
 
 
-@query("SELECT e.vec_id AS id, CAST(arg_min(l.label, (round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])), 9), l.vec_id)) AS BIGINT) AS label FROM embeddings e, embeddings l WHERE l.vec_id < 50 GROUP BY 1")
+@query(f"WITH {_LABEL_FIRST} SELECT e.vec_id AS id, CAST(arg_min(l.label, (round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])), 9), l.vec_id)) AS BIGINT) AS label FROM embeddings e, l GROUP BY 1")
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return models.nearest_label(p, p.where("id < 50").orderBy("id"))
+    return models.nearest_label(p, label_first(p).orderBy("id"))
+
+
+@query()
+def similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_templates(logs(spark, sf_dir)).select(F.col("template_id").alias("id"), F.col("template").alias("text")).distinct()
+    return similar_texts(rows, 0.8)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def density_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.cluster_sizes(models.cluster(with_templates(logs(spark, sf_dir)), "template", method="dbscan"))
 
 
 @query()
