@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tailrace.llm import bpe, linededup, mixing, quality, registry, simhash
 from tailrace.llm.common import table
@@ -31,9 +30,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of each document in the mix."""
-    path = registry.tokenizer_path()
-    found = bpe.decode(bpe.encode(docs, path), path)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, registry.tokenizer_path())
 
 
 STAGES = [("quality", good_quality), ("line_dedup", unique_lines), ("simhash", one_of_near_copies), ("mix", mixed_sources), ("bpe", tokens)]

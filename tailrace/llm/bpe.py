@@ -268,16 +268,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def hexed(texts: pa.StringArray) -> pa.StringArray:
+    """The SHA-256 of each text in UTF-8, lowercase hex."""
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts.cast(pa.binary())], pa.string())
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of what encode and decode return: the same calls in one
+    stage, so that a task has one worker with the automaton and decoded texts stay in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for b in blocks(batches, "text", TEXT_BYTES):
+            ids = t.encode_all(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), ids, hexed(t.decode_all(ids))], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode and decode return: the same calls,
     in one stage, so that neither ids nor decoded texts leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, sha = tokenizer(path), hashlib.sha256
+        t = tokenizer(path)
         decimal = pa.array(map(str, range(len(t.labels))), pa.string())
         for b in blocks(batches, "text", TEXT_BYTES):
             ids = t.encode_all(b.column("text").to_pylist())
-            shas = [pa.array([sha(x.as_buffer()).hexdigest() for x in texts.cast(pa.binary())], pa.string()) for texts in (spelled(ids, decimal), t.decode_all(ids))]
+            shas = [hexed(texts) for texts in (spelled(ids, decimal), t.decode_all(ids))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *shas], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
