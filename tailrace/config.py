@@ -19,9 +19,13 @@ PREFIX = "LOG_AI_"
 
 
 def coerced(text: str) -> Any:  # noqa: ANN401
-    """true, false and null, whole and decimal numbers, JSON lists and objects; else the text."""
+    """true and yes, false and no, none and null, whole and decimal numbers, JSON lists and objects;
+    else the text."""
+    said = {"true": True, "yes": True, "false": False, "no": False, "none": None, "null": None}
+    if text.lower() in said:
+        return said[text.lower()]
     try:
-        return json.loads(text.lower() if text.lower() in ("true", "false", "null") else text)
+        return json.loads(text)
     except ValueError:
         return text
 

@@ -32,6 +32,7 @@ class LogService:
         self.embed, self.reranker = embed, reranker
         self.weights, self.dedup, self.prompts = retrieval.Weights(), DedupConfig(), prompting.Prompts()
         self.known: DataFrame | None = None
+        self.dedup_stats(reset=True)
 
     def health(self) -> dict:
         return {"status": "ok", "vectors": self.points is not None}
@@ -76,8 +77,11 @@ class LogService:
         return sources.scan(self.logs, start_time, end_time, query_filter, None, max_logs)
 
     def process_logs(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, target: str | None = None, algorithm: str = "drain") -> dict:
-        out = pipelines.extract_and_process(self.extract(start_time, end_time, max_logs, query_filter), algorithm=algorithm)
+        rows = self.extract(start_time, end_time, max_logs, query_filter)
+        out = pipelines.extract_and_process(rows, algorithm=algorithm)
         n = sources.save(out["logs"], target)[0] if target else out["logs"].count()
+        seen = rows.count()
+        self.processed, self.removed = self.processed + seen, self.removed + seen - n
         return out | {"record_count": n}
 
     def vectorize_logs(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, content_column: str = "message") -> dict:
@@ -111,6 +115,12 @@ class LogService:
     def dedup_config(self, **changes: float) -> dict:
         return {"current_config": self.dedup.update(**changes)}
 
+    def dedup_stats(self, reset: bool = False) -> dict:
+        """How many rows process_logs has seen and removed as duplicates so far."""
+        if reset:
+            self.processed = self.removed = 0
+        return {"total_processed": self.processed, "total_removed": self.removed, "removal_rate": self.removed / self.processed if self.processed else 0.0}
+
     def classify_query(self, query: str) -> str:
         return prompting.classify_prompt(query)
 

@@ -135,7 +135,8 @@ def test_query_analysis():
 
 
 def test_config(tmp_path):
-    c = Config.load(env={"LOG_AI_SEARCH__TOP_K": "7", "LOG_AI_NEW__FLAG": "TRUE"})
+    c = Config.load(env={"LOG_AI_SEARCH__TOP_K": "7", "LOG_AI_NEW__FLAG": "TRUE", "LOG_AI_NEW__OFF": "no", "LOG_AI_NEW__GONE": "None"})
+    assert c.get("new.off") is False and c.get("new.gone", 1) is None
     assert c.get("search.top_k") == 7 and c.get("new.flag") is True and c.get("a.b", 1) == 1
     c.save(str(tmp_path / "c.json"))
     assert Config.load(str(tmp_path / "c.json"), env={}).values == c.values
