@@ -46,13 +46,15 @@ def reach(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def dbscan(points: DataFrame, similarity: float = 0.92, min_samples: int = 2) -> DataFrame:
-    """(id, dup_cluster_id): DBSCAN on cosine distance 1 - similarity; -1 is noise. Clusters are the
+    """(id, dup_cluster_id): DBSCAN on cosine distance 1 - similarity; -1 is noise. points(id, vector), and
+    copies where a row stands for several. Clusters are the
     connected components of core points; a border point joins the smallest core next to it. Labels
     count the clusters by their smallest member."""
     # equal vectors stand together, with their number: copies make no pairs. Zero vectors are near nothing, each alone
     zero = F.forall("vector", lambda x: x == 0)
-    named = points.select("id", "vector", F.when(zero, F.col("id").cast("string")).otherwise("").alias("__alone"))
-    groups = named.where("vector IS NOT NULL").groupBy("vector", "__alone").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    number = F.col("copies") if "copies" in points.columns else F.lit(1)
+    named = points.select("id", "vector", number.alias("copies"), F.when(zero, F.col("id").cast("string")).otherwise("").alias("__alone"))
+    groups = named.where("vector IS NOT NULL").groupBy("vector", "__alone").agg(F.min("id").alias("rep"), F.sum("copies").alias("copies"))
     copies = groups.select(F.col("rep").alias("id"), "copies")
     edges = neighbours(groups.select(F.col("rep").alias("id"), "vector"), similarity)
     around = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
@@ -66,7 +68,7 @@ def dbscan(points: DataFrame, similarity: float = 0.92, min_samples: int = 2) ->
     members = labels.select(F.col("node").alias("id"), "label").unionByName(rim)
     ranked = members.select("label").distinct().withColumn("dup_cluster_id", F.row_number().over(Window.orderBy("label")) - 1)
     found = members.join(ranked, "label").select(F.col("id").alias("rep"), "dup_cluster_id").join(groups, "rep")
-    found = named.join(found, ["vector", "__alone"]).select("id", "dup_cluster_id")
+    found = named.drop("copies").join(found, ["vector", "__alone"]).select("id", "dup_cluster_id")
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("dup_cluster_id", F.lit(-1)).cast("int").alias("dup_cluster_id"))
 
 

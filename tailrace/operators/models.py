@@ -106,14 +106,15 @@ def vectorise(rows: DataFrame, column: str = "template", **how: float) -> DataFr
 
 
 def cluster(rows: DataFrame, column: str = "template", k: int | None = None, method: str = "kmeans", seed: int = 42) -> DataFrame:
-    """rows(_id, ...) with cluster_id by k-means, bisecting (hierarchical) k-means or density (dbscan) on
+    """rows with cluster_id by k-means, bisecting (hierarchical) k-means or density (dbscan) on
     tf-idf; k defaults to min(20, rows // 100 + 5), at most the number of different texts. dbscan takes
     no k: unit vectors within EPS are near, NEAR of them make a core, -1 is noise."""
     if method == "dbscan":
-        x = vectorise(rows, column)
-        # on unit vectors a distance of EPS is a cosine of 1 - EPS^2 / 2
-        found = dbscan(x.select(F.col("_id").alias("id"), vector_to_array("features").alias("vector")), 1 - EPS**2 / 2, NEAR)
-        return rows.join(found.select(F.col("id").alias("_id"), F.col("dup_cluster_id").alias("cluster_id")), "_id")
+        # each text once, with its number; on unit vectors a distance of EPS is a cosine of 1 - EPS^2 / 2
+        named = rows.withColumn("__key", F.coalesce(column, F.lit("")))
+        x = vectorise(named, "__key").groupBy("__key").agg(F.first("features").alias("features"), F.count("*").alias("copies"))
+        found = dbscan(x.select(F.col("__key").alias("id"), vector_to_array("features").alias("vector"), "copies"), 1 - EPS**2 / 2, NEAR)
+        return named.join(found.select(F.col("id").alias("__key"), F.col("dup_cluster_id").alias("cluster_id")), "__key").drop("__key")
     seen = rows.agg(F.count("*").alias("n"), F.count_distinct(column).alias("different")).first()
     k = max(2, min(k or min(20, seen["n"] // 100 + 5), seen["different"] or 2))
     if seen["different"] < 2:
