@@ -1,14 +1,20 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text becomes its lower-cased words, one space between and around them. Every rule is a keyword, a
-pattern over words, a label, a priority and a weight. A rule's pattern runs only where its keyword
-stands in the text, and no rule is looked at unless one of a few gate strings does. Of the rules'
+pattern over words, a label, a priority and a weight. A rule's pattern runs only where strings stand
+that each of its matches must have; they are read off the pattern, alternative by alternative, and
+the gate before all rules is made of the same strings, so neither loses a hit. Of the rules'
 hits, one that lies inside a hit of higher priority - or of equal priority and longer, or equally
 long and earlier in the rules - is suppressed. All of it happens inside the row: no exchange.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import or_
+from re import _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,81 +22,81 @@ from pyspark.sql import functions as F
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Strings of which every text with a hit has one.
-GATES = ("licen", "copyright", "copyleft", "spdx", "public domain", "all rights reserved", "permission is hereby", "redistribution and use", "gpl", " cc ", " cc0 ", "creative commons", "copied and or modified", "do what the fuck", "provided as is", "proprietary", "confidential", "trade secret", "terms of use", "terms of service")
+#: Strings that a place of a pattern may be; beyond so many the place is passed over.
+MOST_STRINGS = 24
 #: Priorities: full texts and identifiers, statements, names, mentions.
 TEXT, GRANT, NAME, MENTION = 4, 3, 2, 1
 WEIGHTS = {TEXT: 0.98, GRANT: 0.9, NAME: 0.7, MENTION: 0.4}
 
-#: label, keyword, the ways the license is named, its identifier's words; from public license lists.
+#: label, the ways the license is named, its identifier's words; from public license lists.
 FAMILIES = [
-    ("mit", "mit", "mit(?: x11)?|expat", "mit"),
-    ("mit-0", "mit", "mit 0|mit no attribution", "mit 0"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?", "apache 2 0"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd", "bsd 4 clause"),
-    ("0bsd", "bsd", "0bsd|zero clause bsd|bsd zero clause", "0bsd"),
-    ("gpl-2", "2", "(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?2|gplv2", "gpl 2 0"),
-    ("gpl-3", "3", "(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?3|gplv3", "gpl 3 0"),
-    ("gpl", "g", "gnu gpl|gnu general public", "gpl"),
-    ("lgpl-2.1", "2", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?2 1|lgplv2 1", "lgpl 2 1"),
-    ("lgpl-3", "3", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?3|lgplv3", "lgpl 3 0"),
-    ("lgpl", "l", "gnu lgpl|gnu lesser general public|gnu library general public", "lgpl"),
-    ("agpl-3", "a", "(?:gnu )?(?:agpl|affero general public license)(?: version)?(?: v)? ?3|agplv3|gnu affero", "agpl 3 0"),
-    ("gfdl", "free documentation", "gnu free documentation|gnu fdl", "gfdl 1 3"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1", "mpl 1 1"),
-    ("mpl-2", "mozilla", "mozilla public license(?: version)?(?: v)? 2(?: 0)?|mozilla public", "mpl 2 0"),
-    ("epl-1", "eclipse", "eclipse public license(?: version)?(?: v)? 1(?: 0)?", "epl 1 0"),
-    ("epl-2", "eclipse", "eclipse public license(?: version)?(?: v)? 2(?: 0)?|eclipse public", "epl 2 0"),
-    ("edl-1", "eclipse", "eclipse distribution", "bsd 3 clause eclipse"),
-    ("cddl-1", "distribution", "common development and distribution|cddl", "cddl 1 0"),
-    ("cpl-1", "common public", "common public", "cpl 1 0"),
-    ("ibm-pl", "ibm", "ibm public", "ipl 1 0"),
-    ("artistic-1", "artistic", "artistic license(?: version)? 1(?: 0)?", "artistic 1 0"),
-    ("artistic-2", "artistic", "artistic license(?: version)? 2(?: 0)?|perl artistic|artistic", "artistic 2 0"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("libpng", "libpng", "libpng", "libpng"),
-    ("bsl-1", "boost", "boost(?: software)?", "bsl 1 0"),
-    ("busl-1.1", "business source", "business source", "busl 1 1"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("cc0", "cc0", "cc0|creative commons zero", "cc0 1 0"),
-    ("cc-by", "by", "cc by(?: [1-4] [0-9])?|creative commons attribution(?: [1-4] [0-9])?", "cc by 4 0"),
-    ("cc-by-sa", "sa", "cc by sa(?: [1-4] [0-9])?|creative commons attribution share ?alike(?: [1-4] [0-9])?", "cc by sa 4 0"),
-    ("cc-by-nd", "nd", "cc by nd(?: [1-4] [0-9])?|creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [0-9])?", "cc by nd 4 0"),
-    ("cc-by-nc", "nc", "cc by nc(?: [1-4] [0-9])?|creative commons attribution non ?commercial(?: [1-4] [0-9])?", "cc by nc 4 0"),
-    ("cc-by-nc-sa", "nc sa", "cc by nc sa(?: [1-4] [0-9])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd", "nc nd", "cc by nc nd(?: [1-4] [0-9])?|creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [0-9])?", "cc by nc nd 4 0"),
-    ("odbl", "database", "open database|odbl", "odbl 1 0"),
-    ("odc-by", "open data commons", "open data commons attribution|odc by", "odc by 1 0"),
-    ("pddl", "public domain dedication", "public domain dedication and|pddl", "pddl 1 0"),
-    ("ofl-1.1", "font", "sil open font|open font", "ofl 1 1"),
-    ("psf-2", "python", "python software foundation|psf", "psf 2 0"),
-    ("python-2", "python", "python 2 0", "python 2 0"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("php-3", "php", "php(?: license)?(?: version)? 3(?: 0| 01)?|php", "php 3 01"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("openssl", "openssl", "openssl(?: ssleay)?", "openssl"),
-    ("vim", "vim", "vim", "vim"),
-    ("w3c", "w3c", "w3c(?: software)?", "w3c"),
-    ("x11", "x11", "x11|mit x consortium", "x11"),
-    ("ncsa", "ncsa", "university of illinois ncsa(?: open source)?|ncsa", "ncsa"),
-    ("eupl-1.2", "european union", "european union public|eupl", "eupl 1 2"),
-    ("cecill", "cecill", "cecill", "cecill 2 1"),
-    ("ms-pl", "microsoft", "microsoft public|ms pl", "ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal|ms rl", "ms rl"),
-    ("upl-1", "universal permissive", "universal permissive|upl", "upl 1 0"),
-    ("afl-3", "academic free", "academic free", "afl 3 0"),
-    ("osl-3", "open software", "open software", "osl 3 0"),
-    ("sspl-1", "server side", "server side public|sspl", "sspl 1 0"),
-    ("elastic-2", "elastic", "elastic", "elastic 2 0"),
-    ("openrail", "rail", "open ?rail(?: m)?|responsible ai", "openrail"),
+    ("mit", "mit(?: x11)?|expat", "mit"),
+    ("mit-0", "mit 0|mit no attribution", "mit 0"),
+    ("apache-2", "apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?", "apache 2 0"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
+    ("bsd-2-clause", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd 4 clause|4 clause bsd|original bsd", "bsd 4 clause"),
+    ("0bsd", "0bsd|zero clause bsd|bsd zero clause", "0bsd"),
+    ("gpl-2", "(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?2|gplv2", "gpl 2 0"),
+    ("gpl-3", "(?:gnu )?(?:gpl|general public license)(?: version)?(?: v)? ?3|gplv3", "gpl 3 0"),
+    ("gpl", "gnu gpl|gnu general public", "gpl"),
+    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?2 1|lgplv2 1", "lgpl 2 1"),
+    ("lgpl-3", "(?:gnu )?(?:lgpl|lesser general public license)(?: version)?(?: v)? ?3|lgplv3", "lgpl 3 0"),
+    ("lgpl", "gnu lgpl|gnu lesser general public|gnu library general public", "lgpl"),
+    ("agpl-3", "(?:gnu )?(?:agpl|affero general public license)(?: version)?(?: v)? ?3|agplv3|gnu affero", "agpl 3 0"),
+    ("gfdl", "gnu free documentation|gnu fdl", "gfdl 1 3"),
+    ("mpl-1.1", "mozilla public license(?: version)? 1 1", "mpl 1 1"),
+    ("mpl-2", "mozilla public license(?: version)?(?: v)? 2(?: 0)?|mozilla public", "mpl 2 0"),
+    ("epl-1", "eclipse public license(?: version)?(?: v)? 1(?: 0)?", "epl 1 0"),
+    ("epl-2", "eclipse public license(?: version)?(?: v)? 2(?: 0)?|eclipse public", "epl 2 0"),
+    ("edl-1", "eclipse distribution", "bsd 3 clause eclipse"),
+    ("cddl-1", "common development and distribution|cddl", "cddl 1 0"),
+    ("cpl-1", "common public", "cpl 1 0"),
+    ("ibm-pl", "ibm public", "ipl 1 0"),
+    ("artistic-1", "artistic license(?: version)? 1(?: 0)?", "artistic 1 0"),
+    ("artistic-2", "artistic license(?: version)? 2(?: 0)?|perl artistic|artistic", "artistic 2 0"),
+    ("isc", "isc", "isc"),
+    ("zlib", "zlib(?: libpng)?", "zlib"),
+    ("libpng", "libpng", "libpng"),
+    ("bsl-1", "boost(?: software)?", "bsl 1 0"),
+    ("busl-1.1", "business source", "busl 1 1"),
+    ("unlicense", "unlicense", "unlicense"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("cc0", "cc0|creative commons zero", "cc0 1 0"),
+    ("cc-by", "cc by(?: [1-4] [0-9])?|creative commons attribution(?: [1-4] [0-9])?", "cc by 4 0"),
+    ("cc-by-sa", "cc by sa(?: [1-4] [0-9])?|creative commons attribution share ?alike(?: [1-4] [0-9])?", "cc by sa 4 0"),
+    ("cc-by-nd", "cc by nd(?: [1-4] [0-9])?|creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [0-9])?", "cc by nd 4 0"),
+    ("cc-by-nc", "cc by nc(?: [1-4] [0-9])?|creative commons attribution non ?commercial(?: [1-4] [0-9])?", "cc by nc 4 0"),
+    ("cc-by-nc-sa", "cc by nc sa(?: [1-4] [0-9])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "cc by nc nd(?: [1-4] [0-9])?|creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [0-9])?", "cc by nc nd 4 0"),
+    ("odbl", "open database|odbl", "odbl 1 0"),
+    ("odc-by", "open data commons attribution|odc by", "odc by 1 0"),
+    ("pddl", "public domain dedication and|pddl", "pddl 1 0"),
+    ("ofl-1.1", "sil open font|open font", "ofl 1 1"),
+    ("psf-2", "python software foundation|psf", "psf 2 0"),
+    ("python-2", "python 2 0", "python 2 0"),
+    ("ruby", "ruby", "ruby"),
+    ("php-3", "php(?: license)?(?: version)? 3(?: 0| 01)?|php", "php 3 01"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("openssl", "openssl(?: ssleay)?", "openssl"),
+    ("vim", "vim", "vim"),
+    ("w3c", "w3c(?: software)?", "w3c"),
+    ("x11", "x11|mit x consortium", "x11"),
+    ("ncsa", "university of illinois ncsa(?: open source)?|ncsa", "ncsa"),
+    ("eupl-1.2", "european union public|eupl", "eupl 1 2"),
+    ("cecill", "cecill", "cecill 2 1"),
+    ("ms-pl", "microsoft public|ms pl", "ms pl"),
+    ("ms-rl", "microsoft reciprocal|ms rl", "ms rl"),
+    ("upl-1", "universal permissive|upl", "upl 1 0"),
+    ("afl-3", "academic free", "afl 3 0"),
+    ("osl-3", "open software", "osl 3 0"),
+    ("sspl-1", "server side public|sspl", "sspl 1 0"),
+    ("elastic-2", "elastic", "elastic 2 0"),
+    ("openrail", "open ?rail(?: m)?|responsible ai", "openrail"),
 ]
 
-#: Sentences of license texts and notices: label, keyword, pattern, priority.
+#: Sentences of license texts and notices: label, a string that every match has, pattern, priority.
 SENTENCES = [
     ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", TEXT),
     ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", TEXT),
@@ -119,7 +125,7 @@ SENTENCES = [
     ("copyright-notice", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", MENTION),
     ("dual-license", "dual", "dual licensed under", NAME),
     ("non-commercial", "commercial", "(?:for )?non ?commercial (?:use|purposes)(?: only)?", NAME),
-    ("no-ai-training", "training", "(?:may|must|shall) not be used (?:for|to)(?: [^ ]+){0,3} (?:train|training)", GRANT),
+    ("no-ai-training", "train", "(?:may|must|shall) not be used (?:for|to)(?: [^ ]+){0,3} (?:train|training)", GRANT),
     ("terms-of-use", "terms of", "subject to(?: [^ ]+){0,2} terms of (?:use|service)", MENTION),
     ("unknown-license", "licen", "see(?: the)?(?: [^ ]+){0,3} licen[cs]e(?: [^ ]+){0,3} (?:file|details|information)", MENTION),
 ]
@@ -127,19 +133,87 @@ SENTENCES = [
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, pattern, priority) in order: sentences, then for each license its identifier,
-    statements that grant it, and its name."""
+    statements that grant it, and its name. Every match has the keyword, which may be empty."""
     out = [(label, keyword, rf"(?<= )(?:{pattern})(?= )", priority) for label, keyword, pattern, priority in SENTENCES]
-    for label, keyword, names, identifier in FAMILIES:
+    for label, names, identifier in FAMILIES:
         name = rf"(?:{names})"
         out += [
             (label, "spdx", rf"(?<= )spdx(?: license)? identifier {identifier}(?: only| or later)?(?= )", TEXT),
-            (label, keyword, rf"(?<= )(?:licensed|released|distributed|available|published|provided|covered|governed|shared|offered)(?: [^ ]+){{0,4}} (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?(?= )", GRANT),
-            (label, keyword, rf"(?<= )under(?: the)?(?: terms of)?(?: the)? {name} licen[cs]e(?: version)?(?: [0-9]+){{0,2}}(?= )", GRANT),
-            (label, keyword, rf"(?<= ){name} licen[cs]ed?(?: version)?(?: [0-9]+){{0,2}}(?= )", NAME),
+            (label, "", rf"(?<= )(?:licensed|released|distributed|available|published|provided|covered|governed|shared|offered)(?: [^ ]+){{0,4}} (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?(?= )", GRANT),
+            (label, "licen", rf"(?<= )under(?: the)?(?: terms of)?(?: the)? {name} licen[cs]e(?: version)?(?: [0-9]+){{0,2}}(?= )", GRANT),
+            (label, "licen", rf"(?<= ){name} licen[cs]ed?(?: version)?(?: [0-9]+){{0,2}}(?= )", NAME),
         ]
     return out
 
 
+def exactly(items) -> set[str] | None:  # noqa: ANN001
+    """All strings that a parsed pattern matches; None where they are not few."""
+    out = {""}
+    for op, of in items:
+        match str(op):
+            case "LITERAL": each = {chr(of)}
+            case "IN": each = {chr(c) for _, c in of} if all(str(o) == "LITERAL" for o, _ in of) else None
+            case "SUBPATTERN": each = exactly(of[3])
+            case "BRANCH": each = None if None in (parts := [exactly(x) for x in of[1]]) else set().union(*parts)
+            case "ASSERT": each = {" "} if of[0] < 0 else {""}  # both are of a space here; the one behind stands before all else
+            case _: each = None
+        if each is None or len(out) * len(each) > MOST_STRINGS:
+            return None
+        out = {a + b for a, b in product(out, each)}
+    return out
+
+
+def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Of each of these groups every match of the pattern, with the space before it, has a string."""
+
+    def groups(items, before: set[str]) -> tuple[list[set[str]], set[str]]:  # noqa: ANN001
+        """The groups that are closed and the strings that the next item may continue."""
+        closed, run = [], before
+        for item in items:
+            op, of = str(item[0]), item[1]
+            each = exactly([item])
+            if each is not None and len(run) * len(each) <= MOST_STRINGS:
+                run = {a + b for a, b in product(run, each)}
+            elif op == "SUBPATTERN":
+                more, run = groups(of[3], run)
+                closed += more
+            elif op == "BRANCH":
+                best = []
+                for x in of[1]:
+                    more, last = groups(x, run)
+                    best.append(max([*more, last], key=lambda g: min(map(len, g))))
+                closed, run = [*closed, set().union(*best)], {""}
+            else:
+                closed, run = [*closed, run], {""}
+        return closed, run
+
+    closed, last = groups(_parser.parse(pattern), {""})
+    # a string that holds another of its group says nothing more
+    lean = (tuple(sorted(s for s in g if not any(o != s and o in s for o in g))) for g in [*closed, last])
+    return tuple(dict.fromkeys(g for g in lean if min(map(len, g)) > 1))
+
+
+def some(text: Column, strings: tuple[str, ...]) -> Column:
+    return F.exists(F.split(F.lit("\t".join(strings)), "\t"), lambda s: F.contains(text, s))
+
+
+def gate(text: Column, rows: list[tuple[tuple[str, ...], ...]]) -> Column:
+    """Whether all groups of any of the rows have a string in text. Rows share the looks at the groups
+    that most of them have; strings that decide a row alone are looked for together."""
+    if () in rows:
+        return F.lit(True)
+    often: dict[tuple[str, ...], int] = {}
+    for g in (g for r in rows for g in r):
+        often[g] = often.get(g, 0) + 1
+    rest: dict[tuple[str, ...], list] = {}
+    for r in rows:
+        first = max(r, key=lambda g: (often[g], g))
+        rest.setdefault(first, []).append(tuple(g for g in r if g != first))
+    alone = tuple(sorted({s for g, more in rest.items() if () in more for s in g}))
+    both = [some(text, g) & gate(text, more) for g, more in rest.items() if () not in more]
+    return reduce(or_, [*([some(text, alone)] if alone else []), *both])
+
+
 def normal(text: Column) -> Column:
     """The words of text, lower-cased, a space between and around them; a single space without words.
     Other than A-Z, letters that lower() changes stay parts of the same words."""
@@ -189,19 +263,21 @@ def scan(docs: DataFrame, more_rules: list[tuple[str, str, str, int]] | None = N
     largest start among them (words from 0; null without any). labels has the base labels and those
     of the standing detections: array of (first_word, n_words, label, priority). score is the largest
     weight behind a label, 0 without labels. Null text counts as empty. Other columns are ignored.
+    A rule of more_rules is looked at where its own keyword stands, nothing else is asked of it.
     """
-    table = rules() + (more_rules or [])
-    literal = F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(x).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("number")) for i, (x, k, p, n) in enumerate(table)))
+    given = rules()
+    table = given + (more_rules or [])
+    wanted = [needed(p) for _, _, p, _ in given] + [((k,),) if k else () for _, k, _, _ in more_rules or []]
+    # one string a rule keeps the plan small: groups between line ends, strings between tabs
+    strings = lambda groups: F.lit("\n".join(map("\t".join, groups)))
+    literal = F.array(*(F.struct(strings(wanted[i]).alias("wanted"), F.lit(p).alias("pattern"), F.lit(x).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("number")) for i, (x, _, p, n) in enumerate(table)))
     base = f"(?<= )(?:{'|'.join(BASE)})(?= )"
     rows = docs.select(F.col("doc_id").cast("long"), normal(F.col("text").cast("string")).alias("norm"))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains("norm", F.lit(g))
     any_base = F.lit(False)
     for phrase in BASE:
         any_base = any_base | F.contains("norm", F.lit(f" {phrase} "))
-    rows = rows.select("doc_id", "norm", F.when(F.col("norm") == "  ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long").alias("n_words"), any_base.alias("based"), F.when(gate, F.col("norm")).alias("gated"))
-    fired = F.filter(literal, lambda r: F.contains(F.col("gated"), r["keyword"]))
+    rows = rows.select("doc_id", "norm", F.when(F.col("norm") == "  ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long").alias("n_words"), any_base.alias("based"), F.when(gate(F.col("norm"), wanted), F.col("norm")).alias("gated"))
+    fired = F.filter(literal, lambda r: F.forall(F.split(r["wanted"], "\n"), lambda g: F.exists(F.split(g, "\t"), lambda s: F.contains(F.col("gated"), s))))
     found = F.flatten(F.transform(fired, lambda r: hits(F.col("gated"), r, r["number"])))
     rows = rows.withColumn("found", F.when(F.col("gated").isNotNull(), standing(found)))
     at = lambda h: spaces(F.substring(F.col("norm"), F.lit(1), h["lo"])) - 1
