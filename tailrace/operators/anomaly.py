@@ -50,24 +50,28 @@ def bucket_zscore(errors: DataFrame, seconds: int = 3600, sensitivity: float = 0
     return c.select(*by, "bucket", "n", "mean", "std", "z", F.least(F.lit(1.0), F.abs("z") / (2 * limit)).alias("severity"), (F.abs("z") > limit).alias("anomaly"))
 
 
-def volume_anomalies(errors: DataFrame, column: str, seconds: int = 3600, sensitivity: float = 0.95, service: str | None = None, values: list[str] | None = None, seed: int = 42) -> DataFrame:
+def volume_anomalies(errors: DataFrame, column: str, seconds: int = 3600, sensitivity: float = 0.95, service: str | None = None, seed: int = 42) -> DataFrame:
     """(service, bucket, n, score, severity, anomaly): buckets whose counts by type are isolated by a
-    forest, on scaled counts throughout. Series of fewer than ten buckets give nothing. Only bucket
-    counts go to a series' task."""
+    forest, on scaled counts throughout. Series of fewer than ten buckets give nothing. Every type of a
+    series counts, null as a type of its own; n is all of the bucket's rows. Only bucket counts go to
+    a series' task, which holds a number for each of its buckets and types."""
     name = service or "__all"
     rows = errors if service else errors.withColumn(name, F.lit("all"))
-    values = values or [r[0] for r in rows.groupBy(column).count().orderBy(F.col("count").desc(), column).limit(50).collect()]
-    counts = rows.withColumn("bucket", floor_to(F.col("ts"), seconds)).groupBy(name, "bucket").pivot(column, values).count().na.fill(0)
+    counts = rows.withColumn("bucket", floor_to(F.col("ts"), seconds)).groupBy(name, "bucket", F.col(column).alias("__type")).agg(F.count("*").alias("__n"))
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket").reset_index(drop=True)
-        x = pdf[values].to_numpy(dtype=float)
-        if len(pdf) < LEAST:
+        at, buckets = pd.factorize(pdf["bucket"], sort=True)
+        if len(buckets) < LEAST:
             return pd.DataFrame({name: [], "bucket": [], "n": [], "score": [], "severity": [], "anomaly": []})
+        # the most frequent type first, as the forest draws columns by place
+        totals = pdf.groupby("__type", dropna=False)["__n"].sum().reset_index().sort_values(["__n", "__type"], ascending=[False, True])
+        place = {None if pd.isna(t) else t: i for i, t in enumerate(totals["__type"])}
+        x = np.zeros((len(buckets), len(place)))
+        x[at, [place[None if pd.isna(t) else t] for t in pdf["__type"]]] = pdf["__n"]
         scaled = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
         score = 0.5 - IsolationForest.fit(scaled, seed=seed).scores(scaled)
         limit = np.quantile(score, 1 - sensitivity)
-        return pd.DataFrame({name: pdf[name], "bucket": pdf["bucket"], "n": x.sum(axis=1).astype(int), "score": score, "severity": np.clip(-score / 0.5, 0, 1), "anomaly": score <= limit})
+        return pd.DataFrame({name: pdf[name].iloc[0], "bucket": buckets, "n": x.sum(axis=1).astype(int), "score": score, "severity": np.clip(-score / 0.5, 0, 1), "anomaly": score <= limit})
 
     out = counts.groupBy(name).applyInPandas(detect, f"{name} string, bucket timestamp, n long, score double, severity double, anomaly boolean")
     return out if service else out.drop(name)
