@@ -449,6 +449,16 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompting.context_block(hits).select("context", "token_estimate")
 
 
+@query("""WITH h AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings QUALIFY rank <= 5), p AS (SELECT rank, '[日志 ' || rank || ']' || chr(10) || '时间: ' || vec_id || chr(10) || '级别: L' || label || chr(10) || '服务: s' || chr(10) || '内容: ' || coalesce(text, '') AS p FROM h JOIN documents ON doc_id = vec_id), c AS (SELECT string_agg(p, chr(10) || chr(10) ORDER BY rank) AS c FROM p),
+t AS (SELECT c, len(regexp_extract_all(c, '[^ \\n\\t\\r\\f\\v]+')) + 1.5e0 * len(regexp_extract_all(c, '[一-鿿]')) AS token_estimate FROM c)
+SELECT CASE WHEN token_estimate > 4000 THEN substr(c, 1, 2400) || '...(内容已截断)' ELSE c END AS context, token_estimate FROM t""")
+def context_block_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of whole messages, cut by the limit of tokens alone."""
+    e, d = points(spark, sf_dir).orderBy("id").limit(5), docs(spark, sf_dir)
+    hits = e.join(d, "id").select("id", F.col("id").alias("rank"), F.col("id").alias("timestamp"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("log_level"), F.lit("s").alias("service_name"), "message", F.lit(0.0).alias("final_score"))
+    return prompting.context_block(hits).select("context", "token_estimate")
+
+
 @query("SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, isodow(ts) > 5 AS weekend, hour(ts) >= 9 AND hour(ts) < 18 AND isodow(ts) <= 5 AS business, CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 86400 THEN 1.1e0 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 604800 THEN 1e0 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 2592000 THEN 0.95e0 ELSE 0.9e0 END AS freshness FROM events")
 def calendar_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
