@@ -21,8 +21,8 @@ from tailrace.llm.common import blocks
 
 #: Bound of the sample: labelled documents of each class for its dictionary, and for the calibration.
 DICTIONARY_DOCS, CALIBRATION_DOCS = 1500, 3000
-#: Characters of a sampled document that its class's dictionary sees. Scores see whole texts.
-DICTIONARY_CHARS = 8000
+#: Characters of a piece; sampled documents go to the dictionary trainer whole, in such pieces.
+PIECE_CHARS = 8000
 DICTIONARY_BYTES, LEVEL = 65536, 1
 GOOD_FROM = 0.7
 
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         small = docs.sparkSession.createDataFrame(rows, "id long, quality int")
         return texts.join(F.broadcast(small), texts.doc_id == small.id)
 
-    seen = chosen(use[0]).select("id", "quality", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy("id", "text").limit(4 * DICTIONARY_DOCS).collect()
-    by_class = tuple([r["text"].encode() for r in seen if r["quality"] == q and r["text"]] for q in (0, 1))
+    seen = chosen(use[0]).select("id", "quality", "text").orderBy("id", "text").limit(4 * DICTIONARY_DOCS).collect()
+    by_class = tuple([t[i : i + PIECE_CHARS].encode() for r in seen if r["quality"] == q and (t := r["text"]) for i in range(0, len(t), PIECE_CHARS)] for q in (0, 1))
     if not all(by_class):
         return Model(None, np.zeros(0), np.ones(0), np.zeros(0), share)
     dictionaries = (dictionary(by_class[0]), dictionary(by_class[1]))
