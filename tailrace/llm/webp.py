@@ -1,15 +1,16 @@
 """Lossless WebP (VP8L): a decoder for whole streams, an encoder, and columns of such images.
 
 The decoder reads prefix codes, literals, back-references and the colour cache, meta prefix codes,
-and inverts the predictor, cross-colour, subtract-green and palette transforms. A stream of literals
-whose codes all have eight bits - what `store` writes - is read by array operations instead.
+and inverts the predictor, cross-colour, subtract-green and palette transforms. The encoder makes
+back-references, prefix codes of differing length, and a colour cache and those transforms where they
+make an image smaller.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tailrace.llm.common import blocks
 
-#: Width of a stored payload, and the most rows of one image; longer payloads take several.
-WIDTH, MOST_ROWS = 576, 16383
+#: Bytes of a row of a stored payload, and the most rows of one image; longer payloads take several.
+WIDTH, MOST_ROWS = 576, 256
 PAD = 255
 
 # Fixed values of the format: the order of code length codes, the near distances as (x, y), the cache's multiplier.
@@ -35,14 +36,23 @@ NEAR = (
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTHS, DISTANCES = 24, 40
-REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+#: An opaque black pixel's samples: blue, green, red, alpha.
+BLACK = np.array([0, 0, 0, 255], dtype=np.uint8)
+#: Pixels that a back-reference copies, and how far back it reaches.
+LEAST_COPY, MOST_COPY, MOST_DISTANCE = 3, 4096, (1 << 20) - 120
+#: Bits of the encoder's colour cache, at most.
+CACHE_BITS = 8
+#: The encoder's own code for code lengths, the same for all images: bits of each of the 19 symbols.
+LENGTH_CODE = (4, 6, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 7, 7, 6, 0, 3, 5)
+#: An image of so many pixels is decoded by arrays.
+MANY = 256
 
 
 class Reader:
     """Bits from the lowest of each byte on."""
 
     def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.end = data + bytes(8), 0, 8 * len(data)
+        self.data, self.at, self.end = data + bytes(16), 0, 8 * len(data)
 
     def read(self, n: int) -> int:
         i = self.at
@@ -54,55 +64,87 @@ class Reader:
 
 class Writer:
     def __init__(self) -> None:
-        self.value, self.n = 0, 0
+        self.fields: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values, self.counts = [], []
 
     def write(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.values.append(value)
+        self.counts.append(n)
+
+    def write_all(self, values: np.ndarray, counts: np.ndarray) -> None:
+        """Fields one after the other, counts[i] bits of values[i]."""
+        self.fields += [(np.array(self.values, dtype=np.uint32), np.array(self.counts, dtype=np.int64)), (values.astype(np.uint32), counts)]
+        self.values, self.counts = [], []
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        self.write_all(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        values, counts = (np.concatenate(x) for x in zip(*self.fields, strict=True))
+        self.fields = [(values, counts)]
+        ends = np.cumsum(counts)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+        return np.packbits((np.repeat(values, counts) >> place.astype(np.uint32) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes()
+
+
+@lru_cache(maxsize=16)
+def mirrored(n: int) -> np.ndarray:
+    """Every number of n bits with its bits in reverse."""
+    i = np.arange(1 << n)
+    return sum((i >> k & 1) << (n - 1 - k) for k in range(n)) if n else i
 
 
 class PrefixCode:
-    """A canonical code from its lengths; one symbol alone takes no bits."""
-
-    def __init__(self, lengths: list[int]) -> None:
-        self.lengths = lengths
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        self.codes: dict[int, tuple[int, int]] = {}  # symbol: bits as written, their number
-        if len(used) < 2:
-            self.single = used[0][1] if used else 0
-            self.codes = {self.single: (0, 0)}
-            return
-        self.single, self.most = None, used[-1][0]
-        if sum(1 << (self.most - n) for n, _ in used) != 1 << self.most:
-            raise ValueError("a prefix code is not complete")
-        table: list = [None] * (1 << self.most)
-        code = before = 0
-        for n, s in used:
-            code <<= n - before
-            before = n
-            bits = int(f"{code:0{n}b}"[::-1], 2)
-            self.codes[s] = (bits, n)
-            table[bits :: 1 << n] = [(s, n)] * (1 << (self.most - n))
-            code += 1
-        self.table = table
-
-    def read(self, r: Reader) -> int:
-        if self.single is not None:
-            return self.single
-        i = r.at
-        s, n = self.table[int.from_bytes(r.data[i >> 3 : (i >> 3) + 4], "little") >> (i & 7) & ((1 << self.most) - 1)]
-        r.at = i + n
-        if r.at > r.end:
-            raise ValueError("the image ends early")
-        return s
+    """A canonical code from its lengths; one symbol alone takes no bits. both[the next bits & mask] is
+    symbol << 4 | length; written has the bits of each symbol as they are written, n their number."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.used = lengths.nonzero()[0]
+        self.single = len(self.used) < 2
+        self.n = np.zeros(len(lengths), dtype=np.int64) if self.single else lengths
+        self.mask = 0
+        if not self.single:
+            n = lengths[self.used]
+            place = n.argsort(kind="stable")
+            self.order, self.lengths = self.used[place], n[place]
+            most = int(self.lengths[-1])
+            self.span = 1 << (most - self.lengths)
+            self.ends = self.span.cumsum()
+            if self.ends[-1] != 1 << most:
+                raise ValueError("a prefix code is not complete")
+            self.back, self.mask = mirrored(most), (1 << most) - 1
+
+    @cached_property
+    def both(self) -> np.ndarray:
+        return np.array([self.used[0] << 4 if len(self.used) else 0]) if self.single else (self.order << 4 | self.lengths).repeat(self.span)[self.back]
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return self.both & 15
+
+    @cached_property
+    def above(self) -> np.ndarray:
+        """Which are no literals."""
+        return self.both >= 256 << 4
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.both.tolist()
+
+    @cached_property
+    def written(self) -> np.ndarray:
+        bits = np.zeros(len(self.n), dtype=np.int64)
+        if not self.single:
+            bits[self.order] = self.back[self.ends - self.span]
+        return bits
+
+
+@lru_cache(maxsize=64)
+def code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
+    return PrefixCode(np.array(lengths, dtype=np.int64))
 
 
 def read_code(r: Reader, size: int) -> PrefixCode:
-    lengths = [0] * size
     if r.read(1):
+        lengths = np.zeros(size, dtype=np.int64)
         two = r.read(1)
         lengths[r.read(8 if r.read(1) else 1)] = 1
         if two:
@@ -111,34 +153,51 @@ def read_code(r: Reader, size: int) -> PrefixCode:
     of_lengths = [0] * 19
     for i in range(4 + r.read(4)):
         of_lengths[CODE_ORDER[i]] = r.read(3)
-    code = PrefixCode(of_lengths)
+    code = code_of_lengths(tuple(of_lengths))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    at, before = 0, 8
+    table, mask, at, before, found = code.table, code.mask, 0, 8, []
+    bits = kept = 0
     while at < size and left:
+        if kept < 16:  # 14 are the most that a step reads
+            bits = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 48], "little") >> (r.at & 7)
+            kept = 48 * 8 - 8
         left -= 1
-        s = code.read(r)
+        x = table[bits & mask]
+        n, s = x & 15, x >> 4
         if s < 16:
-            lengths[at] = s
+            found.append(s)
             at, before = at + 1, s or before
-            continue
-        n, value = (3 + r.read(2), before) if s == 16 else (3 + r.read(3), 0) if s == 17 else (11 + r.read(7), 0)
-        if at + n > size:
-            raise ValueError("code lengths run over")
-        lengths[at : at + n] = [value] * n
-        at += n
-    return PrefixCode(lengths)
+        else:
+            extra = 2 if s == 16 else 3 if s == 17 else 7
+            run = (11 if s == 18 else 3) + (bits >> n & (1 << extra) - 1)
+            n += extra
+            at += run
+            found += [before if s == 16 else 0] * run
+        bits >>= n
+        kept -= n
+        r.at += n
+        if r.at > r.end:
+            raise ValueError("the image ends early")
+    if at > size:
+        raise ValueError("code lengths run over")
+    return PrefixCode(np.array(found + [0] * (size - at), dtype=np.int64))
 
 
 def blocks_of(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def extended(r: Reader, s: int) -> int:
-    """A length or distance from its prefix symbol."""
-    if s < 4:
-        return s + 1
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + r.read(extra) + 1
+def far_of(code: int, width: int) -> int:
+    """The distance in pixels of a distance code: the first ones name near places."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, y * width + x)
+
+
+@lru_cache(maxsize=64)
+def near_places(width: int) -> tuple[int, ...]:
+    return tuple(far_of(i + 1, width) for i in range(len(NEAR)))
 
 
 def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.ndarray:
@@ -151,49 +210,186 @@ def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.nd
         groups = max(which) + 1
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
-    total = width * height
-    green, red, blue, alpha, far = codes[0]
-    if groups == 1 and not cache_bits and green.lengths[:256] == [8] * 256 and None not in (red.single, blue.single, alpha.single):
-        start, shift = r.at >> 3, r.at & 7
-        r.at += 8 * total
-        if r.at > r.end:
-            raise ValueError("the image ends early")
-        raw = np.frombuffer(r.data, dtype=np.uint8, count=total + 1, offset=start).astype(np.uint16)
-        coded = ((raw[:-1] >> shift) | (raw[1:] << (8 - shift))).astype(np.uint8)
-        literal = np.frombuffer(REVERSED, dtype=np.uint8)[coded].astype(np.uint32)
-        return (np.uint32(alpha.single << 24 | red.single << 16 | blue.single)) | literal << np.uint32(8)
+    if which is None and width * height >= MANY:
+        return pixels_by_arrays(r, width, height, cache_bits, codes[0])
+    return pixels_one_by_one(r, width, height, cache_bits, codes, block, which)
+
+
+def pixels_one_by_one(r: Reader, width: int, height: int, cache_bits: int, groups: list[list[PrefixCode]], block: int = 0, which: list[int] | None = None) -> np.ndarray:
+    """Symbol by symbol, the codes chosen anew for each block if there are several groups of them."""
+    codes = [tuple(x for c in g for x in (c.table, c.mask)) for g in groups]
+    green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[0]
     out: list[int] = []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    across = blocks_of(width, block)
-    while len(out) < total:
-        at = len(out)
+    across, at, total = blocks_of(width, block), 0, width * height
+    data, pos, end = r.data, r.at, r.end
+    while at < total:
         if which is not None:
-            green, red, blue, alpha, far = codes[which[(at // width >> block) * across + (at % width >> block)]]
-        s = green.read(r)
+            green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[which[(at // width >> block) * across + (at % width >> block)]]
+        # no pixel and no reference has more than 60 bits
+        bits = int.from_bytes(data[pos >> 3 : (pos >> 3) + 9], "little") >> (pos & 7)
+        x = green[bits & green_mask]
+        n, s = x & 15, x >> 4
         if s < 256:
-            r8 = red.read(r)
-            b8 = blue.read(r)
-            new = [alpha.read(r) << 24 | r8 << 16 | s << 8 | b8]
+            new = s << 8
+            for table, mask, place in ((red, red_mask, 16), (blue, blue_mask, 0), (alpha, alpha_mask, 24)):
+                x = table[bits >> n & mask]
+                n += x & 15
+                new |= x >> 4 << place
+            new = [new]
         elif s < 256 + LENGTHS:
-            n = extended(r, s - 256)
-            d = extended(r, far.read(r))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, y * width + x)
-            if d > at or at + n > total:
-                raise ValueError("a back-reference leaves the image")
-            new = (out[-d:] if d > n else out[-d:] * (n // d + 1))[:n]
+            count, extra = extended(s - 256, bits >> n)
+            n += extra
+            x = far[bits >> n & far_mask]
+            n += x & 15
+            code, extra = extended(x >> 4, bits >> n)
+            n += extra
+            new = copied(out, far_of(code, width), count, total)
         else:
             new = [cache[s - 256 - LENGTHS]]
+        pos += n
+        if pos > end:
+            raise ValueError("the image ends early")
         if cache_bits:
             for p in new:
                 cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = p
         out += new
+        at += len(new)
+    r.at = pos
     return np.array(out, dtype=np.uint32)
 
 
+def extended(s: int, bits: int) -> tuple[int, int]:
+    """A length or distance from its prefix symbol and the bits behind it, and how many of these it takes."""
+    if s < 4:
+        return s + 1, 0
+    extra = (s - 2) >> 1
+    return ((2 + (s & 1)) << extra) + (bits & (1 << extra) - 1) + 1, extra
+
+
+def copied(out: list[int], d: int, n: int, total: int) -> list[int]:
+    at = len(out)
+    if d > at or at + n > total:
+        raise ValueError("a back-reference leaves the image")
+    return out[at - d : at - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
+
+
+def extended_all(s: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """extended() of many symbols."""
+    extra = np.where(s < 4, 0, (s - 2) >> 1)
+    return np.where(s < 4, s, ((2 + (s & 1)) << extra) + (bits & (1 << extra) - 1)) + 1, extra
+
+
+def followed(to: np.ndarray) -> np.ndarray:
+    """Where each place leads in the end; what leads to itself is an end."""
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes: list[PrefixCode], stretch: int = 1 << 18) -> np.ndarray:
+    """The same for one group of codes. How many bits a pixel or reference takes is looked up for every
+    bit position of a stretch at once; then the positions where one begins are followed, and only
+    there the symbols are read."""
+    green, red, blue, alpha, far = codes
+    total, held, parts = width * height, 0, []
+    data = np.frombuffer(r.data + bytes(16), dtype=np.uint8)
+    while held < total:
+        if r.at >= r.end:
+            if max(c.mask for c in codes[:4]) or held:
+                raise ValueError("the image ends early")
+        base = r.at & ~7
+        count = min(stretch, max(8, r.end - base), (60 * (total - held) + 15) & ~7)
+        raw = data[base >> 3 : (base + count >> 3) + 20].astype(np.uint32)
+        near = (raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)).repeat(8)
+        near >>= np.tile(np.arange(8, dtype=np.uint32), len(raw) - 3)
+        near = (near & np.uint32(0x1FFFFFF)).astype(np.int64)  # 25 bits from every position on
+        after = green.sizes.take(at_green := near[:count] & green.mask)
+        after += np.arange(count)
+        special = green.above.take(at_green).nonzero()[0]
+        behind = after.take(special)
+        for code in (red, blue, alpha):
+            if code.mask:
+                at = near.take(after)
+                at &= code.mask
+                after += code.sizes.take(at)
+        if len(special):
+            s = (green.both.take(at_green.take(special)) >> 4) - 256
+            extra = np.where(s < 4, 0, (s - 2) >> 1)
+            x = far.both[near[np.minimum(behind + extra, len(near) - 1)] & far.mask]
+            s2 = x >> 4
+            after[special] = np.where(s < LENGTHS, behind + extra + (x & 15) + np.where(s2 < 4, 0, (s2 - 2) >> 1), behind)
+        jump, path, p = after.tolist(), [], r.at - base
+        keep = path.append
+        for _ in range(total - held):
+            keep(p)
+            p = jump[p]
+            if p >= count:
+                break
+        q = np.array(path)
+        x = green.both[near[q] & green.mask]
+        kinds, n, away = x >> 4, np.ones(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+        behind = q + (x & 15)
+        value, at = (kinds & 255) << 8, behind
+        for code, place in ((red, 16), (blue, 0), (alpha, 24)):
+            x = code.both[near[at] & code.mask]
+            at = at + (x & 15)
+            value |= x >> 4 << place
+        copy = np.flatnonzero((kinds >= 256) & (kinds < 256 + LENGTHS))
+        if len(copy):
+            at = behind[copy]
+            n[copy], extra = extended_all(kinds[copy] - 256, near[at])
+            at = at + extra
+            x = far.both[near[at] & far.mask]
+            code, _ = extended_all(x >> 4, near[at + (x & 15)])
+            away[copy] = np.where(code > len(NEAR), code - len(NEAR), np.array(near_places(width))[np.minimum(code, len(NEAR)) - 1])
+        ends = held + np.cumsum(n)
+        taken = int(np.searchsorted(ends, total)) + 1
+        if taken <= len(q):
+            if ends[taken - 1] > total:
+                raise ValueError("a back-reference leaves the image")
+            p = path[taken] if taken < len(q) else p
+        parts.append((kinds[:taken], value[:taken], n[:taken], away[:taken]))
+        held = int(ends[min(taken, len(q)) - 1])
+        r.at = base + p
+        if r.at > r.end:
+            raise ValueError("the image ends early")
+    kinds, value, n, away = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+    return resolved(kinds, value, n, away, cache_bits)
+
+
+def resolved(kinds: np.ndarray, value: np.ndarray, n: np.ndarray, away: np.ndarray, cache_bits: int) -> np.ndarray:
+    """The pixels of literals, references and cached pixels: where each pixel comes from is followed to
+    the literal; a cached pixel comes from the last one before it with the same place in the cache."""
+    begin = np.cumsum(n) - n
+    total = int(n.sum())
+    here = np.arange(total)
+    one = kinds < 256
+    pixels = np.zeros(total + 1, dtype=np.uint32)  # the last one is what an unused place of the cache holds
+    pixels[begin[one]] = value[one]
+    came = here
+    if away.any():
+        came = here - np.repeat(away, n)
+        if came.min() < 0:
+            raise ValueError("a back-reference leaves the image")
+        came = followed(came)
+    hit = kinds >= 256 + LENGTHS
+    if hit.any():
+        slot = (pixels[:-1] * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slot[begin[hit]] = kinds[hit] - 256 - LENGTHS
+        slot = slot[came]
+        order = np.argsort(slot, kind="stable")
+        before = np.full(total, total)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        came = np.concatenate([came, [total]])
+        came[begin[hit]] = before[begin[hit]]
+        came = followed(came)[:-1]
+    return pixels[came]
+
+
 def added(a: int, b: int) -> int:
     """Sums of the four samples, each modulo 256."""
     return ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
@@ -241,23 +437,83 @@ def predicted(mode: int, l: int, t: int, tr: int, tl: int) -> int:  # noqa: E741
     return 0xFF000000
 
 
-def predict(known: list[int], i: int, width: int, mode: int) -> int:
-    """The prediction of pixel i from those before it."""
-    if i == 0:
-        return 0xFF000000
-    if i < width:
-        return known[i - 1]
-    if i % width == 0:
-        return known[i - width]
-    return predicted(mode, known[i - 1], known[i - width], known[i - width + 1], known[i - width - 1])
+def predictions(mode: int, l: np.ndarray, t: np.ndarray, tr: np.ndarray, tl: np.ndarray) -> np.ndarray:  # noqa: E741
+    """predicted() of many pixels, as rows of four samples."""
+    mean = lambda a, b: (a & b) + ((a ^ b) >> 1)
+    apart = lambda a, b: np.abs(a.astype(np.int16) - b).sum(axis=1)
+    match mode:
+        case 1: return l
+        case 2: return t
+        case 3: return tr
+        case 4: return tl
+        case 5: return mean(mean(l, tr), t)
+        case 6: return mean(l, tl)
+        case 7: return mean(l, t)
+        case 8: return mean(tl, t)
+        case 9: return mean(t, tr)
+        case 10: return mean(mean(l, tl), mean(t, tr))
+        case 11: return np.where((apart(t, tl) < apart(l, tl))[:, None], l, t)
+        case 12: return np.clip(l.astype(np.int16) + t - tl, 0, 255).astype(np.uint8)
+        case 13:
+            a = mean(l, t).astype(np.int16)
+            d = a - tl
+            return np.clip(a + np.where(d >= 0, d // 2, -(-d // 2)), 0, 255).astype(np.uint8)
+    return np.broadcast_to(BLACK, t.shape)
+
+
+#: Predictors that look at the row above alone, and so need no pixel of their own row.
+ABOVE = (0, 2, 3, 4, 8, 9, 14, 15)
 
 
 def undo_predictor(pixels: np.ndarray, width: int, bits: int, modes: np.ndarray) -> np.ndarray:
+    """Row by row and block by block: what looks above alone as arrays, the left neighbour as a running
+    sum, the other predictors pixel by pixel."""
     across, mode = blocks_of(width, bits), (modes >> 8 & 15).tolist()
-    out: list[int] = []
-    for i, p in enumerate(pixels.tolist()):
-        out.append(added(p, predict(out, i, width, mode[(i // width >> bits) * across + (i % width >> bits)])))
-    return np.array(out, dtype=np.uint32)
+    rest = pixels.view(np.uint8).reshape(-1, 4)
+    out = rest.copy()
+    out[0] += BLACK
+    out[:width] = np.cumsum(out[:width], axis=0, dtype=np.uint8)
+    for begin in range(width, len(out), width):
+        row = (begin // width >> bits) * across
+        out[begin] += out[begin - width]
+        for block in range(across):
+            lo, hi = begin + max(1, block << bits), begin + min(width, (block + 1) << bits)
+            m = mode[row + block]
+            if lo >= hi:
+                continue
+            if m in ABOVE:
+                t, tr, tl = (out[lo - width + k : hi - width + k] for k in (0, 1, -1))
+                out[lo:hi] += predictions(m, t, t, tr, tl)
+            elif m == 1:
+                out[lo - 1 : hi] = np.cumsum(out[lo - 1 : hi], axis=0, dtype=np.uint8)
+            else:
+                above = out[begin - width : begin + 1].reshape(-1).view(np.uint32).tolist()
+                left, x = int(out[lo - 1].view(np.uint32)[0]), lo - begin
+                new = []
+                for p in rest[lo:hi].reshape(-1).view(np.uint32).tolist():
+                    left = added(p, predicted(m, left, above[x], above[x + 1], above[x - 1]))
+                    new.append(left)
+                    x += 1
+                out[lo:hi] = np.array(new, dtype=np.uint32).view(np.uint8).reshape(-1, 4)
+    return out.reshape(-1).view(np.uint32)
+
+
+def neighbours(pixels: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(the samples, their left, top, top right and top left neighbours), rows of four; what lies before
+    the first pixel is the first pixel."""
+    four = pixels.view(np.uint8).reshape(-1, 4)
+    wide = np.concatenate([np.repeat(four[:1], width + 1, axis=0), four])
+    return four, wide[width:-1], wide[1 : 1 + len(four)], wide[2 : 2 + len(four)], wide[: len(four)]
+
+
+def residuals(around: tuple[np.ndarray, ...], width: int, mode: int) -> np.ndarray:
+    """What is left of each pixel once one predictor is taken off."""
+    four, left, top, *corners = around
+    rest = four - predictions(mode, left, top, *corners)
+    rest[:width] = four[:width] - left[:width]
+    rest[::width] = four[::width] - top[::width]
+    rest[0] = four[0] - BLACK
+    return rest.reshape(-1).view(np.uint32)
 
 
 def cross_terms(pixels: np.ndarray, width: int, bits: int, elements: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -349,71 +605,69 @@ def write_single(w: Writer, symbol: int) -> None:
         w.write(value, n)
 
 
-def store(samples: bytes, width: int) -> bytes:
-    """A grey image: literals under eight-bit codes in green, red and blue by the subtract-green
-    transform, opaque. Its size does not depend on the samples."""
-    height = len(samples) // width
-    w = Writer()
-    head(w, width, height, False)
-    w.write(1, 1)
-    w.write(SUBTRACT_GREEN, 2)
-    for value in (0, 0, 0):  # no further transform, no cache, no meta codes
-        w.write(value, 1)
-    w.write(0, 1)  # the green code: 256 lengths, each 8 by a code of the one symbol 8
-    order = CODE_ORDER.index(8) + 1
-    w.write(order - 4, 4)
-    for i in range(order):
-        w.write(int(CODE_ORDER[i] == 8), 3)
-    for value, n in ((1, 1), (3, 3), (256 - 2, 8)):
-        w.write(value, n)
-    for symbol in (0, 0, 255, 0):
-        write_single(w, symbol)
-    begin, shift = w.bytes(), w.n & 7
-    coded = np.frombuffer(samples[: width * height].translate(REVERSED), dtype=np.uint8)
-    if shift:
-        wide = np.r_[np.uint16(begin[-1]), coded.astype(np.uint16) << shift | np.r_[np.uint16(0), coded[:-1].astype(np.uint16) >> (8 - shift)], np.uint16(coded[-1] >> (8 - shift))]
-        wide[1] |= wide[0]
-        return riff(begin[:-1] + wide[1:].astype(np.uint8).tobytes())
-    return riff(begin + coded.tobytes())
-
-
-def code_lengths(counts: list[int], most: int) -> list[int]:
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for the counts, none over `most`; one used symbol has length 1."""
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), dtype=np.int64)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(counts[used], kind="stable")]
+    leaves, some = counts[used].tolist(), len(used)
     while True:
-        lengths = [0] * len(counts)
-        heap = [(n, i, [s]) for i, (s, n) in enumerate((s, n) for s, n in enumerate(counts) if n)]
-        if len(heap) == 1:
-            lengths[heap[0][2][0]] = 1
-            return lengths
-        heapq.heapify(heap)
-        serial = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            serial += 1
-            heapq.heappush(heap, (a[0] + b[0], serial, a[2] + b[2]))
-        if max(lengths) <= most:
+        weight, parent, leaf, joined = [*leaves, *[1 << 62] * some], [0] * (2 * some), 0, some
+        for new in range(some, 2 * some - 1):  # the two lightest of the leaves and of what was joined
+            both = 0
+            for _ in (0, 1):
+                if leaf < some and weight[leaf] <= weight[joined]:
+                    both += weight[leaf]
+                    parent[leaf] = new
+                    leaf += 1
+                else:
+                    both += weight[joined]
+                    parent[joined] = new
+                    joined += 1
+            weight[new] = both
+        depth = [0] * (2 * some - 1)
+        for i in range(2 * some - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if depth[0] <= most:
+            lengths[used] = depth[:some]
             return lengths
-        counts = [(n + 1) // 2 + (1 if n else 0) if n else 0 for n in counts]
+        leaves = [(n + 1) // 2 + 1 for n in leaves]
 
 
-def write_code(w: Writer, counts: list[int]) -> PrefixCode:
+def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
     lengths = code_lengths(counts, 15)
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (not used or used[0] < 256):
-        write_single(w, used[0] if used else 0)
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 2 and max(used, default=0) < 256:
+        symbols = used or [0]
+        for value, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
+            w.write(value, n)
         return PrefixCode(lengths)
+    # runs of zeros, at most 138 long, and every other length on its own
+    zero = lengths == 0
+    begin = np.concatenate([[True], ~zero[1:] | ~zero[:-1]]).nonzero()[0]
+    run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+    if run.max() > 138:
+        begin = np.unique(np.concatenate([begin, *(np.arange(x, x + k, 138) for x, k in zip(begin[run > 138], run[run > 138], strict=True))]))
+        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+    if (run == 2).any():
+        begin = np.unique(np.concatenate([begin, begin[run == 2] + 1]))
+        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+    long = run > 10
+    steps = np.where(run == 1, lengths[begin], 17 + long)
+    extras = np.where(run == 1, 0, run - np.where(long, 11, 3))
+    extra_bits = np.where(run == 1, 0, np.where(long, 7, 3))
     w.write(0, 1)
-    of = code_lengths([lengths.count(n) for n in range(16)] + [0] * 3, 7)
-    last = max(i for i in range(19) if of[CODE_ORDER[i]] or i == 3) + 1
-    w.write(last - 4, 4)
-    for i in range(last):
-        w.write(of[CODE_ORDER[i]], 3)
+    w.write(19 - 4, 4)
+    for i in CODE_ORDER:
+        w.write(LENGTH_CODE[i], 3)
     w.write(0, 1)
-    code = PrefixCode(of)
-    for n in lengths:
-        w.write(*code.codes[n])
+    code = code_of_lengths(LENGTH_CODE)
+    fields, counts = np.empty((len(steps), 2), dtype=np.int64), np.empty((len(steps), 2), dtype=np.int64)
+    fields[:, 0], fields[:, 1], counts[:, 0], counts[:, 1] = code.written[steps], extras, code.n[steps], extra_bits
+    w.write_all(fields.ravel(), counts.ravel())
     return PrefixCode(lengths)
 
 
@@ -427,88 +681,206 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v - ((2 + second) << (high - 1)), high - 1
 
 
-def write_pixels(w: Writer, pixels: list[int], width: int, main: bool = False, cache_bits: int = 0, references: bool = False) -> None:
-    """Greedy back-references by the last place of the next three pixels, cache hits, literals."""
+def copies(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Back-references (start, pixels, distance), one behind the other: where LEAST_COPY pixels stood
+    before, as often at the same distance as they go on."""
+    n = len(pixels) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    name = np.zeros(n, dtype=np.uint64)
+    for k in range(LEAST_COPY):
+        name = (name ^ pixels[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        name ^= name >> np.uint64(29)
+    order = np.argsort(name, kind="stable")
+    again = order[1:][name[order[1:]] == name[order[:-1]]]
+    before = order[:-1][name[order[1:]] == name[order[:-1]]]
+    same = again - before <= MOST_DISTANCE
+    for k in range(LEAST_COPY):
+        same &= pixels[again + k] == pixels[before + k]
+    distance = np.zeros(n, dtype=np.int64)
+    distance[again[same]] = (again - before)[same]
+    edge = np.flatnonzero(np.diff(distance, prepend=0, append=0))
+    out, at = [], 0
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=False):
+        d = int(distance[lo]) if lo < n else 0
+        lo = max(lo, at)
+        left = hi + LEAST_COPY - 1 - lo
+        while d and left >= LEAST_COPY:
+            out.append((lo, min(left, MOST_COPY), d))
+            at = lo = lo + out[-1][1]
+            left -= out[-1][1]
+    return out
+
+
+def entropy(symbols: np.ndarray) -> float:
+    """Bits of the symbols under their best code, and about six for each in the code's table."""
+    used = np.bincount(symbols)
+    used = used[used > 0].astype(float)
+    return float(len(symbols) * np.log2(max(1, len(symbols))) - (used * np.log2(used)).sum()) + 6 * len(used)
+
+
+def literal_bits(pixels: np.ndarray) -> float:
+    """What the pixels take as literals."""
+    four = pixels.view(np.uint8).reshape(-1, 4) + np.array([0, 256, 512, 768])
+    return entropy(four.ravel()) - 8 * len(pixels)  # four codes, each for a quarter of the samples
+
+
+def cached(pixels: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the cache, whether it holds the pixel) for each pixel of `at`."""
+    slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - bits)
+    order = np.argsort(slot, kind="stable")
+    before = np.full(len(pixels), -1)
+    same = slot[order[1:]] == slot[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return slot[at].astype(np.int64), np.where(before[at] < 0, pixels[at] == 0, pixels[at] == pixels[before[at]])
+
+
+def best_cache(pixels: np.ndarray, at: np.ndarray) -> int:
+    """The bits of the colour cache if it saves something on the literals, else 0."""
+    bits = min(CACHE_BITS, len(at).bit_length() - 2)
+    if bits < 1:
+        return 0
+    slot, hit = cached(pixels, at, bits)
+    miss = pixels[at[~hit]].view(np.uint8).reshape(-1, 4)
+    with_cache = entropy(np.concatenate([miss[:, 1], 256 + slot[hit]])) + entropy((miss[:, [0, 2, 3]] + np.array([0, 256, 512])).ravel()) - 3 * np.log2(3) * len(miss)
+    return bits if with_cache < literal_bits(pixels[at]) else 0
+
+
+def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int | None = 0, references: bool = False) -> None:
+    """Greedy back-references, hits of a colour cache (None: the one that saves the most), literals."""
+    pixels = np.asarray(pixels, dtype=np.uint32)
+    steps = copies(pixels, width) if references else []
+    covered = np.zeros(len(pixels) + 1, dtype=np.int64)
+    starts = np.array([s for s, _, _ in steps], dtype=np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + np.array([n for _, n, _ in steps], dtype=np.int64), -1)
+    at = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    if cache_bits is None:
+        cache_bits = best_cache(pixels, at)
     w.write(int(cache_bits > 0), 1)
     if cache_bits:
         w.write(cache_bits, 4)
     if main:
         w.write(0, 1)
-    near = {}
-    for i, (x, y) in enumerate(NEAR):
-        near.setdefault(max(1, y * width + x), i + 1)
-    cache, steps, last, at = [0] * (1 << cache_bits), [], {}, 0
-    while at < len(pixels):
-        n, key = 0, tuple(pixels[at : at + 3])
-        if references and (before := last.get(key)) is not None:
-            while at + n < len(pixels) and n < 4096 and pixels[before + n] == pixels[at + n]:
-                n += 1
-        if n >= 3:
-            steps.append(("copy", n, near.get(at - before, at - before + len(NEAR))))
-        else:
-            n, p = 1, pixels[at]
-            slot = (p * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
-            steps.append(("cache", slot, 0) if cache_bits and cache[slot] == p else ("literal", p, 0))
-        for i in range(at, at + n):
-            last[tuple(pixels[i : i + 3])] = i
-            if cache_bits:
-                cache[(pixels[i] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[i]
-        at += n
-    counts = [[0] * n for n in (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)]
-    for kind, a, b in steps:
-        if kind == "literal":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                counts[k][a >> shift & 255] += 1
-        elif kind == "cache":
-            counts[0][256 + LENGTHS + a] += 1
-        else:
-            counts[0][256 + prefix_of(a)[0]] += 1
-            counts[4][prefix_of(b)[0]] += 1
-    codes = [write_code(w, c) for c in counts]
-    for kind, a, b in steps:
-        if kind == "literal":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                w.write(*codes[k].codes[a >> shift & 255])
-        elif kind == "cache":
-            w.write(*codes[0].codes[256 + LENGTHS + a])
-        else:
-            for k, value, base in ((0, a, 256), (4, b, 0)):
-                symbol, extra, n = prefix_of(value)
-                w.write(*codes[k].codes[base + symbol])
-                w.write(extra, n)
+    near = {d: i + 1 for i, d in reversed(list(enumerate(near_places(width))))} if steps else {}
+    length = np.array([prefix_of(n) for _, n, _ in steps], dtype=np.int64).reshape(-1, 3)
+    far = np.array([prefix_of(near.get(d, d + len(NEAR))) for _, _, d in steps], dtype=np.int64).reshape(-1, 3)
+    green, red, blue, alpha = ((pixels[at] >> k & 255).astype(np.int64) for k in (8, 16, 0, 24))
+    hit = np.zeros(len(at), dtype=bool)
+    if cache_bits:
+        slot, hit = cached(pixels, at, cache_bits)
+        green = np.where(hit, 256 + LENGTHS + slot, green)
+    sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
+    symbols = (np.concatenate([green, 256 + length[:, 0]]), red[~hit], blue[~hit], alpha[~hit], far[:, 0])
+    codes = [write_code(w, np.bincount(x, minlength=n)) for x, n in zip(symbols, sizes, strict=True)]
+    # four fields for each pixel and each reference, in the order of their places
+    values, counts = np.zeros((len(at) + len(steps), 4), dtype=np.int64), np.zeros((len(at) + len(steps), 4), dtype=np.int64)
+    for k, symbol in enumerate((green, red, blue, alpha)):
+        values[: len(at), k], counts[: len(at), k] = codes[k].written[symbol], np.where(hit & (k > 0), 0, codes[k].n[symbol])
+    for k, (code, x, base) in enumerate(((codes[0], length, 256), (codes[4], far, 0))):
+        values[len(at) :, 2 * k], counts[len(at) :, 2 * k] = code.written[base + x[:, 0]], code.n[base + x[:, 0]]
+        values[len(at) :, 2 * k + 1], counts[len(at) :, 2 * k + 1] = x[:, 1], x[:, 2]
+    order = np.argsort(np.concatenate([at, starts]), kind="stable")
+    w.write_all(values[order].ravel(), counts[order].ravel())
+
+
+def best_modes(pixels: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """For each block the predictor that leaves the smallest samples."""
+    height, around = len(pixels) // width, neighbours(pixels, width)
+    down, across = np.arange(0, height, 1 << bits), np.arange(0, width, 1 << bits)
+    sums = []
+    for mode in range(14):
+        size = np.abs(residuals(around, width, mode).view(np.int8).reshape(height, width, 4).astype(np.int64)).sum(axis=2)
+        sums.append(np.add.reduceat(np.add.reduceat(size, down, axis=0), across, axis=1).ravel())
+    return np.argmin(np.stack(sums), axis=0)
+
+
+def best_elements(pixels: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """For each block the multipliers that fit red and blue to green, and blue to red, by least squares."""
+    height, across = len(pixels) // width, blocks_of(width, bits)
+    i = np.arange(len(pixels))
+    block = (i // width >> bits) * across + (i % width >> bits)
+    n = across * blocks_of(height, bits)
+    signed = lambda k: (pixels >> np.uint32(k) & np.uint32(255)).astype(np.uint8).view(np.int8).astype(float)
+    red, green, blue = signed(16), signed(8), signed(0)
+
+    def slope(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint(32 * np.bincount(block, x * y, n) / np.maximum(1, np.bincount(block, x * x, n))), -128, 127)
+
+    to_red, to_blue = slope(green, red), slope(green, blue)
+    red_blue = slope(red, blue - green * to_blue[block] / 32)
+    byte = lambda x: x.astype(np.int64).astype(np.uint32) & np.uint32(255)
+    return np.uint32(0xFF000000) | byte(red_blue) << np.uint32(16) | byte(to_blue) << np.uint32(8) | byte(to_red)
+
+
+def best_transforms(pixels: np.ndarray, width: int, bits: int) -> tuple[int, ...]:
+    """The transforms that save the most on the literals, by their entropies, each tried on what the
+    ones before it leave."""
+    out, least = [], literal_bits(pixels)
+    colours = np.unique(pixels[:2048])
+    if len(colours) <= 256 and len(colours := np.unique(pixels)) <= 256:
+        index = np.searchsorted(colours, pixels).astype(np.uint32) << np.uint32(8)
+        if literal_bits(steps_of(colours)) + literal_bits(index) / (1 << palette_bits(len(colours))) < least:
+            return (PALETTE,)
+    # differences tell whether neighbours, or the samples of a pixel, say anything about one another
+    four = pixels.view(np.uint8).reshape(-1, 4)
+    if len(four) > 1 and literal_bits((four[1:] - four[:-1]).reshape(-1).view(np.uint32)) < least:
+        left, modes = predictor_taken_off(pixels, width, bits, best_modes(pixels, width, bits))
+        if (now := literal_bits(left) + literal_bits(modes)) < least:
+            out, pixels, least = [PREDICTOR], left, now
+        elements = best_elements(pixels, width, bits)
+        if literal_bits(cross_colour(pixels, width, bits, elements, undo=False)) + literal_bits(elements) < least:
+            return (*out, CROSS_COLOUR)
+        if literal_bits(green_added(pixels, -1)) < least:
+            out.append(SUBTRACT_GREEN)
+    return tuple(out)
+
+
+def predictor_taken_off(pixels: np.ndarray, width: int, bits: int, modes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left, the modes as pixels) under a predictor for each block."""
+    i = np.arange(len(pixels))
+    of = modes[(i // width >> bits) * blocks_of(width, bits) + (i % width >> bits)]
+    left, around = np.zeros(len(pixels), dtype=np.uint32), neighbours(pixels, width)
+    for mode in np.unique(modes):
+        left = np.where(of == mode, residuals(around, width, int(mode)), left)
+    return left, (np.uint32(0xFF000000) | modes.astype(np.uint32) << np.uint32(8)).astype(np.uint32)
+
+
+def steps_of(table: np.ndarray) -> np.ndarray:
+    """A palette as it is stored: each colour less the one before it."""
+    return np.diff(table.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), dtype=np.uint8)).astype(np.uint8).reshape(-1).view(np.uint32)
 
 
-def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), cache_bits: int = 0, references: bool = True, bits: int = 3, mode: int | None = None) -> bytes:
-    """ARGB pixels as a compressed image, with the transforms named, in order. mode: one predictor
-    for all blocks; None: each block has another."""
+def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] | None = None, cache_bits: int | None = None, references: bool = True, bits: int = 4, mode: int | None = None) -> bytes:
+    """ARGB pixels as a compressed image, with the transforms named, in order (None: those that save
+    the most), a cache of so many bits (None: likewise). mode: one predictor for all blocks; None: the
+    best for each."""
     height, kept = len(pixels) // width, width
+    pixels = np.ascontiguousarray(pixels, dtype=np.uint32)
     w = Writer()
     head(w, width, height, bool((pixels >> 24 != 255).any()))
-    for kind in transforms:
+    for kind in best_transforms(pixels, width, bits) if transforms is None else transforms:
         w.write(1, 1)
         w.write(kind, 2)
         n = blocks_of(kept, bits) * blocks_of(height, bits)
         if kind == PREDICTOR:
-            modes = np.array([0xFF000000 | (i % 14 if mode is None else mode) << 8 for i in range(n)], dtype=np.uint32)
-            known, of = pixels.tolist(), (modes >> 8 & 15).tolist()
-            guess = np.array([predict(known, i, kept, of[(i // kept >> bits) * blocks_of(kept, bits) + (i % kept >> bits)]) for i in range(len(known))], dtype=np.uint32)
-            pixels = (pixels.view(np.uint8) - guess.view(np.uint8)).view(np.uint32)
+            modes = best_modes(pixels, kept, bits) if mode is None else np.full(n, mode)
+            pixels, shown = predictor_taken_off(pixels, kept, bits, modes)
             w.write(bits - 2, 3)
-            write_pixels(w, modes.tolist(), blocks_of(kept, bits))
+            write_pixels(w, shown, blocks_of(kept, bits))
         elif kind == CROSS_COLOUR:
-            elements = np.array([0xFF000000 | (i * 37 & 255) << 16 | (i * 91 & 255) << 8 | (i * 53 & 255) for i in range(n)], dtype=np.uint32)
+            elements = best_elements(pixels, kept, bits)
             pixels = cross_colour(pixels, kept, bits, elements, undo=False)
             w.write(bits - 2, 3)
-            write_pixels(w, elements.tolist(), blocks_of(kept, bits))
+            write_pixels(w, elements, blocks_of(kept, bits))
         elif kind == SUBTRACT_GREEN:
             pixels = green_added(pixels, -1)
         else:
             table, index = np.unique(pixels, return_inverse=True)
             if len(table) > 256:
                 raise ValueError("too many colours for a palette")
-            steps = np.diff(table.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), dtype=np.uint8)).astype(np.uint8).reshape(-1).view(np.uint32)
             w.write(len(table) - 1, 8)
-            write_pixels(w, steps.tolist(), len(table))
+            write_pixels(w, steps_of(table), len(table))
             b = palette_bits(len(table))
             wide = np.zeros((height, blocks_of(kept, b) << b), dtype=np.uint32)
             wide[:, :kept] = index.reshape(height, kept)
@@ -516,7 +888,7 @@ def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (SUBTRA
             kept = groups.shape[1]
             pixels = (0xFF000000 | sum(groups[:, :, k] << np.uint32((8 >> b) * k) for k in range(1 << b)) << np.uint32(8)).astype(np.uint32).ravel()
     w.write(0, 1)
-    write_pixels(w, pixels.tolist(), kept, main=True, cache_bits=cache_bits, references=references)
+    write_pixels(w, pixels, kept, main=True, cache_bits=cache_bits, references=references)
     return riff(w.bytes())
 
 
@@ -534,20 +906,23 @@ def payload(text: bytes) -> bytes:
 
 
 def stored(text: bytes) -> bytes:
-    whole = payload(text)
-    return b"".join(store(whole[i : i + WIDTH * MOST_ROWS], WIDTH) for i in range(0, len(whole), WIDTH * MOST_ROWS))
+    """The payload as opaque RGB images, three bytes a pixel."""
+    samples = np.frombuffer(payload(text), dtype=np.uint8).reshape(-1, 3)
+    four = np.full((len(samples), 4), 255, dtype=np.uint8)
+    four[:, :3] = samples[:, ::-1]
+    pixels, most = four.reshape(-1).view(np.uint32), WIDTH // 3 * MOST_ROWS
+    return b"".join(encode(pixels[i : i + most], WIDTH // 3) for i in range(0, len(pixels), most))
 
 
 def opened(data: bytes) -> tuple[int, int, int, bytes]:
-    """(width, height, channels, samples) of the images in data, one below the other: one channel if
-    all are grey and opaque, else red, green, blue, alpha."""
+    """(width, height, channels, samples) of the images in data, one below the other: red, green, blue
+    if all are opaque, else alpha as well."""
     parts = [decode(x) for x in images(data)]
     pixels = np.concatenate([p for _, _, p in parts]) if parts else np.zeros(0, dtype=np.uint32)
     width, height = (parts[0][0] if parts else 0), sum(h for _, h, _ in parts)
     four = pixels.view(np.uint8).reshape(-1, 4)
-    if (four[:, 3] == 255).all() and (four[:, 0] == four[:, 1]).all() and (four[:, 2] == four[:, 1]).all():
-        return width, height, 1, four[:, 1].tobytes()
-    return width, height, 4, four[:, [2, 1, 0, 3]].tobytes()
+    channels = 3 if (four[:, 3] == 255).all() else 4
+    return width, height, channels, four[:, [2, 1, 0, 3][:channels]].tobytes()
 
 
 def feature(samples: bytes, width: int, channels: int) -> str:

@@ -53,12 +53,92 @@ def test_meta_codes():
     assert x.reshape(4, 8)[:, :4].tolist() == [[0xFF010A02] * 4] * 4 and x.reshape(4, 8)[:, 4:].tolist() == [[0xFF01C802] * 4] * 4
 
 
+def test_fixed_bytes():
+    """Streams written down by hand from the format's public description, not by the encoder here."""
+
+    def image(fields):
+        value = at = 0
+        for x, n in fields:
+            value |= x << at
+            at += n
+        return webp.riff(value.to_bytes((at + 7) // 8, "little"))
+
+    size = [(0x2F, 8), (3, 14), (1, 14), (0, 1), (0, 3)]  # 4 by 2, opaque
+    single = lambda s: [(1, 1), (0, 1), (1, 1), (s, 8)]
+    two = lambda a, b: [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+    # greens 5 and 9 (bits 0 and 1), red 1, blue 2: literals alone
+    plain = image([*size, (0, 1), (0, 1), (0, 1), *two(5, 9), *single(1), *single(2), *single(255), *single(0), *((b, 1) for b in (0, 1, 1, 0, 1, 0, 0, 1))])
+    assert [x >> 8 & 255 for x in webp.decode(plain)[2]] == [5, 9, 9, 5, 9, 5, 5, 9] and {int(x) & 0xFFFF00FF for x in webp.decode(plain)[2]} == {0xFF010002}
+    # subtract green: red and blue come back as 1 + green and 2 + green
+    green = image([*size, (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *two(5, 9), *single(1), *single(2), *single(255), *single(0), *((b, 1) for b in (0, 1, 1, 0, 1, 0, 0, 1))])
+    assert [int(x) for x in webp.decode(green)[2][:2]] == [0xFF060507, 0xFF0A090B]
+    # the predictor "left" for the one block: differences add up along the first row, the first column looks up
+    left = image([*size, (1, 1), (0, 2), (0, 3), (0, 1), *single(1), *single(0), *single(0), *single(255), *single(0), (0, 1), (0, 1), (0, 1), *two(1, 3), *single(0), *single(0), *single(0), *single(0), *((b, 1) for b in (0, 1, 0, 0, 1, 0, 0, 1))])
+    assert [x >> 8 & 255 for x in webp.decode(left)[2]] == [1, 4, 5, 6, 4, 5, 6, 9] and {int(x) >> 24 for x in webp.decode(left)[2]} == {255}
+    # a palette of two colours, eight indices to a pixel: colours are stored as differences
+    pair = image([*size, (1, 1), (3, 2), (1, 8), (0, 1), *two(7, 20), *single(0), *single(0), *two(0, 255), *single(0), (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (0, 1), (0, 1), *two(0b0110, 0b1001), *single(0), *single(0), *single(255), *single(0), (0, 1), (1, 1)])
+    assert [x >> 8 & 255 for x in webp.decode(pair)[2]] == [7, 27, 27, 7, 27, 7, 7, 27]
+    # green 5 and the length symbol 256 + 2 (three pixels) have one bit each; distance symbol 1 is code 2, the pixel before
+    table = webp.PrefixCode(np.array([1 if i in (5, 258) else 0 for i in range(280)]))
+    w = webp.Writer()
+    webp.head(w, 4, 2, False)
+    for x, n in ((0, 1), (0, 1), (0, 1)):
+        w.write(x, n)
+    assert webp.write_code(w, np.array([1 if i in (5, 258) else 0 for i in range(280)])).both.tolist() == table.both.tolist()
+    for x, n in [*single(1), *single(2), *single(255), *single(1), (0, 1), (1, 1), (1, 1), (0, 1)]:
+        w.write(x, n)
+    assert {int(x) for x in webp.decode(webp.riff(w.bytes()))[2]} == {0xFF010502}
+
+
+def test_colour_cache_by_hand():
+    w = webp.Writer()
+    webp.head(w, 3, 1, False)
+    for x, n in ((0, 1), (1, 1), (1, 4), (0, 1)):  # a cache of two places
+        w.write(x, n)
+    slot = (0xFF010502 * 0x1E35A7BD & 0xFFFFFFFF) >> 31
+    webp.write_code(w, np.array([1 if i in (5, 280 + slot) else 0 for i in range(282)]))
+    for symbol in (1, 2, 255, 0):
+        webp.write_single(w, symbol)
+    for bit in (0, 1, 1):
+        w.write(bit, 1)
+    assert [int(x) for x in webp.decode(webp.riff(w.bytes()))[2]] == [0xFF010502] * 3
+
+
+@pytest.mark.parametrize("stretch", [8, 64, 1 << 18])
+@pytest.mark.parametrize("cache_bits", [0, 4])
+def test_arrays_equal_symbol_by_symbol(monkeypatch, cache_bits, stretch):
+    """The two ways to read pixels agree, whatever the stretch of bits that is looked up at once."""
+    by_arrays = webp.pixels_by_arrays
+    for seed in range(6):
+        x = picture(23, 17, (None, 5, 40)[seed % 3], seed)
+        data = webp.encode(x, 23, (GREEN,) if seed % 2 else (), cache_bits)
+        monkeypatch.setattr(webp, "MANY", 1 << 40)
+        assert (webp.decode(data)[2] == x).all()
+        monkeypatch.setattr(webp, "MANY", 1)
+        monkeypatch.setattr(webp, "pixels_by_arrays", lambda *a: by_arrays(*a, stretch))
+        assert (webp.decode(data)[2] == x).all()
+        with pytest.raises(ValueError):
+            webp.decode(data[: len(data) * 2 // 3])
+        monkeypatch.setattr(webp, "pixels_by_arrays", by_arrays)
+
+
+def test_text_gets_smaller_with_references_and_cache(monkeypatch):
+    text = " ".join(f"word{i * i % 37} of the line {i % 11}" for i in range(400)).encode()
+    used = []
+    real = webp.best_cache
+    monkeypatch.setattr(webp, "best_cache", lambda *a: used.append(real(*a)) or used[-1])
+    assert len(webp.stored(text)) < len(text) / 2 and webp.opened(webp.stored(text))[3] == webp.payload(text)
+    assert webp.copies(np.frombuffer(webp.payload(text), dtype=np.uint8).reshape(-1, 3).astype(np.uint32) @ np.array([1, 256, 65536], dtype=np.uint32), 192)
+    smooth = np.add.outer(np.arange(400), np.arange(64) ** 2 // 3).astype(np.uint32).ravel() * np.uint32(0x010203) | np.uint32(0xFF000000)
+    assert webp.PREDICTOR in webp.best_transforms(smooth, 64, 4) and (webp.decode(webp.encode(smooth, 64))[2] == smooth).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 5000])
 def test_stored_payload(n):
     text = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
     data = webp.stored(text)
     width, height, channels, samples = webp.opened(data)
-    assert samples == text + b"\xff" * (len(samples) - n) and len(samples) % 576 == 0 and samples and channels == 1 and width * height == len(samples)
+    assert samples == text + b"\xff" * (len(samples) - n) and len(samples) % 576 == 0 and samples and channels == 3 and width * height * 3 == len(samples)
     slow = webp.decode(webp.encode(np.frombuffer(samples, dtype=np.uint8).astype(np.uint32) * 0x10101 | np.uint32(0xFF000000), 576))[2]
     assert (slow.view(np.uint8)[1::4].tobytes()) == samples
 
