@@ -44,6 +44,9 @@ LEAST_COPY, MOST_COPY, MOST_DISTANCE = 3, 4096, (1 << 20) - 120
 CACHE_BITS = 8
 #: The encoder's own code for code lengths, the same for all images: bits of each of the 19 symbols.
 LENGTH_CODE = (4, 6, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 7, 7, 6, 0, 3, 5)
+#: What stands before code lengths: a normal code, all 19 lengths, no limit of symbols.
+LENGTH_HEAD = ((0, 1), (15, 4), (sum(LENGTH_CODE[s] << 3 * i for i, s in enumerate(CODE_ORDER[:9])), 27), (sum(LENGTH_CODE[s] << 3 * i for i, s in enumerate(CODE_ORDER[9:])), 30), (0, 1))
+SHIFTS = np.arange(8)
 #: An image of so many pixels is decoded by arrays.
 MANY = 256
 
@@ -302,10 +305,9 @@ def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes:
                 raise ValueError("the image ends early")
         base = r.at & ~7
         count = min(stretch, max(8, r.end - base), (60 * (total - held) + 15) & ~7)
-        raw = data[base >> 3 : (base + count >> 3) + 20].astype(np.uint32)
-        near = (raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)).repeat(8)
-        near >>= np.tile(np.arange(8, dtype=np.uint32), len(raw) - 3)
-        near = (near & np.uint32(0x1FFFFFF)).astype(np.int64)  # 25 bits from every position on
+        raw = data[base >> 3 : (base + count >> 3) + 20].astype(np.int64)
+        # 25 bits and more from every position on
+        near = ((raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[:, None] >> SHIFTS).ravel()
         after = green.sizes.take(at_green := near[:count] & green.mask)
         after += np.arange(count)
         special = green.above.take(at_green).nonzero()[0]
@@ -380,7 +382,8 @@ def resolved(kinds: np.ndarray, value: np.ndarray, n: np.ndarray, away: np.ndarr
         slot = (pixels[:-1] * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
         slot[begin[hit]] = kinds[hit] - 256 - LENGTHS
         slot = slot[came]
-        order = np.argsort(slot, kind="stable")
+        slot = slot.astype(np.uint16)
+        order = slot.argsort(kind="stable")
         before = np.full(total, total)
         same = slot[order[1:]] == slot[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
@@ -647,26 +650,23 @@ def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
         return PrefixCode(lengths)
     # runs of zeros, at most 138 long, and every other length on its own
     zero = lengths == 0
-    begin = np.concatenate([[True], ~zero[1:] | ~zero[:-1]]).nonzero()[0]
+    begins = np.ones(len(lengths), dtype=bool)
+    begins[1:] = ~(zero[1:] & zero[:-1])
+    begin = begins.nonzero()[0]
     run = np.concatenate([begin[1:], [len(lengths)]]) - begin
-    if run.max() > 138:
-        begin = np.unique(np.concatenate([begin, *(np.arange(x, x + k, 138) for x, k in zip(begin[run > 138], run[run > 138], strict=True))]))
-        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
-    if (run == 2).any():
-        begin = np.unique(np.concatenate([begin, begin[run == 2] + 1]))
-        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
-    long = run > 10
-    steps = np.where(run == 1, lengths[begin], 17 + long)
-    extras = np.where(run == 1, 0, run - np.where(long, 11, 3))
-    extra_bits = np.where(run == 1, 0, np.where(long, 7, 3))
-    w.write(0, 1)
-    w.write(19 - 4, 4)
-    for i in CODE_ORDER:
-        w.write(LENGTH_CODE[i], 3)
-    w.write(0, 1)
+    for x, k in zip(begin[run > 138].tolist(), run[run > 138].tolist(), strict=True):
+        begins[x : x + k : 138] = True
+    begins[begin[run == 2] + 1] = True
+    begin = begins.nonzero()[0]
+    run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+    one, long = run == 1, run > 10
+    fields, counts = np.zeros((len(run), 2), dtype=np.int64), np.zeros((len(run), 2), dtype=np.int64)
+    steps = np.where(one, lengths[begin], 17 + long)
     code = code_of_lengths(LENGTH_CODE)
-    fields, counts = np.empty((len(steps), 2), dtype=np.int64), np.empty((len(steps), 2), dtype=np.int64)
-    fields[:, 0], fields[:, 1], counts[:, 0], counts[:, 1] = code.written[steps], extras, code.n[steps], extra_bits
+    fields[:, 0], fields[:, 1] = code.written[steps], np.where(one, 0, run - np.where(long, 11, 3))
+    counts[:, 0], counts[:, 1] = code.n[steps], np.where(one, 0, np.where(long, 7, 3))
+    for value, n in LENGTH_HEAD:
+        w.write(value, n)
     w.write_all(fields.ravel(), counts.ravel())
     return PrefixCode(lengths)
 
@@ -691,15 +691,19 @@ def copies(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     for k in range(LEAST_COPY):
         name = (name ^ pixels[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         name ^= name >> np.uint64(29)
-    order = np.argsort(name, kind="stable")
-    again = order[1:][name[order[1:]] == name[order[:-1]]]
-    before = order[:-1][name[order[1:]] == name[order[:-1]]]
+    if n < 4096:  # few enough for short names, which sort faster
+        name = (name >> np.uint64(48)).astype(np.uint16)
+    order = name.argsort(kind="stable")
+    name = name[order]
+    again = (name[1:] == name[:-1]).nonzero()[0]
+    again, before = order[again + 1], order[again]
     same = again - before <= MOST_DISTANCE
     for k in range(LEAST_COPY):
         same &= pixels[again + k] == pixels[before + k]
     distance = np.zeros(n, dtype=np.int64)
     distance[again[same]] = (again - before)[same]
-    edge = np.flatnonzero(np.diff(distance, prepend=0, append=0))
+    wide = np.concatenate([[0], distance, [0]])
+    edge = (wide[1:] != wide[:-1]).nonzero()[0]
     out, at = [], 0
     for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=False):
         d = int(distance[lo]) if lo < n else 0
@@ -727,34 +731,38 @@ def literal_bits(pixels: np.ndarray) -> float:
 
 def cached(pixels: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place in the cache, whether it holds the pixel) for each pixel of `at`."""
-    slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - bits)
-    order = np.argsort(slot, kind="stable")
-    before = np.full(len(pixels), -1)
-    same = slot[order[1:]] == slot[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    return slot[at].astype(np.int64), np.where(before[at] < 0, pixels[at] == 0, pixels[at] == pixels[before[at]])
+    slot = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - bits)).astype(np.uint16)
+    order = slot.argsort(kind="stable")
+    sorted_slots, sorted_pixels = slot[order], pixels[order]
+    hit = np.empty(len(pixels), dtype=bool)
+    # of a place the first pixel meets the zero that it starts with
+    hit[order[1:]] = np.where(sorted_slots[1:] == sorted_slots[:-1], sorted_pixels[1:] == sorted_pixels[:-1], sorted_pixels[1:] == 0)
+    hit[order[:1]] = sorted_pixels[:1] == 0
+    return slot[at].astype(np.int64), hit[at]
 
 
 def best_cache(pixels: np.ndarray, at: np.ndarray) -> int:
-    """The bits of the colour cache if it saves something on the literals, else 0."""
+    """The bits of the colour cache if it saves something on the literals, else 0: a hit takes a symbol
+    of so many bits, about, and its symbol a place in the code's table."""
     bits = min(CACHE_BITS, len(at).bit_length() - 2)
     if bits < 1:
         return 0
     slot, hit = cached(pixels, at, bits)
-    miss = pixels[at[~hit]].view(np.uint8).reshape(-1, 4)
-    with_cache = entropy(np.concatenate([miss[:, 1], 256 + slot[hit]])) + entropy((miss[:, [0, 2, 3]] + np.array([0, 256, 512])).ravel()) - 3 * np.log2(3) * len(miss)
-    return bits if with_cache < literal_bits(pixels[at]) else 0
+    found = slot[hit]
+    saved = literal_bits(pixels[at]) / len(at) - bits - 1
+    return bits if saved * len(found) > 5 * np.count_nonzero(np.bincount(found)) else 0
 
 
 def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int | None = 0, references: bool = False) -> None:
     """Greedy back-references, hits of a colour cache (None: the one that saves the most), literals."""
     pixels = np.asarray(pixels, dtype=np.uint32)
     steps = copies(pixels, width) if references else []
-    covered = np.zeros(len(pixels) + 1, dtype=np.int64)
-    starts = np.array([s for s, _, _ in steps], dtype=np.int64)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + np.array([n for _, n, _ in steps], dtype=np.int64), -1)
-    at = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    starts, spans = (np.array(x, dtype=np.int64) for x in ([t for t, _, _ in steps], [n for _, n, _ in steps]))
+    depth = np.zeros(len(pixels) + 1, dtype=np.int8)
+    depth[starts] += 1
+    depth[starts + spans] -= 1
+    begins = depth[:-1].cumsum(dtype=np.int8) == 0
+    at = begins.nonzero()[0]
     if cache_bits is None:
         cache_bits = best_cache(pixels, at)
     w.write(int(cache_bits > 0), 1)
@@ -780,7 +788,10 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False,
     for k, (code, x, base) in enumerate(((codes[0], length, 256), (codes[4], far, 0))):
         values[len(at) :, 2 * k], counts[len(at) :, 2 * k] = code.written[base + x[:, 0]], code.n[base + x[:, 0]]
         values[len(at) :, 2 * k + 1], counts[len(at) :, 2 * k + 1] = x[:, 1], x[:, 2]
-    order = np.argsort(np.concatenate([at, starts]), kind="stable")
+    place = np.empty(len(pixels), dtype=np.int64)
+    place[at], place[starts] = np.arange(len(at)), np.arange(len(at), len(at) + len(steps))
+    begins[starts] = True
+    order = place[begins]
     w.write_all(values[order].ravel(), counts[order].ravel())
 
 
