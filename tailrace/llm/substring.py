@@ -6,17 +6,20 @@ so that equal windows always lie in fragments with the same minimizer, wherever
 that repeat can only be found under minimizers that several documents have; the distinct fragments
 under each of those are the reference. They are dealt to tasks by minimizer: a shard's suffix
 automaton has to be sent only to the fragments that may match in it, which are in the same task, and
-not to all documents. Streaming them through the automaton gives, for each window, the smallest
-document that its words occur in; a fragment that is alone under its minimizer needs no automaton.
-The documents then take the windows out that a smaller document has.
+not to all documents. Streaming every one of them through the automata gives, for each window, the
+smallest document that its words occur in. The documents then take the windows out that a smaller
+document has.
 
-Sequences of words are compared as sequences of 64-bit word hashes.
+The automata read the words themselves. Hashes (BLAKE2 of each word's bytes) only file fragments and
+name them; before a document loses a window of a fragment, a second digest of the fragment's bytes is
+compared with that of the fragment which the automata read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,11 @@ WINDOW, GRAM = 13, 5
 SHARD_WORDS = 50_000
 #: Stands for no document.
 NONE = (1 << 63) - 1
-#: Bytes that are hashed at once.
+#: Bytes that are cut into words at once.
 STRETCH = 1 << 19
-BYTE_BASE, GRAM_BASE, FRAGMENT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Words whose hashes a worker keeps, and the longest of them; beyond that the store fills anew.
+KNOWN, KNOWN_BYTES = 200_000, 64
+GRAM_BASE, FRAGMENT_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 @lru_cache(maxsize=8)
@@ -62,6 +67,23 @@ def stretches(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+known: dict[bytes, int] = {}
+
+
+def word_hash(word: bytes) -> int:
+    h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+    if len(word) <= KNOWN_BYTES:
+        if len(known) >= KNOWN:
+            known.clear()
+        known[word] = h
+    return h
+
+
+def digest(fragment: bytes) -> int:
+    """Of a fragment's words, a space between them; independent of their hashes."""
+    return int.from_bytes(blake2b(fragment, digest_size=8, person=b"fragment").digest(), "little", signed=True)
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """The hash of each word, in order."""
     out, at = [], 0
@@ -74,10 +96,8 @@ def word_hashes(text: bytes) -> np.ndarray:
                 cut = at + int(apart[-1]) + 1
             else:
                 cut = min((i for i in (text.find(bytes([c]), at + STRETCH) for c in b" \t\n\x0b\x0c\r") if i >= 0), default=len(text))
-        b = np.frombuffer(text, dtype=np.uint8, count=cut - at, offset=at)
-        apart = np.r_[True, (b == 32) | ((b >= 9) & (b <= 13)), True]
-        edge = np.flatnonzero(apart[1:] != apart[:-1])
-        out.append(stretches(b.astype(np.uint64) + np.uint64(1), edge[::2], edge[1::2], BYTE_BASE))
+        words = text[at:cut].split()
+        out.append(np.fromiter((known.get(w) or word_hash(w) for w in words), dtype=np.uint64, count=len(words)))
         at = cut
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
@@ -110,10 +130,10 @@ class SuffixAutomaton:
     """Of several word sequences; low is the smallest document of each state."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[Hashable, int]] = [{}]
         self.link, self.length, self.low = [-1], [0], [NONE]
 
-    def add(self, words: list[int], document: int) -> None:
+    def add(self, words: list[Hashable], document: int) -> None:
         nexts, link, length, low = self.next, self.link, self.length, self.low
         last = 0
         for c in words:
@@ -140,7 +160,7 @@ class SuffixAutomaton:
             if document < low[last]:
                 low[last] = document
 
-    def split(self, p: int, q: int, c: int) -> int:
+    def split(self, p: int, q: int, c: Hashable) -> int:
         nexts, link, length = self.next, self.link, self.length
         twin = len(nexts)
         nexts.append(dict(nexts[q]))
@@ -160,7 +180,7 @@ class SuffixAutomaton:
             if low[s] < low[link[s]]:
                 low[link[s]] = low[s]
 
-    def lows(self, words: list[int], window: int) -> list[int]:
+    def lows(self, words: list[Hashable], window: int) -> list[int]:
         """For each window of the words the smallest document that it occurs in (NONE: in none), from
         the matching statistics: the longest ending of what was read that occurs."""
         nexts, link, length, low = self.next, self.link, self.length, self.low
@@ -182,7 +202,7 @@ class SuffixAutomaton:
         return out
 
 
-def smallest(found: list[tuple[list[int], int]], window: int, shard_words: int = SHARD_WORDS) -> list[list[int]]:
+def smallest(found: list[tuple[list[Hashable], int]], window: int, shard_words: int = SHARD_WORDS) -> list[list[int]]:
     """For each (words, document) the smallest document of each window among all of them."""
     out: list[list[int]] = []
     at = 0
@@ -205,8 +225,9 @@ def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, fragments, masks): the fragments of each document that have windows which a smaller
-    document has too, and which windows these are, as bits. held: docs dealt by key, the doc_id."""
+    """(key, found): the fragments of each document that have windows which a smaller document has too:
+    their names, the digests they have to have, and which windows these are, as bits. held: docs
+    dealt by key, the doc_id."""
     n = partitions(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,53 +245,57 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
     whole = T.StructType([T.StructField(c, T.LongType(), False) for c in ("anchor", "fragment", "doc_id")])
     found = docs.where("doc_id is not null").mapInArrow(cut, whole).repartition(n, "anchor")
     distinct = found.groupBy("anchor", "fragment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    mine = found.join(shared.select("anchor", "n", "low"), "anchor").where("doc_id > low")
-    alone = mine.where("n = 1").select("doc_id", "fragment", F.lit(-1).cast("long").alias("mask"))
+    shared = distinct.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    mine = found.join(shared.select("anchor", "low"), "anchor").where("doc_id > low").select("anchor", "fragment", "doc_id")
 
-    # the words of the other distinct fragments, from the smallest document of each
-    wanted = distinct.join(shared.where("n > 1").select("anchor"), "anchor").groupBy(F.col("low").alias("key")).agg(F.collect_list("fragment").alias("wanted"))
+    # the words of the distinct fragments, from the smallest document of each
+    wanted = distinct.join(shared.select("anchor"), "anchor").groupBy(F.col("low").alias("key")).agg(F.collect_list("fragment").alias("wanted"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 2_000_000):
             ids, want = b.column("key").to_pylist(), b.column("wanted").to_pylist()
-            words, document = batch_words([(t or "").encode() for t in b.column("text").to_pylist()])
-            start, count, anchor, name = fragments(words, document, window, gram)
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            hashes, document = batch_words(texts)
+            start, count, anchor, name = fragments(hashes, document, window, gram)
             name = name.view(np.int64)
             keep = np.isin(name, np.array([f for w in want for f in w], dtype=np.int64))
-            rows = []
+            first = np.searchsorted(document, np.arange(len(texts)))
+            rows, at, words = [], -1, []
             sets = [set(w) for w in want]
             for s, c, a, f, d in zip(start[keep].tolist(), count[keep].tolist(), anchor[keep].view(np.int64).tolist(), name[keep].tolist(), document[start[keep]].tolist(), strict=True):
                 if f in sets[d]:
                     sets[d].discard(f)
-                    rows.append((a, f, ids[d], words[s : s + c + window - 1].tobytes()))
+                    if d != at:
+                        at, words, begin = d, texts[d].split(), int(first[d])
+                    rows.append((a, f, ids[d], b" ".join(words[s - begin : s - begin + c + window - 1])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "fragment", "low", "words"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, int, int, list[int]]] = []
+        waiting: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
-            lows = smallest([(w, d) for _, _, d, w in waiting], window)
-            return pa.RecordBatch.from_arrays([pa.array([w[0] for w in waiting], pa.int64()), pa.array([w[1] for w in waiting], pa.int64()), pa.array(lows, pa.list_(pa.int64()))], names=["anchor", "fragment", "lows"])
+            lows = smallest([(w.split(b" "), d) for _, _, d, w in waiting], window)
+            columns = [pa.array(c, pa.int64()) for c in ([w[0] for w in waiting], [w[1] for w in waiting], [digest(w[3]) for w in waiting])]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(lows, pa.list_(pa.int64()))], names=["anchor", "fragment", "digest", "lows"])
 
         for b in batches:
             for a, f, d, w in zip(*(b.column(c).to_pylist() for c in ("anchor", "fragment", "low", "words")), strict=True):
                 if size >= SHARD_WORDS and waiting[-1][0] != a:
                     yield emit()
                     waiting, size = [], 0
-                waiting.append((a, f, d, np.frombuffer(w, dtype=np.uint64).tolist()))
-                size += len(waiting[-1][3])
+                waiting.append((a, f, d, w))
+                size += w.count(b" ") + 1
         if waiting:
             yield emit()
 
     # the same columns as in the other use of the exchange
     reference = held.join(wanted, "key").select("key", "doc_id", "text", "wanted").mapInArrow(spell, "anchor long, fragment long, low long, words binary")
-    lows = reference.repartition(n, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(stream, "anchor long, fragment long, lows array<long>")
-    several = mine.where("n > 1").select("anchor", "fragment", "doc_id").join(lows, ["anchor", "fragment"])
+    lows = reference.repartition(n, "anchor").sortWithinPartitions("anchor", "fragment").mapInArrow(stream, "anchor long, fragment long, digest long, lows array<long>")
+    several = mine.join(lows, ["anchor", "fragment"])
     bits = F.aggregate(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    several = several.select("doc_id", "fragment", bits.alias("mask")).where("mask <> 0")
-    return alone.unionAll(several).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("fragment").alias("fragments"), F.collect_list("mask").alias("masks"))
+    several = several.select("doc_id", "fragment", "digest", bits.alias("mask")).where("mask <> 0")
+    return several.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("fragment", "digest", "mask")).alias("found"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -280,8 +305,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     A word goes if a window of `window` words around it also starts in a document with a smaller
     doc_id; windows are those of the input. Rows of equal doc_id do not take words from each other.
     Rows without doc_id neither give nor lose words. Null text has no words. Empty table: no rows.
-    Other columns are ignored.
+    Other columns are ignored. A window has from gram to gram + 62 words: the windows of a fragment
+    are the bits of a long.
     """
+    if not 1 <= gram <= window <= gram + 62:
+        raise ValueError("a window must have from gram to gram + 62 words")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # rows without doc_id are dealt by their text; they find nothing
     key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
@@ -292,20 +320,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
         for b in blocks(batches, "text", 1_000_000):
             rows = []
-            for doc_id, text, names, masks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "fragments", "masks")), strict=True):
+            for doc_id, text, claims in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
                 data = (text or "").encode()
                 words = data.split()
-                if not names or doc_id is None:
+                if not claims or doc_id is None:
                     rows.append((len(words), [], b" ".join(words)))
                     continue
                 hashes = word_hashes(data)
                 start, count, _, name = fragments(hashes, np.zeros(len(hashes), dtype=np.int64), window, gram)
-                mask = {}
-                for f, m in zip(names, masks, strict=True):
-                    mask[f] = mask.get(f, 0) | m
+                mask: dict[tuple[int, int], int] = {}
+                for f in claims:
+                    key = f["fragment"], f["digest"]
+                    mask[key] = mask.get(key, 0) | f["mask"]
+                claimed = {f for f, _ in mask}
                 step = np.zeros(len(words) + 1, dtype=np.int64)
                 for s, c, f in zip(start.tolist(), count.tolist(), name.view(np.int64).tolist(), strict=True):
-                    m = mask.get(f, 0)
+                    m = mask.get((f, digest(b" ".join(words[s : s + c + window - 1]))), 0) if f in claimed else 0
                     for i in range(c if m else 0):
                         if m >> i & 1:
                             step[s + i] += 1
@@ -318,5 +348,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             new = [pa.array([r[i].decode() for r in rows] if i == 2 else [r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *new], names=["doc_id", "n_words", "spans", "kept"])
 
-    joined = held.join(gone, "key", "left").select("doc_id", "text", "fragments", "masks")
+    joined = held.join(gone, "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(take_out, "doc_id long, n_words long, spans array<struct<start:int,n:int>>, kept string")

@@ -114,6 +114,23 @@ def test_substring(docs, seed, vocabulary):
     assert substring.substring_dedup(docs([(1, "x")]).limit(0)).count() == 0
 
 
+def test_substring_compares_words(docs):
+    """Words that sums of powers confuse are told apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = " ".join(f"x{i}" for i in range(12))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{rest} {a}"), (4, f"{a} {rest}")]
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in substring.substring_dedup(docs(rows)).collect())
+    assert got == brute_substring(rows, 13) and got[1][2] == rows[1][1] and got[3][2] == ""
+
+
+@pytest.mark.parametrize("window,gram", [(4, 5), (68, 5), (3, 0)])
+def test_substring_refuses_windows_it_cannot_hold(docs, window, gram):
+    with pytest.raises(ValueError):
+        substring.substring_dedup(docs([(1, "x")]), window, gram)
+
+
 def test_automaton_matches_by_shards():
     r = random.Random(5)
     found = [([r.randrange(3) for _ in range(r.randint(4, 25))], d) for d in range(30)]
