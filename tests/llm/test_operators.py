@@ -346,6 +346,34 @@ def test_top_k(spark):
     assert [(x["rank"]) for x in few] == [1, 2]
 
 
+def brute_top_k(rows, k=5):
+    got = []
+    for n, (i, q) in enumerate(rows):
+        if i % 50 == 0:
+            ranked = sorted((-int(np.floor(np.array(q) * 256).astype(int) @ np.floor(np.array(x) * 256).astype(int)), j) for m, (j, x) in enumerate(rows) if m != n)[:k]
+            got += [(i, r + 1, j, -s) for r, (s, j) in enumerate(ranked)]
+    return sorted(got)
+
+
+def test_top_k_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [5.0, 0.0]), (4, [0.5, 0.0]), (0, [1.0, 0.0]), (0, [-1.0, 2.0]), (50, [0.0, 0.0]), (3, [5.0, 0.0])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()) == brute_top_k(rows)
+
+
+def test_top_k_deals_few_rows_where_there_are_clusters(spark, monkeypatch):
+    """Rows go to the groups that they may matter to: far fewer where vectors have clusters, never too few."""
+    r = np.random.default_rng(3)
+    middle = 8 * np.eye(6)
+    rows = [(i, (middle[i % 6] + 0.05 * r.normal(size=6)).round(4).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(knn, "GROUPS", 6)
+    v, size = knn.numbered(df, 256, 50)
+    dealt = knn.voronoi(v, size, 5, 50).where("kind = 1").count()
+    assert dealt <= 1.1 * len(rows)  # of the 6 groups about one a row
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in knn.top_k(df).collect()) == brute_top_k(rows)
+
+
 # ---------------------------------------------------------------- 9 quality
 
 
