@@ -1,9 +1,11 @@
 """A quality classifier from compression: zstandard dictionaries of good and of bad text.
 
-A text that resembles what a dictionary was built from compresses to fewer bytes with it. The
-difference of the two sizes, divided by the text's and by its plainly compressed size, goes through
-a logistic calibration (with the sizes a byte and their products, which tell repetitive text apart)
-that was fitted to other labelled rows than the dictionaries.
+A text that resembles what a dictionary was built from compresses to fewer bytes with it. A text is
+compressed in pieces, each on its own, so that what it repeats does not hide what it is like. The
+difference of its sizes with the two dictionaries, a byte, goes through a logistic calibration that
+was fitted to other labelled rows than the dictionaries. Beside the difference the calibration knows
+one more number: how small the text gets without a dictionary, since text that says one thing over
+and over gets as small with either.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ DICTIONARY_DOCS, CALIBRATION_DOCS = 1500, 3000
 #: Characters of a piece; sampled documents go to the dictionary trainer whole, in such pieces.
 PIECE_CHARS = 8000
 DICTIONARY_BYTES, LEVEL = 65536, 1
+#: Bytes that are compressed at once.
+PIECE_BYTES = 1024
 GOOD_FROM = 0.7
 
 
@@ -38,11 +42,9 @@ def compressors(dictionaries: tuple[bytes, bytes]) -> list[zstandard.ZstdCompres
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """From (bytes, bytes with the bad, the good and no dictionary) of each text."""
+    """(difference, own size) a byte, from (bytes, bytes with the bad, the good and no dictionary)."""
     n = np.maximum(sizes[:, 0].astype(float), 1.0)
-    bad, good, plain = (sizes[:, i].astype(float) for i in (1, 2, 3))
-    x = np.stack([(bad - good) / n, (bad - good) / plain, bad / n, good / n, plain / n, np.log(n)], axis=1)
-    return np.concatenate([x, *(x[:, [i]] * x[:, i:] for i in range(x.shape[1]))], axis=1)
+    return np.stack([(sizes[:, 1] - sizes[:, 2]) / n, sizes[:, 3] / n], axis=1)
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ def sizes_of(dictionaries: tuple[bytes, bytes] | None) -> Callable:
         by = compressors(dictionaries) if dictionaries else []
         for b in blocks(batches, "text"):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            rows = [[len(t), *(len(c.compress(t)) for c in by)] for t in texts]
+            rows = [[len(t), *(sum([len(c.compress(t[i : i + PIECE_BYTES])) for i in range(0, len(t), PIECE_BYTES)]) for c in by)] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "sizes"])
 
     return run
@@ -102,7 +104,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled documents that are not held out: the first of
     each class in the order of their ids' MD5. Labels other than 0 and 1, and ids or labels that are
-    null, are passed over; an id labelled twice counts by its smaller label."""
+    null, are passed over; an id labelled twice counts by its smaller label, an id with several texts
+    by the smallest of them. Null and empty texts say nothing for a dictionary. Without both classes,
+    or without rows, the model knows the share of good labels alone (a half without labels)."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("quality").alias("quality")).withColumn("key", F.md5(F.col("id").cast("string").cast("binary")))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -122,15 +126,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def chosen(rows: list[tuple[int, int]]) -> DataFrame:
         small = docs.sparkSession.createDataFrame(rows, "id long, quality int")
-        return texts.join(F.broadcast(small), texts.doc_id == small.id)
+        return texts.join(F.broadcast(small), texts.doc_id == small.id).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
-    seen = chosen(use[0]).select("id", "quality", "text").orderBy("id", "text").limit(4 * DICTIONARY_DOCS).collect()
+    # no more rows than ids were chosen, whole
+    seen = chosen(use[0]).orderBy("doc_id").collect()
     by_class = tuple([t[i : i + PIECE_CHARS].encode() for r in seen if r["quality"] == q and (t := r["text"]) for i in range(0, len(t), PIECE_CHARS)] for q in (0, 1))
     if not all(by_class):
         return Model(None, np.zeros(0), np.ones(0), np.zeros(0), share)
     dictionaries = (dictionary(by_class[0]), dictionary(by_class[1]))
     quality = dict(use[1])
-    rows = chosen(use[1]).select("doc_id", "text").mapInArrow(sizes_of(dictionaries), "doc_id long, sizes array<long>").orderBy("doc_id", "sizes").limit(4 * CALIBRATION_DOCS).collect()
+    rows = chosen(use[1]).select("doc_id", "text").mapInArrow(sizes_of(dictionaries), "doc_id long, sizes array<long>").orderBy("doc_id").collect()
     if len({quality[r["doc_id"]] for r in rows}) < 2:
         return Model(None, np.zeros(0), np.ones(0), np.zeros(0), share)
     y = np.array([quality[r["doc_id"]] for r in rows])
@@ -155,7 +160,8 @@ def score(docs: DataFrame, model: Model, good_from: float = GOOD_FROM) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Model, good_from: float = GOOD_FROM) -> DataFrame:
-    """The rows of docs that the model does not reject, all their columns."""
+    """The rows of docs that the model does not reject, all their columns, repeats included. Null and
+    empty texts are scored as texts of no bytes. Empty table: no rows."""
     sizes, names, kinds = sizes_of(model.dictionaries), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
