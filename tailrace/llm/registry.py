@@ -139,15 +139,15 @@ OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS k, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rid, doc_id, k, len(lines) AS n_lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-e AS (SELECT *, i = n_lines OR ((coalesce(lag(h) OVER w, 0) % 2147483647) * 1000003 + h) % 2147483647 % 3 = 0 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
+e AS (SELECT *, i = n_lines OR ((coalesce(lag(h) OVER w, 0) % 2147483647) * 1000003 + h) % 2147483647 % 4 < 3 AS ends FROM h WINDOW w AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-c AS (SELECT rid, doc_id, k, n_lines, c, count(*) AS n, min(i) AS lo, string_agg(line, chr(10) ORDER BY i) AS txt FROM g GROUP BY ALL),
-f AS (SELECT *, n >= 2 AND regexp_matches(txt, '[^\x20\x09-\x0D]') AS counts FROM c),
-p AS (SELECT *, min(k) OVER (PARTITION BY txt, counts) AS first, row_number() OVER (PARTITION BY rid, txt ORDER BY lo) AS place FROM f),
-r AS (SELECT *, counts AND (first < k OR place > 1) AS gone FROM p)
-SELECT doc_id, n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(txt, chr(10) ORDER BY lo) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY rid, doc_id, n_lines
+c AS (SELECT rid, k, c, count(*) AS n, min(i) AS lo, string_agg(line, chr(10) ORDER BY i) AS txt FROM g GROUP BY ALL),
+m AS (SELECT rid, k, lo, n + lead(n) OVER w AS n, txt || chr(10) || lead(txt) OVER w AS txt FROM c WINDOW w AS (PARTITION BY rid ORDER BY c)),
+u AS (SELECT * FROM (SELECT rid, k, lo, n, txt FROM c UNION ALL SELECT * FROM m) WHERE n >= 2 AND regexp_matches(txt, '[^\x20\x09-\x0D]')),
+p AS (SELECT *, min(k) OVER (PARTITION BY txt) AS first, min(lo) OVER (PARTITION BY rid, txt) AS begin FROM u),
+x AS (SELECT DISTINCT rid, unnest(range(lo, lo + n)) AS i FROM p WHERE first < k OR lo - begin >= n)
+SELECT doc_id, n_lines, count(x.i) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (x.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN x ON l.rid = x.rid AND l.i = x.i GROUP BY l.rid, doc_id, n_lines
 """
 
 

@@ -274,32 +274,34 @@ def test_simhash_large_files():
 # ---------------------------------------------------------------- 6 line dedup
 
 
-def brute_lines(rows):
-    def cut(lines):
+def brute_lines_of(rows):
+    """(lines, removed, kept) of each row, in order."""
+
+    def units(lines):
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        out, start = [], 0
-        for i in range(len(lines)):
-            roll = ((h[i - 1] if i else 0) % 2147483647 * 1000003 + h[i]) % 2147483647
-            if i == len(lines) - 1 or roll % 3 == 0:
-                out.append("\n".join(lines[start : i + 1]))
-                start = i + 1
-        return out
-
-    counts = lambda c: "\n" in c and bool(WORD.search(c.encode()))
-    first, cuts = {}, [cut((t or "").split("\n")) for _, t in rows]
-    for (i, _), cs in zip(rows, cuts, strict=True):
-        for c in cs:
-            first[c] = min(first.get(c, float("inf")), float("inf") if i is None else i)
+        ends = [i + 1 for i in range(len(lines)) if i == len(lines) - 1 or ((h[i - 1] if i else 0) % 2147483647 * 1000003 + h[i]) % 2147483647 % 4 < 3]
+        chunks = list(zip([0, *ends[:-1]], ends, strict=True))
+        spans = chunks + [(a, d) for (a, _), (_, d) in zip(chunks, chunks[1:], strict=False)]
+        return sorted((a, b, t) for a, b in spans if b - a >= 2 and WORD.search((t := "\n".join(lines[a:b])).encode()))
+
+    last = float("inf")
+    first, found = {}, [((t or "").split("\n"), units((t or "").split("\n"))) for _, t in rows]
+    for (i, _), (_, us) in zip(rows, found, strict=True):
+        for _, _, t in us:
+            first[t] = min(first.get(t, last), last if i is None else i)
     out = []
-    for (i, t), cs in zip(rows, cuts, strict=True):
-        seen, kept = set(), []
-        for c in cs:
-            if not counts(c) or (first[c] == (float("inf") if i is None else i) and c not in seen):
-                kept.append(c)
-            seen.add(c)
-        lines = len((t or "").split("\n"))
-        out.append((i, lines, lines - sum(len(c.split("\n")) for c in kept), "\n".join(kept)))
-    return sorted(out, key=repr)
+    for (i, _), (lines, us) in zip(rows, found, strict=True):
+        gone, begin = set(), {}
+        for a, b, t in us:
+            begin.setdefault(t, a)
+            if first[t] != (last if i is None else i) or a - begin[t] >= b - a:
+                gone |= set(range(a, b))
+        out.append((len(lines), len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+    return out
+
+
+def brute_lines(rows):
+    return sorted(((i, *x) for (i, _), x in zip(rows, brute_lines_of(rows), strict=True)), key=repr)
 
 
 def test_line_dedup(docs):
@@ -310,6 +312,9 @@ def test_line_dedup(docs):
     got = linededup.line_dedup(docs(rows)).collect()
     assert sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept) for x in got), key=repr) == brute_lines(rows)
     assert any(x.n_removed for x in got)
+    long = [(50, "\n".join(f"{i % 700} of the lines" for i in range(4000))), (51, "\n".join(["one line"] * 300)), (52, None)]
+    got = linededup.line_dedup(docs(long)).collect()
+    assert sorted(((x.doc_id, x.n_lines, x.n_removed, x.kept) for x in got), key=repr) == brute_lines(long)
     assert linededup.line_dedup(docs(rows).limit(0)).count() == 0
     left = linededup.without_repeats(docs(rows))
     assert left.columns == docs(rows).columns and all(x.n_chars == len(x.text) for x in left.collect())
