@@ -656,9 +656,10 @@ def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
     run = np.concatenate([begin[1:], [len(lengths)]]) - begin
     for x, k in zip(begin[run > 138].tolist(), run[run > 138].tolist(), strict=True):
         begins[x : x + k : 138] = True
-    begins[begin[run == 2] + 1] = True
-    begin = begins.nonzero()[0]
-    run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+    for _ in (0, 1):  # what is left of long runs, then two zeros each on its own
+        begin = begins.nonzero()[0]
+        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
+        begins[begin[run == 2] + 1] = True
     one, long = run == 1, run > 10
     fields, counts = np.zeros((len(run), 2), dtype=np.int64), np.zeros((len(run), 2), dtype=np.int64)
     steps = np.where(one, lengths[begin], 17 + long)

@@ -90,6 +90,15 @@ def test_fixed_bytes():
     assert {int(x) for x in webp.decode(webp.riff(w.bytes()))[2]} == {0xFF010502}
 
 
+@pytest.mark.parametrize("zeros", [1, 2, 3, 10, 11, 137, 138, 139, 140, 141, 149, 276, 278])
+def test_runs_of_zeros_in_code_lengths(zeros):
+    counts = np.array([5, *[0] * zeros, 3, 2, 9, *[0] * (290 - zeros), 1])
+    w = webp.Writer()
+    code = webp.write_code(w, counts)
+    again = webp.read_code(webp.Reader(w.bytes()), len(counts))
+    assert (again.n == code.n).all() and (again.both == code.both).all()
+
+
 def test_colour_cache_by_hand():
     w = webp.Writer()
     webp.head(w, 3, 1, False)
