@@ -63,21 +63,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYT
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps; each round is an aggregation by node with map-side
-    combining and one join, so a node with very many neighbours costs no task its whole list. Every
-    round is checkpointed. The result is complete whatever the number of rounds up to the limit;
+    Alternating large-star and small-star steps; each is an aggregation by node with map-side combining,
+    written down, and a join with it alone: a node with very many neighbours is a skewed key of a plain
+    join, which adaptive execution splits among tasks. Every round is checkpointed. The result is complete whatever the number of rounds up to the limit;
     beyond it an error is raised. No edges: no rows.
     """
     stars = checkpointed(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = stars.select("a", "b").unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: each greater neighbour is tied to the smallest node around
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = checkpointed(large.where("a <> b").distinct())
         # small star: the smaller neighbours, and the node itself, are tied to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         stars = checkpointed(small.where("a <> b").distinct())
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -5,10 +5,12 @@ differing bits are linked; classes are the connected components of these links.
 
 Search: 64 bits are cut into BLOCKS blocks; two fingerprints at most RADIUS bits apart agree in at
 least BLOCKS - RADIUS of them, so each fingerprint is filed under every choice of that many blocks
-(exact, no cap). Inside a file the pivot table decides: each fingerprint's Hamming distances to
-fixed reference fingerprints are computed once, a pair whose largest coordinate difference exceeds
-RADIUS is discarded (triangle inequality), the survivors are verified by XOR and bit count. A large
-file yields a spanning forest of its links, never all of its pairs.
+(exact, no cap). A file with too many members is filed again in the same way by the bits that its
+members need not share, so it is dealt to several tasks. Inside a file the pivot table decides: each
+fingerprint's Hamming distances to fixed reference fingerprints are computed once, a pair whose
+largest coordinate difference exceeds RADIUS is discarded (triangle inequality), the survivors are
+verified by XOR and bit count. A large file yields a spanning forest of its links, never all of its
+pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tailrace.llm.common import blocks, checkpointed, components, partitions
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
+#: A file with more members is filed again.
+FILE = 4096
 #: A file up to this size is compared offset by offset, a larger one by search from member to member.
 SMALL_FILE = 32
 
@@ -65,11 +69,19 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(n)], dtype=np.uint64)
 
 
-def masks(parts: int = BLOCKS, radius: int = RADIUS) -> list[int]:
-    """One mask for each choice of parts - radius of the blocks."""
-    edges = [round(i * 64 / parts) for i in range(parts + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(block, parts - radius)]
+def blocks_of(bits: list[int], parts: int) -> list[int]:
+    """Masks that cut the bits, given by their places, into parts."""
+    edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    return [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def masks(parts: int = BLOCKS, radius: int = RADIUS, within: int = (1 << 64) - 1) -> list[int]:
+    """One mask for each choice of parts - radius of the blocks of the bits in `within`."""
+    return [sum(c) for c in combinations(blocks_of([i for i in range(64) if within >> i & 1], parts), parts - radius)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
@@ -120,18 +132,36 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, n_pivots: in
     return np.concatenate([empty, *(a for a, _ in out)]), np.concatenate([empty, *(b for _, b in out)])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = BLOCKS) -> DataFrame:
+def filed(fps: DataFrame, radius: int = RADIUS, parts: int = BLOCKS, most: int | None = None) -> DataFrame:
+    """(t, key, sub, rest, fp): each fingerprint in all its files, of files with more than `most` members
+    in all of their files within them."""
+    first = masks(parts, radius)
+    second = [signed(m) for w in first for m in masks(parts, radius, (1 << 64) - 1 ^ w)]
+    n = len(second) // len(first)
+    files = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(first)))
+    once = fps.select("fp", F.explode(files).alias("f")).select("f.t", "f.key", "fp")
+    large = once.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > (FILE if most is None else most)).select("t", "key", F.lit(True).alias("large"))
+    once = once.join(large, ["t", "key"], "left")
+    plain = once.where("large is null").select("t", "key", F.lit(0).alias("sub"), F.lit(0).cast("long").alias("rest"), "fp")
+    again = once.where("large").select("t", "key", "fp", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sub"))
+    mask = F.element_at(F.array(*map(F.lit, second)), F.col("t") * n + F.col("sub"))
+    return plain.unionAll(again.select("t", "key", "sub", F.col("fp").bitwiseAND(mask).alias("rest"), "fp"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, parts: int = BLOCKS, most: int | None = None) -> DataFrame:
     """(a, b) links between the distinct fingerprints in fps(fp) that span each class of near ones."""
-    files = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks(parts, radius))))
-    filed = fps.select("fp", F.explode(files).alias("f")).select("f.t", "f.key", "fp")
-    filed = filed.repartition(partitions(fps), "t", "key").sortWithinPartitions("t", "key", "fp")
+    file = ["t", "key", "sub", "rest"]
+    dealt = filed(fps, radius, parts, most).repartition(partitions(fps), *file).sortWithinPartitions(*file, "fp")
+
+    def other(a: list[np.ndarray], i: int | slice, b: list[np.ndarray], j: int | slice) -> np.ndarray:
+        return np.any([x[i] != y[j] for x, y in zip(a, b, strict=True)], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def emit(rows: list) -> Iterator[pa.RecordBatch]:
-            t, key, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-            group = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
+            *name, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
+            group = np.cumsum(np.r_[0, other(name, slice(1, None), name, slice(-1))])
             a, b = linked(group, fp.view(np.uint64), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -139,18 +169,18 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: int = BLOCKS) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "fp"))
-            cut = int(np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])[-1])
-            same = not held or (held[-1][0][-1] == t[0] and held[-1][1][-1] == key[0])
+            *name, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in (*file, "fp"))
+            cut = int(np.flatnonzero(np.r_[True, other(name, slice(1, None), name, slice(-1))])[-1])
+            same = not held or not other(held[-1][:-1], -1, name, 0)
             if cut == 0 and same:  # the file goes on
-                held.append((t, key, fp))
+                held.append((*name, fp))
                 continue
-            yield from emit([*held, (t[:cut], key[:cut], fp[:cut])])
-            held = [(t[cut:], key[cut:], fp[cut:])]
+            yield from emit([*held, (*(x[:cut] for x in name), fp[:cut])])
+            held = [(*(x[cut:] for x in name), fp[cut:])]
         if held:
             yield from emit(held)
 
-    return filed.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -162,20 +192,21 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     table gives no rows. Other columns are ignored.
     """
     fps = checkpointed(fingerprints(docs, shingle, seed))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), radius))
     named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written down, so that the joins with it are plain ones, of which a hot key is split among tasks
+    smallest = checkpointed(named.groupBy("label").agg(F.min("least").alias("component_id")))
     by_fp = checkpointed(named.join(smallest, "label").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row for each class of near-duplicates: that of the smallest doc_id, of several
-    such rows the one with the smallest text. Rows without doc_id cannot be told apart and stay."""
-    names = docs.columns
-    found = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["__id"])
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
-    one = kept.withColumn("__n", first).where("__n = 1").select(*(docs[c] for c in names))
-    return one.unionByName(docs.where("doc_id is null"))
+    such rows the one with the smallest text (null first). Rows without doc_id cannot be told apart
+    and stay. Empty table: no rows. All columns are kept, whatever their names."""
+    found = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    one = rows.join(found, "id").withColumn("n", first).where("n = 1").unionByName(rows.where("id is null").withColumn("n", F.lit(1)))
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))

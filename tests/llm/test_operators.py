@@ -252,6 +252,32 @@ def test_simhash(docs):
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted({c for _, _, c in want})
 
 
+def test_simhash_files_filed_again(spark):
+    """Whatever the size from which files are filed again, the classes are the same."""
+    r = np.random.default_rng(5)
+    seeds = r.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fp = seeds[r.integers(0, 6, 500)]
+    for _ in range(3):
+        fp ^= np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64)
+    fp = np.unique(fp)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    want = brute_components([int(x) for x in fp], list(range(len(fp))))
+    at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    for most in (10**6, 20, 0):
+        label = list(range(len(fp)))
+
+        def find(x):
+            while label[x] != x:  # noqa: B023
+                x = label[x]  # noqa: B023
+            return x
+
+        for a, b in simhash.links(df, most=most).collect():
+            assert bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 4
+            i, j = find(at[a]), find(at[b])
+            label[max(i, j)] = min(i, j)
+        assert [find(i) for i in range(len(fp))] == want
+
+
 def test_simhash_large_files():
     r = np.random.default_rng(0)
     fp = np.unique(np.r_[r.integers(0, 1 << 63, 50, dtype=np.uint64), np.uint64(1 << 40) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))])
