@@ -3,9 +3,12 @@
 Every turn becomes one formatted piece; a conversation is a path of pieces. The distinct paths are
 range-sorted, so that what shares initial turns stands together, and are packed in that order: each
 piece that a path shares with the one before it is there already, the rest is appended. A pack is
-thus a forest, written depth-first, each shared piece once. A piece's node carries the position id of
-its first token - its offset in the conversation, not in the pack - and the intervals of the pack
-that its tokens attend to: those of its ancestors, merged where they adjoin. A token is a code point.
+thus a forest, written depth-first; pieces that its first path shares with the last one of the pack
+before stay where they are and are named as what stands above the pack. So each piece of the tree of
+all conversations is written once. A piece's node carries the position id of its first token - its
+offset in the conversation, not in the pack - and what its tokens attend to: so many of the pieces
+above the pack, and the intervals of the pack that its ancestors take, merged where they adjoin. A
+token is a code point.
 """
 
 from __future__ import annotations
@@ -13,18 +16,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailrace.llm.common import blocks, partitions
+from tailrace.llm.common import blocks, checkpointed, partitions, written
 
 START, BODY, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: Strings that may not stand inside a role or text; others' templates are kept out as well.
 CONTROL = (START, BODY, END[:-1], "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
 #: A pack takes no further conversation once it has so many code points.
 PACK = 1 << 18
+#: Letters of a turn's hash in a path's key.
+HASH = 32
 
 _rest = "|".join(sorted((re.escape(c[1:]) for c in CONTROL), key=len, reverse=True))
 _in = re.compile(rf"([<\[])(\\*)(?={_rest})")
@@ -51,30 +58,49 @@ def turns_of(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _turn.findall(formatted)]
 
 
-NODE = pa.struct([(n, pa.int32()) for n in ("start", "end", "parent", "depth", "position", "loss_start", "loss_end")] + [("attention", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("conversation", pa.string())])
-NODE_SQL = "struct<start:int,end:int,parent:int,depth:int,position:int,loss_start:int,loss_end:int,attention:array<struct<start:int,end:int>>,conversation:string>"
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+NODE = pa.struct([("id", pa.string()), *((n, pa.int32()) for n in ("start", "end", "parent", "depth")), ("position", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("above", pa.int32()), ("attention", pa.list_(SPAN)), ("conversation", pa.string())])
+NODE_SQL = "struct<id:string,start:int,end:int,parent:int,depth:int,position:long,loss_start:int,loss_end:int,above:int,attention:array<struct<start:int,end:int>>,conversation:string>"
+
+
+def node_id(key: str, depth: int) -> str:
+    """Of the piece at a depth (from 0) of a path: a hash of all of the path down to it."""
+    return hashlib.sha256(key[: HASH * (depth + 1)].encode()).hexdigest()[:HASH]
+
+
+def shared(a: str, b: str) -> int:
+    """How many initial turns two paths have in common."""
+    n = 0
+    while n + HASH <= min(len(a), len(b)) and a[n : n + HASH] == b[n : n + HASH]:
+        n += HASH
+    return n // HASH
 
 
 class Pack:
-    """A forest under construction; stack is the path of its last conversation."""
+    """A forest under construction below the first `above` pieces of a path; stack is the path of its
+    last conversation, below as many of these as the path goes through: used."""
 
-    def __init__(self) -> None:
+    def __init__(self, key: str, above: int, pieces: list[str]) -> None:
+        self.above = [node_id(key, i) for i in range(above)]
+        self.below = [0, *accumulate(len(p) for p in pieces[:above])]  # where each of them begins, and what comes next
         self.text: list[str] = []
-        self.size, self.nodes, self.stack = 0, [], []
-
-    def add(self, name: str, pieces: list[str], masks: list[tuple[int, int]]) -> None:
-        depth = 0
-        while depth < min(len(self.stack), len(pieces)) and self.text[self.stack[depth]] == pieces[depth]:
-            depth += 1
-        del self.stack[depth:]
-        for p, (lo, hi) in zip(pieces[depth:], masks[depth:], strict=True):
+        self.size, self.nodes, self.stack, self.used = 0, [], [], above
+
+    def add(self, name: str, key: str, depth: int, pieces: list[str], masks: list[tuple[int, int]]) -> None:
+        """A conversation that shares `depth` pieces with the one before it."""
+        self.used = min(self.used, depth)
+        del self.stack[depth - self.used :]
+        for at in range(depth, len(pieces)):
+            p, (lo, hi) = pieces[at], masks[at]
             parent = self.nodes[self.stack[-1]] if self.stack else None
             seen = [dict(x) for x in parent["attention"]] if parent else []
             if parent and seen and seen[-1]["end"] == parent["start"]:
                 seen[-1]["end"] = parent["end"]
             elif parent:
                 seen.append({"start": parent["start"], "end": parent["end"]})
-            node = {"start": self.size, "end": self.size + len(p), "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack), "position": parent["position"] + parent["end"] - parent["start"] if parent else 0}
+            node = {"id": node_id(key, at), "start": self.size, "end": self.size + len(p), "parent": self.stack[-1] if self.stack else -1, "depth": at}
+            node["above"] = self.used
+            node["position"] = parent["position"] + parent["end"] - parent["start"] if parent else self.below[self.used]
             node |= {"loss_start": self.size + lo, "loss_end": self.size + hi, "attention": seen, "conversation": None}
             self.stack.append(len(self.nodes))
             self.nodes.append(node)
@@ -94,34 +120,62 @@ def members(conversations: DataFrame) -> DataFrame:
     """(conv_id, conversation, key, turns): turns in order, key their hashes one after the other."""
     c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    part = lambda t: F.substring(F.md5(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]).cast("binary")), 1, 16)
+    part = lambda t: F.substring(F.sha2(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]), 256), 1, HASH)
     c = c.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.array_join(F.transform("turns", part), "").alias("key"))
     return c.select("conv_id", F.md5(F.col("key").cast("binary")).alias("conversation"), "key", "turns")
 
 
 def packs(members: DataFrame, most: int = PACK) -> DataFrame:
-    """(pack, text, nodes): the distinct conversations as packed prefix trees. Nodes are in depth-first
-    order; conversation names the one that ends at the node, if one does."""
+    """(pack, above, text, nodes): the distinct conversations as packed prefix trees. Nodes are in
+    depth-first order; parent is a node of the pack, or -1; conversation names the one that ends at
+    the node, if one does; above are the ids of the pieces of other packs that the first path begins
+    with, and a node's own above how many of them its path goes through."""
     one = members.groupBy("conversation", "key").agg(F.any_value("turns").alias("turns"))
-    one = one.repartitionByRange(partitions(members), "key").sortWithinPartitions("key")
+    # written down: a partition must not change its place in the order once the one behind it has looked at it
+    one = checkpointed(one.repartitionByRange(partitions(members), "key").sortWithinPartitions("key"))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for b in batches:
+            key = b.column("key")[b.num_rows - 1].as_py() if b.num_rows else key
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([key])], names=["part", "key"])
+
+    # one path a partition
+    ends = sorted((r["part"], r["key"]) for r in one.select("key").mapInArrow(last, "part int, key string").collect())
+    before = {part: ends[i - 1][1] for i, (part, _) in enumerate(ends) if i}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, name = Pack(), ""
+        pack, name, path = None, "", before.get(TaskContext.get().partitionId(), "")
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array(["".join(pack.text)]), pa.array([pack.nodes], pa.list_(NODE))], names=["pack", "text", "nodes"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pack.above], pa.list_(pa.string())), pa.array(["".join(pack.text)]), pa.array([pack.nodes], pa.list_(NODE))], names=["pack", "above", "text", "nodes"])
 
         for b in batches:
-            for conversation, turns in zip(b.column("conversation").to_pylist(), b.column("turns").to_pylist(), strict=True):
-                if pack.size >= most:
+            for conversation, key, turns in zip(*(b.column(c).to_pylist() for c in ("conversation", "key", "turns")), strict=True):
+                pieces = [piece(t["role"], t["text"]) for t in turns]
+                depth = shared(path, key)
+                if pack is not None and pack.size >= most:
                     yield row()
-                    pack = Pack()
-                name = name if pack.nodes else conversation
-                pack.add(conversation, [piece(t["role"], t["text"]) for t in turns], [mask(t["role"], t["text"]) for t in turns])
-        if pack.nodes:
+                    pack = None
+                if pack is None:
+                    pack, name = Pack(key, depth, pieces), conversation
+                pack.add(conversation, key, depth, pieces, [mask(t["role"], t["text"]) for t in turns])
+                path = key
+        if pack is not None:
             yield row()
 
-    return one.select("conversation", "turns").mapInArrow(run, f"pack string, text string, nodes array<{NODE_SQL}>")
+    return written(one.select("conversation", "key", "turns").mapInArrow(run, f"pack string, above array<string>, text string, nodes array<{NODE_SQL}>"), "packs")
+
+
+def pieces_above(packs: DataFrame) -> DataFrame:
+    """(pack, pieces): the pieces above each pack that has some, in order, as (at, text, loss)."""
+    wanted = packs.select("pack", F.posexplode("above").alias("at", "id"))
+    nodes = packs.select("pack", F.explode(F.transform("nodes", lambda n: F.struct(n["id"], n["start"], n["end"], n["loss_start"], n["loss_end"]))).alias("n"))
+    owners = nodes.join(wanted.select("id").distinct(), F.col("n.id") == F.col("id"), "left_semi").groupBy("pack").agg(F.collect_list("n").alias("found"))
+    cut = lambda lo, hi: F.substring(F.col("text"), F.col(lo) + 1, F.col(hi) - F.col(lo))
+    texts = packs.select("pack", "text").join(owners, "pack").select("text", F.explode("found").alias("n")).select("n.*", "text").select("id", cut("start", "end").alias("text"), cut("loss_start", "loss_end").alias("loss"))
+    return wanted.join(texts, "id").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("at", "text", "loss"))).alias("pieces"))
 
 
 def read_back(packs: DataFrame) -> DataFrame:
@@ -133,7 +187,7 @@ def read_back(packs: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for b in blocks(batches, "text"):
             rows = []
-            for text, nodes in zip(b.column("text").to_pylist(), b.column("nodes").to_pylist(), strict=True):
+            for text, nodes, above in zip(*(b.column(c).to_pylist() for c in ("text", "nodes", "pieces")), strict=True):
                 for last in nodes:
                     if last["conversation"] is None:
                         continue
@@ -142,14 +196,16 @@ def read_back(packs: DataFrame) -> DataFrame:
                         path.append(nodes[at])
                         at = nodes[at]["parent"]
                     path.sort(key=lambda n: n["position"])
-                    formatted = "".join([text[n["start"] : n["end"]] for n in path])
+                    first = (above or [])[: last["above"]]
+                    formatted = "".join([x["text"] for x in first] + [text[n["start"] : n["end"]] for n in path])
                     turns = turns_of(formatted)
-                    loss = "".join([unescape(text[n["loss_start"] : n["loss_end"]]) for n in path])
+                    loss = "".join([unescape(x["loss"]) for x in first] + [unescape(text[n["loss_start"] : n["loss_end"]]) for n in path])
                     whole = "".join([f"{r}\n{t}\n" for r, t in turns])
                     rows.append((last["conversation"], len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return packs.mapInArrow(run, "conversation string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    whole = packs.select("pack", "text", "nodes").join(pieces_above(packs), "pack", "left").select("text", "nodes", "pieces")
+    return whole.mapInArrow(run, "conversation string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def chat_format(conversations: DataFrame, most: int = PACK) -> tuple[DataFrame, DataFrame]:
@@ -157,9 +213,9 @@ def chat_format(conversations: DataFrame, most: int = PACK) -> tuple[DataFrame,
 
     Rows of one conv_id are its turns, ordered by turn (null first), of equal turns by role and text;
     repeated rows are turns of their own. Null roles and texts count as empty. Rows without conv_id
-    form one conversation. Equal conversations are packed once, however many there are. A piece that
-    is shared across packs is written once in each. Empty table: no members, no packs. Other columns
-    are ignored.
+    form one conversation. Equal conversations are packed once, however many there are, and each
+    initial run of turns is written once, whatever pack it is in. Empty table: no members, no packs.
+    Other columns are ignored.
     """
     rows = members(conversations)
     return rows.select("conv_id", "conversation"), packs(rows, most)

@@ -54,21 +54,31 @@ def test_chat_round_trip(spark):
         assert got[i].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
-def test_chat_tree_shares_and_attends(spark):
-    turns = [(i, t, "user" if t % 2 == 0 else "assistant", x) for i, xs in enumerate((["a", "b", "c"], ["a", "b", "d"], ["a", "e"], ["a", "b", "c"], ["f"])) for t, x in enumerate(xs)]
-    _, packs = chat.chat_format(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1))
+@pytest.mark.parametrize("most", [1, 60, 1 << 18])
+def test_chat_tree_shares_and_attends(spark, most):
+    """Each node of the tree of all conversations is written once, whatever the packs and partitions;
+    positions and attention are those of its path."""
+    r = random.Random(7)
+    tries = [["a", "b", "c"], ["a", "b", "d"], ["a", "e"], ["a", "b", "c"], ["f"], ["a"], *([r.choice("ab") for _ in range(r.randint(1, 6))] for _ in range(60))]
+    turns = [(i, t, "user" if t % 2 == 0 else "assistant", x) for i, xs in enumerate(tries) for t, x in enumerate(xs)]
+    members, packs = chat.chat_format(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3), most)
     rows = packs.collect()
-    assert sum(len(r.nodes) for r in rows) >= 6  # a b c d e f, shared ones once in each pack
-    for r in rows:
-        assert len({(n.parent, r.text[n.start : n.end]) for n in r.nodes}) == len(r.nodes)
-        for n in r.nodes:
+    assert sum(len(x.nodes) for x in rows) == len({tuple(xs[: d + 1]) for xs in tries for d in range(len(xs))})
+    text_of = {n.id: x.text[n.start : n.end] for x in rows for n in x.nodes}
+    assert len(text_of) == sum(len(x.nodes) for x in rows) and (most > 60 or any(x.above for x in rows))
+    for x in rows:
+        for n in x.nodes:
             path, at = [], n.parent
             while at >= 0:
-                path.append(r.nodes[at])
-                at = r.nodes[at].parent
-            assert n.position == sum(p.end - p.start for p in path)
-            seen = {i for a in n.attention for i in range(a.start, a.end)}
-            assert seen == {i for p in path for i in range(p.start, p.end)}
+                path.append(x.nodes[at])
+                at = x.nodes[at].parent
+            first = [text_of[i] for i in x.above[: n.above]]
+            assert n.depth == len(first) + len(path) and n.position == sum(map(len, first)) + sum(p.end - p.start for p in path)
+            assert {i for a in n.attention for i in range(a.start, a.end)} == {i for p in path for i in range(p.start, p.end)}
+    got = {x.conv_id: x for x in members.join(chat.read_back(packs), "conversation").collect()}
+    for i, xs in enumerate(tries):
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{'user' if t % 2 == 0 else 'assistant'}\n{x}\n" for t, x in enumerate(xs)).encode()).hexdigest()
+        assert got[i].loss_sha256 == hashlib.sha256("".join(xs[1::2]).encode()).hexdigest()
 
 
 def test_chat_escape_is_reversible():
