@@ -1,18 +1,17 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text becomes its lower-cased words, one space between and around them. Every rule is a keyword, a
-pattern over words, a label, a priority and a weight. A rule's pattern runs only where strings stand
-that each of its matches must have; they are read off the pattern, alternative by alternative, and
-the gate before all rules is made of the same strings, so neither loses a hit. Of the rules'
+pattern over words, a label, a priority and a weight. A rule's pattern runs only where words and
+strings stand that each of its matches must have. They are read off the pattern, alternative by
+alternative, so no hit is lost: the text's words are met once with the words that rules need, the
+rules whose words are all there look for their strings, and what is left runs. Of the rules'
 hits, one that lies inside a hit of higher priority - or of equal priority and longer, or equally
 long and earlier in the rules - is suppressed. All of it happens inside the row: no exchange.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
-from operator import or_
 from re import _parser
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,9 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Strings that a place of a pattern may be; beyond so many the place is passed over.
-MOST_STRINGS = 24
+MOST_STRINGS = 64
+#: Groups of words that a rule is looked up by.
+MOST_GROUPS = 3
 #: Priorities: full texts and identifiers, statements, names, mentions.
 TEXT, GRANT, NAME, MENTION = 4, 3, 2, 1
 WEIGHTS = {TEXT: 0.98, GRANT: 0.9, NAME: 0.7, MENTION: 0.4}
@@ -130,16 +131,205 @@ SENTENCES = [
     ("unknown-license", "licen", "see(?: the)?(?: [^ ]+){0,3} licen[cs]e(?: [^ ]+){0,3} (?:file|details|information)", MENTION),
 ]
 
+#: Clauses of license texts, headers and notices, each written out on its own: label, patterns over words.
+CLAUSES = {
+    "mit": [
+        "(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[cs]e and or sell copies",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software",
+        "(?:use of )?this source code is governed by an mit style licen[cs]e",
+    ],
+    "mit-0": ["permission is hereby granted free of charge to any person obtaining a copy(?: [^ ]+){8,14} to deal in the software without restriction(?: [^ ]+){0,24} provided without attribution"],
+    "x11": ["except as contained in this notice the name(?: [^ ]+){1,8} shall not be used in advertising or otherwise to promote the sale use or other dealings"],
+    "isc": [
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    ],
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"],
+    "bsd": [
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+        "this software is provided by the (?:copyright holders?|authors?|regents)(?: and contributors)? as is and any express or implied warranties",
+        "in no event shall the (?:copyright (?:holders?|owners?)|authors?|regents) (?:or contributors )?be liable for any direct indirect incidental special exemplary or consequential damages",
+        "procurement of substitute goods or services loss of use data or profits or business interruption",
+        "(?:use of )?this source code is governed by a bsd style licen[cs]e",
+    ],
+    "bsd-3-clause": [
+        "nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "the names? of the (?:authors?|contributors?|copyright holders?) may not be used to endorse or promote products derived from this software",
+    ],
+    "bsd-4-clause": ["this product includes software developed by(?: [^ ]+){1,10} and its contributors"],
+    "apache-2": [
+        "licensed under the apache licen[cs]e version 2 0 the licen[cs]e",
+        "you may obtain a copy of the licen[cs]e at (?:https? )?(?:www )?apache org licen[cs]es",
+        "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis",
+        "see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e",
+        "terms and conditions for use reproduction and distribution 1 definitions",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e",
+        "derivative works shall mean any work whether in source or object form that is based on or derived from the work",
+        "licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements",
+    ],
+    "apache-1.1": [
+        "this product includes software developed by the apache software foundation",
+        "products derived from this software may not be called apache nor may apache appear in their name",
+    ],
+    "gpl": [
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty",
+        "you should have received a copy of the gnu general public licen[cs]e along with this program",
+        "the licen[cs]es for most software are designed to take away your freedom to share and change it",
+        "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed",
+        "this file is part of(?: [^ ]+){1,4} which is released under the gnu general public",
+    ],
+    "gpl-2": [
+        "gnu general public licen[cs]e version 2 june 1991",
+        "either version 2 of the licen[cs]e or at your option any later version",
+        "activities other than copying distribution and modification are not covered by this licen[cs]e",
+        "you may copy and distribute verbatim copies of the program s source code as you receive it",
+        "under the terms of version 2 of the gnu general public",
+        "51 franklin (?:street|st) fifth floor boston ma",
+        "59 temple place suite 330 boston ma",
+    ],
+    "gpl-3": [
+        "gnu general public licen[cs]e version 3 29 june 2007",
+        "either version 3 of the licen[cs]e or at your option any later version",
+        "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works",
+        "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable",
+        "conveying under any other circumstances is permitted solely under the conditions stated below",
+        "no covered work shall be deemed part of an effective technological measure",
+    ],
+    "lgpl": [
+        "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this library",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public",
+        "a program that contains no derivative of any portion of the library but is designed to work with the library",
+    ],
+    "lgpl-2.1": ["either version 2 1 of the licen[cs]e or at your option any later version", "gnu lesser general public licen[cs]e version 2 1 february 1999"],
+    "lgpl-3": ["this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3"],
+    "agpl-3": [
+        "gnu affero general public licen[cs]e version 3 19 november 2007",
+        "all users interacting with it remotely through a computer network",
+        "you should have received a copy of the gnu affero general public",
+        "specifically designed to ensure cooperation with the community in the case of network server software",
+    ],
+    "gfdl": [
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation",
+        "with no invariant sections no front cover texts and no back cover texts",
+    ],
+    "mpl-1.1": [
+        "the contents of this file are subject to the mozilla public licen[cs]e version 1 1",
+        "software distributed under the licen[cs]e is distributed on an as is basis without warranty of any kind either express or implied see the licen[cs]e for the specific language governing rights",
+        "the initial developer of the original code is",
+    ],
+    "mpl-2": [
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+        "covered software is provided under this licen[cs]e on an as is basis",
+        "each contributor hereby grants you a world wide royalty free non exclusive licen[cs]e under intellectual property rights",
+        "this source code form is incompatible with secondary licen[cs]es",
+    ],
+    "epl-1": ["the accompanying program is provided under the terms of this eclipse public licen[cs]e agreement", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0"],
+    "epl-2": ["are made available under the terms of the eclipse public licen[cs]e 2 0", "eclipse public licen[cs]e v ?2 0"],
+    "cddl-1": ["the contents of this file are subject to the terms of the common development and distribution", "when distributing covered code include this cddl header"],
+    "cpl-1": ["the accompanying program is provided under the terms of this common public"],
+    "artistic-1": ["the intent of this document is to state the conditions under which a package may be copied", "you may otherwise modify your copy of this package in any way provided that you insert a prominent notice"],
+    "artistic-2": ["this licen[cs]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction"],
+    "zlib": [
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "this notice may not be removed or altered from any source distribution",
+        "in no event will the authors be held liable for any damages arising from the use of this software",
+    ],
+    "libpng": ["the png reference library is supplied as is", "the contributing authors and group 42 inc disclaim all warranties"],
+    "bsl-1": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "distributed under the boost software licen[cs]e version 1 0", "see accompanying file licen[cs]e 1 0 txt or copy at"],
+    "busl-1.1": ["the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "change date(?: [^ ]+){1,12} change licen[cs]e", "this licen[cs]e does not grant you any right in any trademark or logo of licensor"],
+    "unlicense": [
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest",
+        "to be an overt act of relinquishment in perpetuity of all present and future rights",
+    ],
+    "wtfpl": ["you just do what the fuck you want to", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"],
+    "cc0": [
+        "the person who associated a work with this deed has dedicated the work to the public domain",
+        "you can copy modify distribute and perform the work even for commercial purposes all without asking permission",
+        "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders",
+        "no copyright creative commons",
+        "creativecommons org publicdomain zero",
+    ],
+    "cc-by": ["creativecommons org licen[cs]es by [1-4] [0-9]", "you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made"],
+    "cc-by-sa": ["creativecommons org licen[cs]es by sa", "if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e", "text is available under the creative commons attribution share ?alike"],
+    "cc-by-nd": ["creativecommons org licen[cs]es by nd", "if you remix transform or build upon the material you may not distribute the modified material"],
+    "cc-by-nc": ["creativecommons org licen[cs]es by nc [1-4] [0-9]", "you may not use the material for commercial purposes"],
+    "cc-by-nc-sa": ["creativecommons org licen[cs]es by nc sa"],
+    "cc-by-nc-nd": ["creativecommons org licen[cs]es by nc nd"],
+    "odbl": ["this(?: [^ ]+){1,4} is made available under the open database licen[cs]e", "opendatacommons org licen[cs]es odbl", "any rights in individual contents of the database are licensed under the database contents licen[cs]e"],
+    "odc-by": ["opendatacommons org licen[cs]es by", "is made available under the open data commons attribution"],
+    "pddl": ["opendatacommons org licen[cs]es pddl"],
+    "ofl-1.1": ["the goals of the open font licen[cs]e ofl are to stimulate worldwide development of collaborative font projects", "no modified version of the font software may use the reserved font name", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"],
+    "psf-2": ["python software foundation licen[cs]e version 2", "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e", "psf is making python available to licensee on an as is basis"],
+    "python-2": ["beopen hereby grants licensee a non exclusive royalty free world wide licen[cs]e", "cnri hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"],
+    "ruby": ["you may make and give away verbatim copies of the source form of the software without restriction", "ruby is copyrighted free software by"],
+    "php-3": ["this product includes php software freely available from", "products derived from this software may not be called php nor may php appear in their name"],
+    "postgresql": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "in no event shall the university of california be liable to any party"],
+    "openssl": ["this product includes software developed by the openssl project for use in the openssl toolkit", "this product includes cryptographic software written by eric young", "the names openssl toolkit and openssl project must not be used"],
+    "vim": ["vim is charityware you can use and copy it as much as you like", "there are no restrictions on distributing unmodified copies of vim"],
+    "w3c": ["by obtaining using and or copying this work you the licensee agree that you have read understood and will comply", "permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted"],
+    "ncsa": ["neither the names of(?: [^ ]+){1,12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "to deal with the software without restriction including without limitation the rights to use copy modify merge"],
+    "eupl-1.2": ["licensed under the eupl(?: version)? 1 2", "joinup ec europa eu(?: [^ ]+){0,4} eupl", "the licensor hereby grants you a worldwide royalty free non exclusive sublicensable licen[cs]e"],
+    "cecill": ["this software is governed by the cecill(?: [abc])? licen[cs]e under french law", "abiding by the rules of distribution of free software"],
+    "ms-pl": ["this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e", "each contributor grants you a non exclusive worldwide royalty free copyright licen[cs]e to reproduce its contribution"],
+    "upl-1": ["subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"],
+    "afl-3": ["licensed under the academic free licen[cs]e version 3 0"],
+    "osl-3": ["licensed under the open software licen[cs]e version 3 0"],
+    "sspl-1": ["server side public licen[cs]e version 1 october 16 2018", "if you make the functionality of the program or a modified version available to third parties as a service"],
+    "elastic-2": ["you may not provide the software to third parties as a hosted or managed service", "by using the software you agree to all of the terms and conditions below", "elastic co licensing elastic licen[cs]e"],
+    "openrail": ["you agree not to use the model or derivatives of the model", "use based restrictions(?: [^ ]+){0,8} (?:attachment a|paragraph 5)", "bigscience (?:open ?)?rail"],
+    "llama": ["llama [234](?: [0-9])? community licen[cs]e", "you will not use the llama materials or any output or results of the llama materials to improve any other large language model", "built with (?:meta )?llama"],
+    "gemma": ["gemma terms of use", "gemma prohibited use policy"],
+    "apache-with-llvm": ["apache licen[cs]e v2 0 with llvm exceptions?"],
+    "classpath-exception": ["linking this library statically or dynamically with other modules is making a combined work based on this library"],
+    "gcc-exception": ["gcc runtime library exception"],
+    "commons-clause": ["the software is provided to you by the licensor under the licen[cs]e(?: [^ ]+){0,6} subject to the following condition", "commons clause licen[cs]e condition", "the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell the software"],
+    "json": ["the software shall be used for good not evil"],
+    "beerware": ["if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer ware licen[cs]e"],
+    "sqlite-blessing": ["may you do good and not evil may you find forgiveness for yourself and forgive others"],
+    "curl": ["permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"],
+    "icu": ["unicode inc licen[cs]e agreement data files and software", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"],
+    "hpnd": ["permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted provided that"],
+    "intel-simplified": ["no reverse engineering decompilation or disassembly of this software is permitted"],
+    "public-domain": ["this (?:file|code|work|software) (?:is|has been) (?:hereby )?(?:placed )?in(?:to)? the public domain", "no copyright is claimed", "not subject to copyright protection(?: [^ ]+){0,6} public domain", "work of the u(?:nited)? ?s(?:tates)? government(?: [^ ]+){0,12} (?:public domain|not subject to copyright)"],
+    "ogl-uk-3": ["contains public sector information licensed under the open government licen[cs]e v3 0", "open government licen[cs]e"],
+    "no-ai-training": [
+        "(?:may|must|shall|can) not be used (?:for|to|in)(?: [^ ]+){0,6} (?:machine learning|artificial intelligence|generative ai|language models?)",
+        "(?:prohibit|prohibits|prohibited|forbid|forbids|forbidden)(?: [^ ]+){0,6} (?:text and data mining|training of (?:ai|artificial|machine|language))",
+        "no part of this (?:book|work|publication|site|website) may be used(?: [^ ]+){0,8} (?:train|training)(?: [^ ]+){0,4} (?:artificial intelligence|ai|models?)",
+        "the rights ?holder reserves(?: [^ ]+){0,8} text and data mining",
+    ],
+    "proprietary": [
+        "no part of this (?:publication|book|document|work) may be reproduced(?: stored in a retrieval system)?",
+        "unauthorized (?:copying|reproduction|distribution|use)(?: [^ ]+){0,8} (?:is )?(?:strictly )?prohibited",
+        "for internal use only",
+        "this (?:document|software|material) contains confidential(?: and proprietary)? information",
+        "licensed not sold",
+        "you may not (?:copy|modify|rent|lease|sell|distribute)(?: [^ ]+){0,10} (?:the|this) software",
+        "reverse engineer decompile or disassemble",
+        "end user licen[cs]e agreement",
+        "used under licen[cs]e from",
+    ],
+    "non-commercial": ["not (?:be used )?for commercial (?:use|purposes)", "for (?:personal|academic|educational|research)(?: and (?:personal|academic|educational|research))? use only", "commercial use(?: [^ ]+){0,4} (?:is )?(?:strictly )?(?:prohibited|forbidden|not allowed|not permitted)"],
+    "all-rights-reserved": ["(?:tous droits|alle rechte|todos los derechos) (?:reserves|réservés|vorbehalten|reservados)"],
+}
+
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, pattern, priority) in order: sentences, then for each license its identifier,
-    statements that grant it, and its name. Every match has the keyword, which may be empty."""
+    """(label, keyword, pattern, priority) in order: sentences and clauses, then for each license its
+    identifier, statements that grant it, and its name. Every match has the keyword, which may be empty."""
     out = [(label, keyword, rf"(?<= )(?:{pattern})(?= )", priority) for label, keyword, pattern, priority in SENTENCES]
+    notices = {"proprietary": NAME, "non-commercial": NAME, "all-rights-reserved": NAME, "no-ai-training": GRANT}
+    out += [(label, "", rf"(?<= )(?:{pattern})(?= )", notices.get(label, TEXT)) for label, patterns in CLAUSES.items() for pattern in patterns]
     for label, names, identifier in FAMILIES:
         name = rf"(?:{names})"
         out += [
             (label, "spdx", rf"(?<= )spdx(?: license)? identifier {identifier}(?: only| or later)?(?= )", TEXT),
-            (label, "", rf"(?<= )(?:licensed|released|distributed|available|published|provided|covered|governed|shared|offered)(?: [^ ]+){{0,4}} (?:under|by)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?(?= )", GRANT),
+            (label, "", rf"(?<= )(?:licensed|released|distributed|available|published|provided|covered|governed|shared|offered) (?:[^ ]+ ){{0,4}}(?:under|by) (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?(?= )", GRANT),
             (label, "licen", rf"(?<= )under(?: the)?(?: terms of)?(?: the)? {name} licen[cs]e(?: version)?(?: [0-9]+){{0,2}}(?= )", GRANT),
             (label, "licen", rf"(?<= ){name} licen[cs]ed?(?: version)?(?: [0-9]+){{0,2}}(?= )", NAME),
         ]
@@ -155,7 +345,8 @@ def exactly(items) -> set[str] | None:  # noqa: ANN001
             case "IN": each = {chr(c) for _, c in of} if all(str(o) == "LITERAL" for o, _ in of) else None
             case "SUBPATTERN": each = exactly(of[3])
             case "BRANCH": each = None if None in (parts := [exactly(x) for x in of[1]]) else set().union(*parts)
-            case "ASSERT": each = {" "} if of[0] < 0 else {""}  # both are of a space here; the one behind stands before all else
+            case "ASSERT": each = {" "}  # of a space, before all else or behind it
+            case "MAX_REPEAT": each = {""} | one if of[:2] == (0, 1) and (one := exactly(of[2])) is not None else None
             case _: each = None
         if each is None or len(out) * len(each) > MOST_STRINGS:
             return None
@@ -164,7 +355,7 @@ def exactly(items) -> set[str] | None:  # noqa: ANN001
 
 
 def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
-    """Of each of these groups every match of the pattern, with the space before it, has a string."""
+    """Of each of these groups every match of the pattern, with the spaces around it, has a string."""
 
     def groups(items, before: set[str]) -> tuple[list[set[str]], set[str]]:  # noqa: ANN001
         """The groups that are closed and the strings that the next item may continue."""
@@ -174,6 +365,8 @@ def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
             each = exactly([item])
             if each is not None and len(run) * len(each) <= MOST_STRINGS:
                 run = {a + b for a, b in product(run, each)}
+            elif each is not None:
+                closed, run = [*closed, run], each
             elif op == "SUBPATTERN":
                 more, run = groups(of[3], run)
                 closed += more
@@ -193,25 +386,18 @@ def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
     return tuple(dict.fromkeys(g for g in lean if min(map(len, g)) > 1))
 
 
-def some(text: Column, strings: tuple[str, ...]) -> Column:
-    return F.exists(F.split(F.lit("\t".join(strings)), "\t"), lambda s: F.contains(text, s))
-
-
-def gate(text: Column, rows: list[tuple[tuple[str, ...], ...]]) -> Column:
-    """Whether all groups of any of the rows have a string in text. Rows share the looks at the groups
-    that most of them have; strings that decide a row alone are looked for together."""
-    if () in rows:
-        return F.lit(True)
-    often: dict[tuple[str, ...], int] = {}
-    for g in (g for r in rows for g in r):
-        often[g] = often.get(g, 0) + 1
-    rest: dict[tuple[str, ...], list] = {}
-    for r in rows:
-        first = max(r, key=lambda g: (often[g], g))
-        rest.setdefault(first, []).append(tuple(g for g in r if g != first))
-    alone = tuple(sorted({s for g, more in rest.items() if () in more for s in g}))
-    both = [some(text, g) & gate(text, more) for g, more in rest.items() if () not in more]
-    return reduce(or_, [*([some(text, alone)] if alone else []), *both])
+def key_words(groups: tuple[tuple[str, ...], ...]) -> list[list[str]]:
+    """Groups of whole words of which every match has one: of each string the longest word that stands
+    between spaces; the groups with the longest such words. None, where no group has one in all strings."""
+    out = []
+    for g in groups:
+        whole = [s.split(" ")[1:-1] for s in g]
+        if all(whole):
+            words = [sorted(w, key=len, reverse=True) for w in whole]
+            # of a string alone several words count, each for itself
+            out += [[w] for w in words[0][:MOST_GROUPS]] if len(g) == 1 else [sorted({w[0] for w in words})]
+    out.sort(key=lambda words: min(map(len, words)), reverse=True)
+    return out[:MOST_GROUPS]
 
 
 def normal(text: Column) -> Column:
@@ -224,17 +410,23 @@ def spaces(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+HIT = "struct<lo:int,hi:int,priority:int,rule:int,first:int,words:int>"
+
+
 def hits(norm: Column, rule: Column, number: Column) -> Column:
-    """Where the rule's pattern matches: array of (lo, -hi, -priority, rule), so that it sorts well."""
+    """Where the rule's pattern matches: array of (lo, -hi, -priority, rule, first word, words), so that
+    it sorts well. Places and words are counted along the matches and what lies between them."""
     found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
     rest = F.split(norm, rule["pattern"], -1)
-    kind = "struct<at:int,hits:array<struct<lo:int,hi:int,priority:int,rule:int>>>"
-    step = lambda a, m, p: F.struct(
-        (a["at"] + F.length(p) + F.length(m)).alias("at"),
-        F.concat(a["hits"], F.array(F.struct((a["at"] + F.length(p)).alias("lo"), (-a["at"] - F.length(p) - F.length(m)).alias("hi"), (-rule["priority"]).alias("priority"), number.alias("rule")))).alias("hits"),
-    )
+    kind = f"struct<at:int,word:int,hits:array<{HIT}>>"
+
+    def step(a: Column, m: Column, p: Column) -> Column:
+        lo, word = a["at"] + F.length(p), a["word"] + spaces(p)
+        hit = F.struct(lo.alias("lo"), (-lo - F.length(m)).alias("hi"), (-rule["priority"]).alias("priority"), number.alias("rule"), (word - 1).alias("first"), (spaces(m) + 1).alias("words"))
+        return F.struct((lo + F.length(m)).alias("at"), (word + spaces(m)).alias("word"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+
     pairs = F.zip_with(found, F.slice(rest, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int,priority:int,rule:int>>").alias("hits")).cast(kind)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("word"), F.array().cast(f"array<{HIT}>").alias("hits")).cast(kind)
     return F.aggregate(pairs, start, lambda a, x: step(a, x["m"], x["p"]).cast(kind), lambda a: a["hits"])
 
 
@@ -242,7 +434,7 @@ def standing(found: Column) -> Column:
     """The hits that no other suppresses, in order of place. Sorted by start, longest first, a hit
     lies inside an earlier one exactly if one of those ends no sooner: the furthest end of each
     priority is all that has to be kept."""
-    hit = "array<struct<lo:int,hi:int,priority:int,rule:int>>"
+    hit = f"array<{HIT}>"
     kind = f"struct<ends:array<int>,hits:{hit}>"
     order = F.array_sort(found)
 
@@ -268,21 +460,26 @@ def scan(docs: DataFrame, more_rules: list[tuple[str, str, str, int]] | None = N
     given = rules()
     table = given + (more_rules or [])
     wanted = [needed(p) for _, _, p, _ in given] + [((k,),) if k else () for _, k, _, _ in more_rules or []]
+    by_word = [key_words(w) for w in wanted[: len(given)]] + [[] for _ in more_rules or []]
     # one string a rule keeps the plan small: groups between line ends, strings between tabs
     strings = lambda groups: F.lit("\n".join(map("\t".join, groups)))
-    literal = F.array(*(F.struct(strings(wanted[i]).alias("wanted"), F.lit(p).alias("pattern"), F.lit(x).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("number")) for i, (x, _, p, n) in enumerate(table)))
+    literal = F.array(*(F.struct(strings(by_word[i]).alias("words"), strings(wanted[i]).alias("wanted"), F.lit(p).alias("pattern"), F.lit(x).alias("label"), F.lit(n).alias("priority"), F.lit(i).alias("number")) for i, (x, _, p, n) in enumerate(table)))
+    all_words = F.split(F.lit("\t".join(sorted({w for groups in by_word for g in groups for w in g}))), "\t")
     base = f"(?<= )(?:{'|'.join(BASE)})(?= )"
     rows = docs.select(F.col("doc_id").cast("long"), normal(F.col("text").cast("string")).alias("norm"))
     any_base = F.lit(False)
     for phrase in BASE:
         any_base = any_base | F.contains("norm", F.lit(f" {phrase} "))
-    rows = rows.select("doc_id", "norm", F.when(F.col("norm") == "  ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long").alias("n_words"), any_base.alias("based"), F.when(gate(F.col("norm"), wanted), F.col("norm")).alias("gated"))
-    fired = F.filter(literal, lambda r: F.forall(F.split(r["wanted"], "\n"), lambda g: F.exists(F.split(g, "\t"), lambda s: F.contains(F.col("gated"), s))))
-    found = F.flatten(F.transform(fired, lambda r: hits(F.col("gated"), r, r["number"])))
-    rows = rows.withColumn("found", F.when(F.col("gated").isNotNull(), standing(found)))
-    at = lambda h: spaces(F.substring(F.col("norm"), F.lit(1), h["lo"])) - 1
+    n_words = F.when(F.col("norm") == "  ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long")
+    rows = rows.select("doc_id", "norm", n_words.alias("n_words"), any_base.alias("based"), F.array_intersect(F.split("norm", " "), all_words).alias("there"))
+    groups = lambda r, of: F.filter(F.split(r[of], "\n"), lambda g: g != "")
+    near = F.filter(literal, lambda r: F.forall(groups(r, "words"), lambda g: F.arrays_overlap(F.split(g, "\t"), F.col("there"))))
+    fired = F.filter(near, lambda r: F.forall(groups(r, "wanted"), lambda g: F.exists(F.split(g, "\t"), lambda s: F.contains(F.col("norm"), s))))
+    found = standing(F.flatten(F.transform(fired, lambda r: hits(F.col("norm"), r, r["number"]))))
+    # a rule that no word leads to is looked at in every text
+    rows = rows.withColumn("found", found if any(not g for g in by_word) else F.when(F.size("there") > 0, found))
     of = lambda h, what: F.element_at(literal, h["rule"] + 1)[what]
-    detection = lambda h: F.struct(at(h).alias("first_word"), (spaces(F.substring(F.col("norm"), h["lo"] + 1, -h["hi"] - h["lo"])) + 1).alias("n_words"), of(h, "label").alias("label"), of(h, "priority").alias("priority"))
+    detection = lambda h: F.struct(h["first"].alias("first_word"), h["words"].alias("n_words"), of(h, "label").alias("label"), (-h["priority"]).alias("priority"))
     rows = rows.withColumn("detections", F.coalesce(F.transform("found", detection), F.array().cast("array<struct<first_word:int,n_words:int,label:string,priority:int>>")))
     of_base = F.array_compact(F.array(*(F.when(F.contains("norm", F.lit(f" {p} ")), F.lit(x)) for p, x in BASE.items())))
     rows = rows.withColumn("base", F.when(F.col("based"), of_base).otherwise(F.array().cast("array<string>")))
