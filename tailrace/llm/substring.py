@@ -67,11 +67,11 @@ def stretches(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-known: dict[bytes, int] = {}
+known: dict[bytes, bytes] = {}
 
 
-def word_hash(word: bytes) -> int:
-    h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+def word_hash(word: bytes) -> bytes:
+    h = blake2b(word, digest_size=8).digest()
     if len(word) <= KNOWN_BYTES:
         if len(known) >= KNOWN:
             known.clear()
@@ -96,8 +96,7 @@ def word_hashes(text: bytes) -> np.ndarray:
                 cut = at + int(apart[-1]) + 1
             else:
                 cut = min((i for i in (text.find(bytes([c]), at + STRETCH) for c in b" \t\n\x0b\x0c\r") if i >= 0), default=len(text))
-        words = text[at:cut].split()
-        out.append(np.fromiter((known.get(w) or word_hash(w) for w in words), dtype=np.uint64, count=len(words)))
+        out.append(np.frombuffer(b"".join([known.get(w) or word_hash(w) for w in text[at:cut].split()]), dtype=np.uint64))
         at = cut
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
@@ -275,7 +274,8 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
         size = 0
 
         def emit() -> pa.RecordBatch:
-            lows = smallest([(w.split(b" "), d) for _, _, d, w in waiting], window)
+            number: dict[bytes, int] = {}  # the words themselves tell them apart; small numbers stand for them in the automata
+            lows = smallest([([number.setdefault(x, len(number)) for x in w.split(b" ")], d) for _, _, d, w in waiting], window)
             columns = [pa.array(c, pa.int64()) for c in ([w[0] for w in waiting], [w[1] for w in waiting], [digest(w[3]) for w in waiting])]
             return pa.RecordBatch.from_arrays([*columns, pa.array(lows, pa.list_(pa.int64()))], names=["anchor", "fragment", "digest", "lows"])
 
@@ -319,31 +319,47 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
         for b in blocks(batches, "text", 1_000_000):
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            claims = [f if f and i is not None else None for i, f in zip(b.column("doc_id").to_pylist(), b.column("found").to_pylist(), strict=True)]
+            # the fragments of the documents that may lose words
+            of = [i for i, f in enumerate(claims) if f]
+            hashes, document = batch_words([texts[i] for i in of])
+            start, count, _, name = fragments(hashes, document, window, gram)
+            name = name.view(np.int64)
+            keep = np.isin(name, np.array([f["fragment"] for i in of for f in claims[i]], dtype=np.int64))
+            first, where = np.searchsorted(document, np.arange(len(of))).tolist(), document[start[keep]]
+            edge = np.searchsorted(where, np.arange(len(of) + 1)).tolist()
+            mine = dict(zip(of, range(len(of)), strict=True))
+            start, count, name = start[keep].tolist(), count[keep].tolist(), name[keep].tolist()
             rows = []
-            for doc_id, text, claims in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                data = (text or "").encode()
+            for i, data in enumerate(texts):
                 words = data.split()
-                if not claims or doc_id is None:
+                if not claims[i]:
                     rows.append((len(words), [], b" ".join(words)))
                     continue
-                hashes = word_hashes(data)
-                start, count, _, name = fragments(hashes, np.zeros(len(hashes), dtype=np.int64), window, gram)
-                mask: dict[tuple[int, int], int] = {}
-                for f in claims:
-                    key = f["fragment"], f["digest"]
-                    mask[key] = mask.get(key, 0) | f["mask"]
-                claimed = {f for f, _ in mask}
-                step = np.zeros(len(words) + 1, dtype=np.int64)
-                for s, c, f in zip(start.tolist(), count.tolist(), name.view(np.int64).tolist(), strict=True):
-                    m = mask.get((f, digest(b" ".join(words[s : s + c + window - 1]))), 0) if f in claimed else 0
-                    for i in range(c if m else 0):
-                        if m >> i & 1:
-                            step[s + i] += 1
-                            step[s + i + window] -= 1
-                covered = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-                spans = [{"start": int(s), "n": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-                rows.append((len(words), spans, b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])))
+                mask: dict[int, dict[int, int]] = {}  # by fragment and digest
+                for f in claims[i]:
+                    by_digest = mask.setdefault(f["fragment"], {})
+                    by_digest[f["digest"]] = by_digest.get(f["digest"], 0) | f["mask"]
+                step, d = [0] * (len(words) + 1), mine[i]
+                for j in range(edge[d], edge[d + 1]):
+                    if name[j] not in mask:
+                        continue
+                    s = start[j] - first[d]
+                    m = mask[name[j]].get(digest(b" ".join(words[s : s + count[j] + window - 1])), 0)
+                    if m == (1 << count[j]) - 1:  # all of its windows, which are one run of words
+                        step[s] += 1
+                        step[s + count[j] - 1 + window] -= 1
+                        continue
+                    for k in range(count[j] if m else 0):
+                        if m >> k & 1:
+                            step[s + k] += 1
+                            step[s + k + window] -= 1
+                covered = np.cumsum(np.array(step[:-1], dtype=np.int64)) > 0
+                edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
+                spans = [{"start": int(s), "n": int(e - s)} for s, e in zip(edges[::2], edges[1::2], strict=True)]
+                gone = covered.tolist()
+                rows.append((len(words), spans, b" ".join([w for w, c in zip(words, gone, strict=True) if not c])))
             kinds = (pa.int64(), span, pa.string())
             new = [pa.array([r[i].decode() for r in rows] if i == 2 else [r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *new], names=["doc_id", "n_words", "spans", "kept"])
