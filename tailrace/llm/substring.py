@@ -10,8 +10,7 @@ not to all documents. Streaming every one of them through the automata gives, fo
 smallest document that its words occur in. The documents then take the windows out that a smaller
 document has.
 
-The automata read the words themselves. Hashes (BLAKE2 of each word's bytes) only file fragments and
-name them; before a document loses a window of a fragment, a second digest of the fragment's bytes is
+The automata read the words themselves. Hashes of the words only file fragments and name them; before a document loses a window of a fragment, a second digest of the fragment's bytes is
 compared with that of the fragment which the automata read.
 """
 
@@ -33,12 +32,15 @@ from tailrace.llm.common import blocks, partitions
 WINDOW, GRAM = 13, 5
 #: Words of a reference shard; a minimizer with more is worked off shard by shard.
 SHARD_WORDS = 50_000
+#: Words of the fragments that a task holds before it works them off, at the next minimizer.
+HELD_WORDS = 4_000
 #: Stands for no document.
 NONE = (1 << 63) - 1
 #: Bytes that are cut into words at once.
 STRETCH = 1 << 19
-#: Words whose hashes a worker keeps, and the longest of them; beyond that the store fills anew.
-KNOWN, KNOWN_BYTES = 200_000, 64
+#: Bytes of a word that are summed, each times the number of its place; longer words are hashed one by one.
+SUMMED = 64
+TIMES = np.frombuffer(b"".join(blake2b(b"place %d" % i, digest_size=8).digest() for i in range(SUMMED)), dtype=np.uint64)
 GRAM_BASE, FRAGMENT_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -67,18 +69,6 @@ def stretches(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-known: dict[bytes, bytes] = {}
-
-
-def word_hash(word: bytes) -> bytes:
-    h = blake2b(word, digest_size=8).digest()
-    if len(word) <= KNOWN_BYTES:
-        if len(known) >= KNOWN:
-            known.clear()
-        known[word] = h
-    return h
-
-
 def digest(fragment: bytes) -> int:
     """Of a fragment's words, a space between them; independent of their hashes."""
     return int.from_bytes(blake2b(fragment, digest_size=8, person=b"fragment").digest(), "little", signed=True)
@@ -96,7 +86,19 @@ def word_hashes(text: bytes) -> np.ndarray:
                 cut = at + int(apart[-1]) + 1
             else:
                 cut = min((i for i in (text.find(bytes([c]), at + STRETCH) for c in b" \t\n\x0b\x0c\r") if i >= 0), default=len(text))
-        out.append(np.frombuffer(b"".join([known.get(w) or word_hash(w) for w in text[at:cut].split()]), dtype=np.uint64))
+        b = np.frombuffer(text, dtype=np.uint8, count=cut - at, offset=at)
+        apart = np.concatenate([[True], (b == 32) | ((b >= 9) & (b <= 13)), [True]])
+        edge = np.flatnonzero(apart[1:] != apart[:-1])
+        start, end = edge[::2], edge[1::2]
+        size = end - start
+        begin = np.zeros(len(b), dtype=np.int64)
+        begin[start] = start
+        place = np.arange(len(b)) - np.maximum.accumulate(begin)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(TIMES[place & (SUMMED - 1)] * (b.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+        found = mixed(total[end] - total[start] + size.astype(np.uint64) * np.uint64(GRAM_BASE))
+        for i in np.flatnonzero(size > SUMMED).tolist():
+            found[i] = int.from_bytes(blake2b(text[at + start[i] : at + end[i]], digest_size=8).digest(), "little")
+        out.append(found)
         at = cut
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
@@ -275,13 +277,18 @@ def repeated_windows(docs: DataFrame, held: DataFrame, window: int, gram: int) -
 
         def emit() -> pa.RecordBatch:
             number: dict[bytes, int] = {}  # the words themselves tell them apart; small numbers stand for them in the automata
-            lows = smallest([([number.setdefault(x, len(number)) for x in w.split(b" ")], d) for _, _, d, w in waiting], window)
+            anchors = [w[0] for w in waiting]
+            alone = [(i == 0 or anchors[i - 1] != a) and (i + 1 == len(anchors) or anchors[i + 1] != a) for i, a in enumerate(anchors)]
+            several = [([number.setdefault(x, len(number)) for x in w.split(b" ")], d) for (_, _, d, w), one in zip(waiting, alone, strict=True) if not one]
+            rest = iter(smallest(several, window))
+            # the automaton of a fragment alone under its minimizer is a path, which the fragment matches all along
+            lows = [[d] * (w.count(b" ") + 2 - window) if one else next(rest) for (_, _, d, w), one in zip(waiting, alone, strict=True)]
             columns = [pa.array(c, pa.int64()) for c in ([w[0] for w in waiting], [w[1] for w in waiting], [digest(w[3]) for w in waiting])]
             return pa.RecordBatch.from_arrays([*columns, pa.array(lows, pa.list_(pa.int64()))], names=["anchor", "fragment", "digest", "lows"])
 
         for b in batches:
             for a, f, d, w in zip(*(b.column(c).to_pylist() for c in ("anchor", "fragment", "low", "words")), strict=True):
-                if size >= SHARD_WORDS and waiting[-1][0] != a:
+                if size >= HELD_WORDS and waiting[-1][0] != a:
                     yield emit()
                     waiting, size = [], 0
                 waiting.append((a, f, d, w))
