@@ -43,8 +43,8 @@ EXCEPTIONS = (
 )
 STACKS = (r"(Exception:.*?)(?=\s+at\s+|\s+---|\z)", r"(Error:.*?)(?=\s+at\s+|\s+---|\z)", r"(Traceback \(most recent call last\):.*?)(?=\z)", r"(错误:.*?)(?=\s+在\s+|\z)", r"(异常:.*?)(?=\s+在\s+|\z)")
 STOP_WORDS = {
-    "en": "a an the and or but if because as what is in into of for with by to from on at this that these those it its it's i my me mine we our ours you your yours he his him she her hers they their them be been being am are was were has have had do does did will would shall should can could may might must not no nor so".split(),
-    "zh": "的 了 和 是 就 都 而 及 与 着 或 一个 没有 我们 你们 他们 她们 它们 这 那 这个 那个 这些 那些 这样 那样 之 得 地 在 上 下 前 后 里 外 来 去 被 把 向 让 给 的话 说 对于".split(),
+    "en": ("a", "an", "the", "and", "or", "but", "if", "because", "as", "what", "is", "in", "into", "of", "for", "with", "by", "to", "from", "on", "at", "this", "that", "these", "those", "it", "its", "it's", "i", "my", "me", "mine", "we", "our", "ours", "you", "your", "yours", "he", "his", "him", "she", "her", "hers", "they", "their", "them", "be", "been", "being", "am", "are", "was", "were", "has", "have", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "not", "no", "nor", "so"),
+    "zh": ("的", "了", "和", "是", "就", "都", "而", "及", "与", "着", "或", "一个", "没有", "我们", "你们", "他们", "她们", "它们", "这", "那", "这个", "那个", "这些", "那些", "这样", "那样", "之", "得", "地", "在", "上", "下", "前", "后", "里", "外", "来", "去", "被", "把", "向", "让", "给", "的话", "说", "对于"),
 }
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -48,14 +49,16 @@ def hashed(text: str, dimension: int = DIMENSION) -> list[float]:
 
 def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, dimension: int = DIMENSION) -> Callable[[Column], Column]:
     """A column function from a model: any function of a list of texts. Blank texts become " "; where
-    the model fails the batch gets zero vectors. Default: the hashing embedder."""
+    the model fails the batch gets zero vectors, which the worker's log reports with their number.
+    Default: the hashing embedder."""
 
     @F.pandas_udf("array<float>")
     def run(text: pd.Series) -> pd.Series:
         texts = [t if t and t.strip() else " " for t in text]
         try:
             return pd.Series(embed(texts) if embed else [hashed(t, dimension) for t in texts])
-        except Exception:  # noqa: BLE001  a model may fail in any way
+        except Exception as failed:  # noqa: BLE001  a model may fail in any way
+            logging.getLogger(__name__).warning("the model failed, %d texts get zero vectors: %s", len(texts), failed)
             return pd.Series([[0.0] * dimension for _ in texts])
 
     return run
@@ -71,8 +74,10 @@ def top_k(points: DataFrame, query: list[float], k: int, least: float | None = N
 
 def novelty(points: DataFrame, history: DataFrame, least: float = 0.05, most_history: int = 10_000) -> DataFrame:
     """points(id, vector) with the smallest cosine distance to the history and whether it is above
-    `least`. The history is a ring of at most `most_history` vectors and goes to every task."""
-    rows = [r["vector"] for r in history.select("vector").limit(most_history).collect()]
+    `least`. The history is a ring of at most `most_history` vectors, the newest by ts, else by id, and
+    goes to every task."""
+    newest = [F.col(c).desc() for c in ("ts", "id", "_id") if c in history.columns]
+    rows = [r["vector"] for r in (history.orderBy(*newest) if newest else history).select("vector").limit(most_history).collect()]
     known = np.array(rows, dtype=np.float64).reshape(len(rows), -1)
     known = known / np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12) if len(rows) else known
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tailrace.checkpoints import checkpointed
 from tailrace.functions.vectors import neighbours
 
 
@@ -28,16 +29,15 @@ class DedupConfig:
 
 def reach(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): label is the smallest node reached. Labels spread along edges, then jump to their
-    label's label; every round is checkpointed if the session has a folder for it, else recomputed."""
+    label's label; every round is checkpointed."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    keep = (lambda d: d.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = keep(both)
-    labels = keep(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("label")))
+    both = checkpointed(both)
+    labels = checkpointed(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("label")))
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
         near = labels.join(around, "x").select("x", F.least("label", "m").alias("label"))
         jump = near.select(F.col("x").alias("label"), F.col("label").alias("further"))
-        new = keep(near.join(jump, "label", "left").select("x", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = checkpointed(near.join(jump, "label", "left").select("x", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "x").where("label <> old").isEmpty()
         labels = new
         if changed:
@@ -56,7 +56,8 @@ def dbscan(points: DataFrame, similarity: float = 0.92, min_samples: int = 2) ->
     named = points.select("id", "vector", number.alias("copies"), F.when(zero, F.col("id").cast("string")).otherwise("").alias("__alone"))
     groups = named.where("vector IS NOT NULL").groupBy("vector", "__alone").agg(F.min("id").alias("rep"), F.sum("copies").alias("copies"))
     copies = groups.select(F.col("rep").alias("id"), "copies")
-    edges = neighbours(groups.select(F.col("rep").alias("id"), "vector"), similarity)
+    # pairs are found once, and read several times
+    edges = checkpointed(neighbours(groups.select(F.col("rep").alias("id"), "vector"), similarity))
     around = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
     degree = around.join(copies.withColumnRenamed("id", "other"), "other").select("id", "copies").unionAll(copies).groupBy("id").agg(F.sum("copies").alias("n"))
     core = degree.where(F.col("n") >= min_samples).select("id")

@@ -12,8 +12,8 @@ from tailrace.functions.text import STOP_WORDS, preview, token_estimate
 
 # Word lists and patterns that decide a query's features and intent.
 RANKING_STOP_WORDS = {
-    "en": set("the a an and or but in on at to for of with by from as is was are were been be have has had will would could should may might can this that these".split()),
-    "zh": set("的 了 和 是 在 有 我 你 他 这 那 之 与 及 其 到 以 会 也 但 对 从 而 被 把 给 让 向 往 为 所 于 就 不 都 已 可 里 去 过 她 它 个 们 来".split()),
+    "en": set(("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "be", "have", "has", "had", "will", "would", "could", "should", "may", "might", "can", "this", "that", "these")),
+    "zh": set(("的", "了", "和", "是", "在", "有", "我", "你", "他", "这", "那", "之", "与", "及", "其", "到", "以", "会", "也", "但", "对", "从", "而", "被", "把", "给", "让", "向", "往", "为", "所", "于", "就", "不", "都", "已", "可", "里", "去", "过", "她", "它", "个", "们", "来")),
 }
 TECHNICAL = {
     "error_terms": r"(?i)(error|exception|fail|crash|错误|异常|失败|崩溃)",

@@ -62,9 +62,9 @@ def ranking_words(text: Column) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(RANKING_STOP_WORDS["en"])))
 
 
-def bm25(docs: DataFrame, terms: list[str], k: int = 50, tokens: Column | None = None) -> DataFrame:
-    """(id, score) of the k best documents(id, message) by BM25. Only the query's terms are exploded;
-    document lengths come from the same pass, document frequencies from the hits."""
+def bm25(docs: DataFrame, terms: list[str], k: int | None = 50, tokens: Column | None = None) -> DataFrame:
+    """(id, score) of the k best documents(id, message) by BM25, of all that hold a term if k is None.
+    Only the query's terms are exploded; lengths and frequencies are those of all of docs."""
     tokens = words(F.col("message")) if tokens is None else tokens
     terms = list(dict.fromkeys(terms))
     d = docs.select("id", tokens.alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda w: w.isin(*terms)).alias("t"))
@@ -74,13 +74,14 @@ def bm25(docs: DataFrame, terms: list[str], k: int = 50, tokens: Column | None =
     joined = tf.join(F.broadcast(df), "term").join(F.broadcast(whole), F.lit(True))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "id").limit(k)
+    scored = joined.groupBy("id").agg(F.sum(part).alias("score"))
+    return scored if k is None else scored.orderBy(F.round("score", 9).desc(), "id").limit(k)
 
 
 def lexical(docs: DataFrame, query: str, k: int = 50, where: Column | None = None) -> DataFrame:
     """The lexical leg over (id, message, timestamp, ...): documents that hold enough of the query's
-    terms, the query as a phrase, or - for short queries - as it is written, by BM25, newest first
-    among equals."""
+    terms, the query as a phrase, or - for short queries - as it is written, by BM25 over all that the
+    filter leaves, newest first among equals. What is found only as it is written scores 0."""
     docs = docs if where is None else docs.where(where)
     f = query_features(query)
     terms = list(dict.fromkeys([*f["english_keywords"], *f["chinese_keywords"]])) or query.lower().split()
@@ -90,8 +91,8 @@ def lexical(docs: DataFrame, query: str, k: int = 50, where: Column | None = Non
         hit = hit | wildcard_match(F.col("message"), query)
     if len(terms) > 1:
         hit = hit | (terms_match(tokens, terms, 1.0) & phrase_within(terms)(tokens))
-    scored = bm25(docs.where(hit), terms, 10 * k, tokens)
-    return scored.join(docs, "id").orderBy(F.col("score").desc(), F.col("timestamp").desc(), "id").limit(k)
+    scored = docs.where(hit).join(bm25(docs, terms, None, tokens), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return scored.orderBy(F.round("score", 9).desc(), F.col("timestamp").desc(), "id").limit(k)
 
 
 def merge(lexical_hits: DataFrame, vector_hits: DataFrame, reranked: DataFrame | None = None, shared: list[str] | None = None) -> DataFrame:

@@ -6,12 +6,13 @@ engines give the same values.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailrace.checkpoints import shared_folder
 from tailrace.functions import text, times
 from tailrace.functions.masks import first_in_bucket, with_templates
 from tailrace.functions.vectors import neighbours, novelty, top_k
@@ -251,12 +252,12 @@ def level_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("_id", text.level_of(F.col("message")).alias("level"))
 
 
-@query(r"""WITH p AS (SELECT page_id, url || ' at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end' AS t FROM pages), a AS (SELECT page_id, regexp_replace(t, 'https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+(?:/[-\w%!./?=&]*)?', ' [URL] ', 'g') AS t FROM p),
+@query(r"""WITH p AS (SELECT page_id, coalesce(html, '') || ' ' || url || ' at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end' AS t FROM pages), a AS (SELECT page_id, regexp_replace(t, 'https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+(?:/[-\w%!./?=&]*)?', ' [URL] ', 'g') AS t FROM p),
 b AS (SELECT page_id, regexp_replace(t, '(?:/[-\w.]+)+(?:/[-\w.]+)*', ' [PATH] ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b', ' [UUID] ', 'g'), '(?i)\b[0-9a-f]{24}\b', ' [ID] ', 'g') AS t FROM b),
 d AS (SELECT page_id, regexp_replace(regexp_replace(t, '\b(?:\d{1,3}\.){3}\d{1,3}\b', ' [IP] ', 'g'), '\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[T ]\d{1,2}:\d{1,2}(?::\d{1,2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?', ' [DATE] ', 'g') AS t FROM c)
 SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS cleaned FROM d""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat("url", F.lit(" at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end"))
+    t = F.concat(F.coalesce("html", F.lit("")), F.lit(" "), "url", F.lit(" at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end"))
     return table(spark, sf_dir, "pages").select("page_id", text.clean_text(t).alias("cleaned"))
 
 
@@ -377,6 +378,27 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(docs(spark, sf_dir), QUERY.split(), 50).select("id", F.round("score", 6).alias("score"))
 
 
+_LEXICAL = """t AS (SELECT id, message, regexp_extract_all(lower(message), '[a-z]+') AS t FROM docs WHERE @FILTER), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), u AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t), f AS (SELECT id, dl, term, count(*) AS tf FROM u WHERE term IN (@TERMS) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))) AS score FROM f JOIN d USING (term), n GROUP BY 1),
+lex AS (SELECT id, coalesce(score, 0) AS score FROM t LEFT JOIN s USING (id) WHERE @HIT ORDER BY round(coalesce(score, 0), 9) DESC, id % 1000 DESC, id LIMIT 50)"""
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("timestamp", F.timestamp_seconds(F.col("id") % 1000))
+
+
+@query("WITH @DOCS, " + _LEXICAL.replace("@FILTER", "id % 3 <> 0").replace("@TERMS", "'the', 'ering', 'thing', 'error', 'database'").replace("@HIT", "len(list_intersect(t, ['ering', 'thing', 'error', 'database'])) >= 1").replace("'the', ", "") + " SELECT id, round(score, 6) AS score FROM lex")
+def lexical_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the query under a filter, whose rows alone make the statistics."""
+    return retrieval.lexical(dated(spark, sf_dir), QUERY, 50, F.col("id") % 3 != 0).select("id", F.round("score", 6).alias("score"))
+
+
+@query("WITH @DOCS, " + _LEXICAL.replace("@FILTER", "true").replace("@TERMS", "'thi'").replace("@HIT", "list_contains(t, 'thi') OR (length(message) <= 256 AND contains(message, 'thi'))") + " SELECT id, round(score, 6) AS score FROM lex")
+def lexical_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short query is found inside words too, in texts that are kept whole."""
+    return retrieval.lexical(dated(spark, sf_dir), "thi").select("id", F.round("score", 6).alias("score"))
+
+
 _RANKING = ", ".join(f"'{w}'" for w in sorted(prompting.RANKING_STOP_WORDS["en"]))
 _TFIDF = f"""x AS (SELECT id, message FROM @HITS UNION ALL SELECT NULL, '{QUERY}'), xt AS (SELECT id, list_concat(list_filter(regexp_extract_all(lower(message), '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN ({_RANKING})), regexp_extract_all(message, '[0-9]+')) AS t FROM x), xu AS (SELECT id, unnest(t) AS token FROM xt), xf AS (SELECT id, token, count(*) AS tf FROM xu GROUP BY 1, 2),
 xk AS (SELECT token, count(*) AS df FROM xf GROUP BY 1 ORDER BY sum(tf) DESC, token LIMIT 1000), xn AS (SELECT count(*) AS n FROM x), xw AS (SELECT id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM xf JOIN xk USING (token), xn), xq AS (SELECT token, w AS qw FROM xw WHERE id IS NULL), xv AS (SELECT sqrt(sum(qw * qw)) AS qn FROM xq),
@@ -436,23 +458,15 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).join(points(spark, sf_dir).select("id", "vector"), "id").withColumns({"log_level": F.lit("ERROR"), "service_name": F.lit("svc"), "timestamp": F.timestamp_seconds(F.lit(1704067200) + F.col("id"))})
+    d = docs(spark, sf_dir).join(points(spark, sf_dir).select("id", "vector"), "id", "left").withColumns({"log_level": F.lit("ERROR"), "service_name": F.lit("svc"), "timestamp": F.timestamp_seconds(F.lit(1704067200) + F.col("id"))})
     found = retrieval.search(d, "the ering thing", first_vector(spark, sf_dir), NOW, least=0.0)["results"]
     return found.select("id", "rank", F.round("final_score", 6).alias("final_score"), "relevance")
 
 
-@query("""WITH h AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings QUALIFY rank <= 5), p AS (SELECT rank, '[日志 ' || rank || ']' || chr(10) || '时间: ' || vec_id || chr(10) || '级别: L' || label || chr(10) || '服务: s' || chr(10) || '内容: ' || substr(text, 1, 200) AS p FROM h JOIN documents ON doc_id = vec_id), c AS (SELECT string_agg(p, chr(10) || chr(10) ORDER BY rank) AS c FROM p)
-SELECT c AS context, len(regexp_extract_all(c, '[^ \\n\\t\\r\\f\\v]+')) + 1.5e0 * len(regexp_extract_all(c, '[一-鿿]')) AS token_estimate FROM c""")
-def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = points(spark, sf_dir).orderBy("id").limit(5), docs(spark, sf_dir)
-    hits = e.join(d, "id").select("id", F.col("id").alias("rank"), F.col("id").alias("timestamp"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("log_level"), F.lit("s").alias("service_name"), F.substring("message", 1, 200).alias("message"), F.lit(0.0).alias("final_score"))
-    return prompting.context_block(hits).select("context", "token_estimate")
-
-
 @query("""WITH h AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings QUALIFY rank <= 5), p AS (SELECT rank, '[日志 ' || rank || ']' || chr(10) || '时间: ' || vec_id || chr(10) || '级别: L' || label || chr(10) || '服务: s' || chr(10) || '内容: ' || coalesce(text, '') AS p FROM h JOIN documents ON doc_id = vec_id), c AS (SELECT string_agg(p, chr(10) || chr(10) ORDER BY rank) AS c FROM p),
 t AS (SELECT c, len(regexp_extract_all(c, '[^ \\n\\t\\r\\f\\v]+')) + 1.5e0 * len(regexp_extract_all(c, '[一-鿿]')) AS token_estimate FROM c)
 SELECT CASE WHEN token_estimate > 4000 THEN substr(c, 1, 2400) || '...(内容已截断)' ELSE c END AS context, token_estimate FROM t""")
-def context_block_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of whole messages, cut by the limit of tokens alone."""
     e, d = points(spark, sf_dir).orderBy("id").limit(5), docs(spark, sf_dir)
     hits = e.join(d, "id").select("id", F.col("id").alias("rank"), F.col("id").alias("timestamp"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("log_level"), F.lit("s").alias("service_name"), "message", F.lit(0.0).alias("final_score"))
@@ -511,11 +525,9 @@ def optimize_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("silhouette", F.round("silhouette", 6)).withColumn("inertia", F.round("inertia", 4))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a temporary one only where none is named."""
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder under the session's shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,7 +537,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH @LOGS SELECT CAST(floor(epoch_us(ts) / 3600000000e0) AS BIGINT) * 3600 AS window_s, log_level, count(*) AS n FROM logs GROUP BY 1, 2")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     stream = jobs.incremental(event_stream(spark, sf_dir).select("ts", "log_level"), lambda b: b, f"{folder}/rows", f"{folder}/checkpoint")
     stream.awaitTermination()
     return jobs.tumbling(spark.read.parquet(f"{folder}/rows")).select(seconds("window_start").alias("window_s"), "log_level", "n")
@@ -533,7 +545,7 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH @LOGS, {sessions_sql(1800, 'service_name')} SELECT service_name, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY service_name, session")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     jobs.complete(jobs.error_sessions(event_stream(spark, sf_dir), "1800 seconds"), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("service_name", F.unix_micros("start").alias("start_us"), "n")
 

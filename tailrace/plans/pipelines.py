@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tailrace.checkpoints import checkpointed
 from tailrace.functions import text
 from tailrace.functions.filters import is_error
 from tailrace.functions.masks import first_in_bucket
-from tailrace.functions.vectors import embedder
+from tailrace.functions.vectors import DIMENSION, embedder
 from tailrace.operators.aggregates import error_patterns
 from tailrace.operators.dedup import DedupConfig, deduplicate
 from tailrace.operators.drain import parse_logs
@@ -40,13 +41,14 @@ def structured(logs: DataFrame) -> DataFrame:
     return logs.withColumn("json", text.find_json("message")).withColumn("kv", text.key_values(F.col("message")))
 
 
-def extract_and_process(logs: DataFrame, prefilter: bool = True, minutes: int = 30, algorithm: str = "drain", vector_dedup: DedupConfig | None = None, embed: Callable | None = None) -> dict:
-    """Clean, mask, drop duplicates, mine templates, flag anomalies, cluster, count error patterns:
-    status, logs, error_patterns."""
+def extract_and_process(logs: DataFrame, prefilter: bool = True, minutes: int = 30, algorithm: str = "drain", vector_dedup: DedupConfig | None = None, embed: Callable | None = None, dimension: int = DIMENSION) -> dict:
+    """Clean, mask, drop duplicates - by bucket, and with vector_dedup near copies by vector -, mine
+    templates, flag anomalies, cluster, count error patterns: status, logs, error_patterns."""
     out = normalise_exceptions(preprocess(logs))
     out = first_in_bucket(out, minutes) if prefilter else out
     if vector_dedup:
-        out = deduplicate(out.withColumn("vector", embedder(embed)(F.col("message"))), vector_dedup)
+        # vectors are made once; what is left is written down for the steps that read it several times
+        out = checkpointed(deduplicate(checkpointed(out.withColumn("vector", embedder(embed, dimension)(F.col("message")))), vector_dedup).drop("vector"))
     out = cluster(predict_anomalies(parse_logs(out, algorithm)), "template")
     if out.isEmpty():
         return {"status": "no_data", "logs": out, "error_patterns": None}

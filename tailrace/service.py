@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tailrace.functions.filters import search_filter
 from tailrace.functions.text import clean_text
-from tailrace.functions.vectors import hashed
+from tailrace.functions.vectors import DIMENSION, embedder, hashed
 from tailrace.operators import aggregates, anomaly, patterns, prompting, retrieval
 from tailrace.operators.dedup import DedupConfig
 from tailrace.plans import pipelines
@@ -41,6 +41,10 @@ class LogService:
         text = self.spark.range(1).select(clean_text(F.lit(query)).alias("t")).first()["t"] or " "
         return self.embed([text])[0] if self.embed else hashed(text)
 
+    def dimension(self) -> int:
+        """How many components the model's vectors have."""
+        return len(self.embed(["x"])[0]) if self.embed else DIMENSION
+
     def documents(self) -> DataFrame:
         d = self.logs.select(F.col("_id").alias("id"), "message", "log_level", "service_name", F.col("ts").alias("timestamp"), *(c for c in ("template", "cluster_id") if c in self.logs.columns))
         if self.points is None:
@@ -76,18 +80,18 @@ class LogService:
     def extract(self, start_time: str | None = None, end_time: str | None = None, max_logs: int | None = 10_000, query_filter: dict | None = None) -> DataFrame:
         return sources.scan(self.logs, start_time, end_time, query_filter, None, max_logs)
 
-    def process_logs(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, target: str | None = None, algorithm: str = "drain") -> dict:
+    def process_logs(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, target: str | None = None, algorithm: str = "drain", deduplicate: bool = True) -> dict:
+        """Near copies go by the settings of dedup_config(); target is merged into by id."""
         rows = self.extract(start_time, end_time, max_logs, query_filter)
-        out = pipelines.extract_and_process(rows, algorithm=algorithm)
+        out = pipelines.extract_and_process(rows, algorithm=algorithm, vector_dedup=self.dedup if deduplicate else None, embed=self.embed, dimension=self.dimension())
         n = sources.save(out["logs"], target)[0] if target else out["logs"].count()
         seen = rows.count()
         self.processed, self.removed = self.processed + seen, self.removed + seen - n
         return out | {"record_count": n}
 
     def vectorize_logs(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, content_column: str = "message") -> dict:
-        new = pipelines.vectorise(self.extract(start_time, end_time, max_logs, query_filter), content_column)
-        dim = len(hashed("x"))
-        self.points = sources.add_vectors(self.points, new, dim)
+        new = pipelines.vectorise(self.extract(start_time, end_time, max_logs, query_filter), content_column, embedder(self.embed, self.dimension()))
+        self.points = sources.add_vectors(self.points, new, self.dimension())
         return {"status": "success", "points": self.points}
 
     def analyze_anomalies(self, start_time: str, end_time: str, max_logs: int = 10_000, query_filter: dict | None = None, services: list[str] | None = None, log_levels: list[str] | None = None) -> dict:
@@ -103,8 +107,8 @@ class LogService:
         rows = self.extract(str(end - timedelta(hours=time_window_hours)), str(end), max_logs)
         if rows.isEmpty():
             return {"status": "no_new_data"}
-        out = pipelines.extract_and_process(rows, prefilter, time_window_minutes)
-        return {"status": "success", "logs": out["logs"], "points": pipelines.vectorise(out["logs"])}
+        out = pipelines.extract_and_process(rows, prefilter, time_window_minutes, vector_dedup=self.dedup, embed=self.embed, dimension=self.dimension())
+        return {"status": "success", "logs": out["logs"], "points": pipelines.vectorise(out["logs"], embed=embedder(self.embed, self.dimension()))}
 
     def update_search_weights(self, es_weight: float | None = None, vector_weight: float | None = None, weights_config: str | dict | None = None, disable_dynamic_weights: bool = True) -> dict:
         given = json.loads(weights_config) if isinstance(weights_config, str) else weights_config or {}

@@ -78,25 +78,61 @@ def latest_per_id(rows: DataFrame, key: str, order: Column | str) -> DataFrame:
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, key: str = "_id") -> DataFrame:
-    """existing with the rows of new in place of those with the same id; of new, one row for each id."""
+    """existing with the rows of new in place of those with the same id; of new, one row for each id:
+    the latest by ts where there is one, of several such rows the greatest by their columns."""
     kinds = dict(new.dtypes)
     plain = [c for c in new.columns if c != key and kinds[c] in ("timestamp", "string", "bigint", "int")]
+    plain = sorted(plain, key=lambda c: c != "ts")
     rest = [c for c in new.columns if c not in plain and not kinds[c].startswith("map")]
     w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in plain), F.xxhash64(*rest))
     one = new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     return one if existing is None else existing.join(one.select(key), key, "left_anti").select(*existing.columns).unionByName(one, allowMissingColumns=True)
 
 
-def save(rows: DataFrame, path: str, mapping: FieldMap | None = None) -> tuple[int, bool]:
-    """Writes rows as a table partitioned by day where they have a ts; (rows, whether all went well)."""
-    out = rows.drop("_index", "_score")
-    count = F.count(F.lit(1)).alias("n")
-    named = mapping.physical(out) if mapping else out
-    if "ts" in rows.columns:
-        named.withColumn("day", F.to_date(rows["ts"])).write.mode("overwrite").partitionBy("day").parquet(path)
-    else:
-        named.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path).agg(count).first()["n"], True
+def files(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a folder, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def save(rows: DataFrame, path: str, mapping: FieldMap | None = None, key: str = "_id") -> tuple[int, bool]:
+    """Merges rows into the table at path by id, a table by day where they have a ts; (rows taken in,
+    whether all went well). Days that hold none of the ids, old or new, are not touched. Rows without
+    an id column are added. The days are written beside the table first and moved in one by one."""
+    spark, out = rows.sparkSession, rows.drop("_index", "_score")
+    by_day = ["day"] if "ts" in rows.columns else []
+    if by_day:
+        out = out.withColumn("day", F.to_date("ts"))
+    if key in rows.columns:
+        out = upsert(None, out, key)
+    out = mapping.physical(out) if mapping else out
+    fs, target = files(spark, path)
+    staged = f"{path}.new"
+    out.write.mode("overwrite").partitionBy(*by_day).parquet(staged)
+    new = spark.read.schema(out.schema).parquet(staged)
+    count = new.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if not fs.exists(target) or key not in new.columns:
+        new.write.mode("append").partitionBy(*by_day).parquet(path)
+        fs.delete(files(spark, staged)[1], True)
+        return count, True
+    old = spark.read.parquet(path)
+    # the days of the new rows, and those where their older versions stand
+    met = old.join(new.select(key), key, "left_semi")
+    days = met.select("day").unionByName(new.select("day")).distinct() if by_day else None
+    touched = old.join(days.withColumnRenamed("day", "__day"), F.col("day").eqNullSafe(F.col("__day")), "left_semi") if by_day else old
+    merged = f"{path}.merged"
+    touched.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True).write.mode("overwrite").partitionBy(*by_day).parquet(merged)
+    moved = sorted("__HIVE_DEFAULT_PARTITION__" if r["day"] is None else str(r["day"]) for r in days.collect()) if by_day else []
+    for part in [f"/day={d}" for d in moved] if by_day else [""]:
+        fs.delete(files(spark, path + part)[1], True)
+        source = files(spark, merged + part)[1]
+        if fs.exists(source):
+            fs.rename(source, files(spark, path + part)[1])
+    for done in (staged, merged):
+        fs.delete(files(spark, done)[1], True)
+    spark.catalog.refreshByPath(path)
+    return count, True
 
 
 def save_json(rows: DataFrame, summary: dict, path: str) -> str:

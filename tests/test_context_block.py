@@ -23,6 +23,6 @@ def test_registered_over_whole_messages(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(5).withColumnRenamed("vec_id", "doc_id")
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(e, "doc_id").orderBy("doc_id").collect()]
     assert any(len(t) > 200 for t in texts)
-    got = catalog.queries()["context_block_whole"](spark, SF).first()
+    got = catalog.queries()["context_block"](spark, SF).first()
     print("tokens", got.token_estimate, [len(t) for t in texts])
     assert got.context.endswith(prompting.CUT) if got.token_estimate > 4000 else all(t in got.context for t in texts)

@@ -10,9 +10,12 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from pyspark.sql import functions as F
 
 from tailrace.functions import text
+from tailrace.functions.vectors import novelty
 from tailrace.operators import models, retrieval
 from tailrace.operators.dedup import dbscan
 from tailrace.operators.similar import similar_texts
+from tailrace.service import LogService
+from tailrace.sources import logs
 from tailrace.sources.rerank import http_reranker
 from tailrace.sources.samples import sample_logs
 
@@ -92,3 +95,50 @@ def test_density_clusters_of_texts(spark):
     rows = [(str(i), "disk failure node") for i in range(6)] + [(str(i + 10), "login accepted user") for i in range(6)] + [("99", "odd words once")]
     got = {r["_id"]: r.cluster_id for r in models.cluster(spark.createDataFrame(rows, "_id string, template string"), method="dbscan").collect()}
     assert got["99"] == -1 and len({got[str(i)] for i in range(6)}) == 1 and got["0"] != got["10"] and got["10"] != -1
+
+
+def test_upsert_takes_the_latest_whatever_the_columns_stand(spark):
+    rows = [("z", "a", datetime(2024, 1, 1)), ("b", "a", datetime(2024, 1, 3)), ("y", "a", None), ("c", "b", None)]
+    new = spark.createDataFrame(rows, "message string, _id string, ts timestamp")
+    assert {(r._id, r.message) for r in logs.upsert(None, new).collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_save_merges_by_id(spark, tmp_path):
+    """Runs add to the table and replace rows of the same id, also where an id has moved to another day."""
+    path, schema = str(tmp_path / "target"), "_id string, ts timestamp, message string"
+    day = lambda n, h=0: datetime(2024, 1, n, h)
+    assert logs.save(spark.createDataFrame([("a", day(1), "a1"), ("b", day(1), "b1"), ("c", day(2), "c1")], schema), path) == (3, True)
+    assert logs.save(spark.createDataFrame([("c", day(3), "c2"), ("d", day(1), "d1"), ("d", day(1, 5), "d2"), ("b", day(1), "b2")], schema), path) == (3, True)
+    got = {(r._id, r.message, str(r.day)) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", "a1", "2024-01-01"), ("b", "b2", "2024-01-01"), ("d", "d2", "2024-01-01"), ("c", "c2", "2024-01-03")}
+    assert not (tmp_path / "target" / "day=2024-01-02").exists() and not (tmp_path / "target.new").exists() and not (tmp_path / "target.merged").exists()
+    assert logs.save(spark.createDataFrame([], schema), path) == (0, True) and spark.read.parquet(path).count() == 4
+    plain = str(tmp_path / "plain")
+    for n in (1, 2):
+        logs.save(spark.createDataFrame([("a", n), (str(n), n)], "_id string, v int"), plain)
+    assert {tuple(r) for r in spark.read.parquet(plain).collect()} == {("a", 2), ("1", 1), ("2", 2)}
+
+
+def test_dedup_settings_reach_ingest(spark, tmp_path):
+    rows = [(str(i), datetime(2024, 1, 1, 0, i), "ERROR", f"svc{i % 3}", f"worker {'abcdefgh'[i % 8]} lost its lease on shard") for i in range(24)]
+    service = LogService(spark, spark.createDataFrame(rows, "_id string, ts timestamp, log_level string, service_name string, message string"))
+    when = ("2024-01-01", "2024-01-02")
+    whole = service.process_logs(*when, algorithm="regex", deduplicate=False)["record_count"]
+    service.dedup_config(similarity_threshold=0.5, keep_latest_count=2)
+    target = str(tmp_path / "t")
+    few = service.process_logs(*when, algorithm="regex", target=target)
+    assert few["record_count"] == spark.read.parquet(target).count() < whole
+    service.dedup_config(keep_latest_count=4)
+    assert few["record_count"] < service.process_logs(*when, algorithm="regex")["record_count"] < whole
+
+
+def test_vectors_of_a_model_of_any_size(spark):
+    rows = [(str(i), datetime(2024, 1, 1), "INFO", "s", f"text {i}") for i in range(4)]
+    service = LogService(spark, spark.createDataFrame(rows, "_id string, ts timestamp, log_level string, service_name string, message string"), embed=lambda ts: [[float(len(t)), 1.0, 2.0] for t in ts])
+    assert {len(r.vector) for r in service.vectorize_logs("2024-01-01", "2024-01-02")["points"].collect()} == {3}
+
+
+def test_newest_history_counts(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
+    history = spark.createDataFrame([(i, [1.0, 0.0] if i < 5 else [0.0, 1.0]) for i in range(10)], "id long, vector array<double>").repartition(4)
+    assert [r.novel for r in novelty(points, history, 0.05, 5).collect()] == [True] and [r.novel for r in novelty(points, history, 0.05, 6).collect()] == [False]
