@@ -252,8 +252,8 @@ def level_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("_id", text.level_of(F.col("message")).alias("level"))
 
 
-@query(r"""WITH p AS (SELECT page_id, coalesce(html, '') || ' ' || url || ' at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end' AS t FROM pages), a AS (SELECT page_id, regexp_replace(t, 'https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+(?:/[-\w%!./?=&]*)?', ' [URL] ', 'g') AS t FROM p),
-b AS (SELECT page_id, regexp_replace(t, '(?:/[-\w.]+)+(?:/[-\w.]+)*', ' [PATH] ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b', ' [UUID] ', 'g'), '(?i)\b[0-9a-f]{24}\b', ' [ID] ', 'g') AS t FROM b),
+@query(r"""WITH p AS (SELECT page_id, coalesce(html, '') || ' ' || url || ' at 2024-01-02T03:04:05Z from 10.1.2.3 id 123e4567-e89b-12d3-a456-426614174000   end' AS t FROM pages), a AS (SELECT page_id, regexp_replace(t, 'https?://(?:[-\p{L}\p{M}\p{Nd}\p{Pc}.]|(?:%[\da-fA-F]{2}))+(?:/[-\p{L}\p{M}\p{Nd}\p{Pc}%!./?=&]*)?', ' [URL] ', 'g') AS t FROM p),
+b AS (SELECT page_id, regexp_replace(t, '(?:/[-\p{L}\p{M}\p{Nd}\p{Pc}.]+)+(?:/[-\p{L}\p{M}\p{Nd}\p{Pc}.]+)*', ' [PATH] ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b', ' [UUID] ', 'g'), '(?i)\b[0-9a-f]{24}\b', ' [ID] ', 'g') AS t FROM b),
 d AS (SELECT page_id, regexp_replace(regexp_replace(t, '\b(?:\d{1,3}\.){3}\d{1,3}\b', ' [IP] ', 'g'), '\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[T ]\d{1,2}:\d{1,2}(?::\d{1,2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?', ' [DATE] ', 'g') AS t FROM c)
 SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS cleaned FROM d""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
