@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailrace.llm.common import WORD, checkpointed
+from tailrace.llm.common import WORD, checkpointed, written
 
 #: Weights of the sources in code point order, repeating, null last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -115,6 +115,8 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     ranges = max(1, -(-docs.count() // range_rows))
     sums = checkpointed(range_sums(sized.select("source", "size", range_of(ranges).alias("range")), weights, epochs))
     cut = sums.groupBy("source").agg(F.first("whole").alias("whole"), F.first("budget").alias("budget"), F.max(F.when(F.col("offset") < F.col("budget"), F.col("range"))).alias("cut"))
+    # a row a source, written so that its size is known: a small one is broadcast, a large one joined by exchange
+    cut = written(cut, "cuts")
     rows = keyed(docs, seed, F.struct(*(docs[c] for c in names)).alias("row")).withColumn("range", range_of(ranges))
     rows = rows.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
     # without a cut the budget beyond whole epochs is nothing
