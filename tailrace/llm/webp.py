@@ -83,9 +83,18 @@ class Writer:
         self.write_all(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
         values, counts = (np.concatenate(x) for x in zip(*self.fields, strict=True))
         self.fields = [(values, counts)]
-        ends = np.cumsum(counts)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
-        return np.packbits((np.repeat(values, counts) >> place.astype(np.uint32) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes()
+        begin = np.zeros(len(counts) + 1, dtype=np.int64)
+        counts.cumsum(out=begin[1:])
+        n = int(begin[-1])
+        if not n:
+            return b""
+        word, here = begin[:-1] >> 5, begin[:-1] & 31
+        wide = (values.astype(np.int64) & (1 << counts) - 1) << here  # fields have 32 bits at most
+        first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
+        words = np.zeros((n >> 5) + 2, dtype=np.int64)
+        words[word[first]] = np.add.reduceat(wide & 0xFFFFFFFF, first)
+        words[word[first] + 1] += np.add.reduceat(wide >> 32, first)
+        return words.astype("<u4").tobytes()[: (n + 7) >> 3]
 
 
 @lru_cache(maxsize=16)
@@ -158,7 +167,7 @@ def read_code(r: Reader, size: int) -> PrefixCode:
         of_lengths[CODE_ORDER[i]] = r.read(3)
     code = code_of_lengths(tuple(of_lengths))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    table, mask, at, before, found = code.table, code.mask, 0, 8, []
+    table, mask, at, before, found = code.table, code.mask, 0, 8, bytearray()
     bits = kept = 0
     while at < size and left:
         if kept < 16:  # 14 are the most that a step reads
@@ -175,7 +184,7 @@ def read_code(r: Reader, size: int) -> PrefixCode:
             run = (11 if s == 18 else 3) + (bits >> n & (1 << extra) - 1)
             n += extra
             at += run
-            found += [before if s == 16 else 0] * run
+            found += bytes([before if s == 16 else 0]) * run
         bits >>= n
         kept -= n
         r.at += n
@@ -183,7 +192,7 @@ def read_code(r: Reader, size: int) -> PrefixCode:
             raise ValueError("the image ends early")
     if at > size:
         raise ValueError("code lengths run over")
-    return PrefixCode(np.array(found + [0] * (size - at), dtype=np.int64))
+    return PrefixCode(np.frombuffer(found + bytes(size - at), dtype=np.uint8).astype(np.int64))
 
 
 def blocks_of(n: int, bits: int) -> int:
@@ -203,6 +212,12 @@ def near_places(width: int) -> tuple[int, ...]:
     return tuple(far_of(i + 1, width) for i in range(len(NEAR)))
 
 
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> dict[int, int]:
+    """The first distance code of each near distance."""
+    return {d: i + 1 for i, d in reversed(list(enumerate(near_places(width))))}
+
+
 def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.ndarray:
     """The entropy-coded ARGB pixels."""
     cache_bits = r.read(4) if r.read(1) else 0
@@ -223,23 +238,26 @@ def pixels_one_by_one(r: Reader, width: int, height: int, cache_bits: int, group
     codes = [tuple(x for c in g for x in (c.table, c.mask)) for g in groups]
     green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[0]
     out: list[int] = []
-    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    cache, shift, filed = [0] * (1 << cache_bits), 32 - cache_bits, 0
     across, at, total = blocks_of(width, block), 0, width * height
-    data, pos, end = r.data, r.at, r.end
+    data, pos, end, number = r.data, r.at, r.end, int.from_bytes
     while at < total:
         if which is not None:
             green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[which[(at // width >> block) * across + (at % width >> block)]]
         # no pixel and no reference has more than 60 bits
-        bits = int.from_bytes(data[pos >> 3 : (pos >> 3) + 9], "little") >> (pos & 7)
+        i = pos >> 3
+        bits = number(data[i : i + 9], "little") >> (pos & 7)
         x = green[bits & green_mask]
         n, s = x & 15, x >> 4
         if s < 256:
-            new = s << 8
-            for table, mask, place in ((red, red_mask, 16), (blue, blue_mask, 0), (alpha, alpha_mask, 24)):
-                x = table[bits >> n & mask]
-                n += x & 15
-                new |= x >> 4 << place
-            new = [new]
+            x = red[bits >> n & red_mask]
+            n += x & 15
+            y = blue[bits >> n & blue_mask]
+            n += y & 15
+            z = alpha[bits >> n & alpha_mask]
+            n += z & 15
+            out.append(z >> 4 << 24 | x >> 4 << 16 | s << 8 | y >> 4)
+            at += 1
         elif s < 256 + LENGTHS:
             count, extra = extended(s - 256, bits >> n)
             n += extra
@@ -247,17 +265,17 @@ def pixels_one_by_one(r: Reader, width: int, height: int, cache_bits: int, group
             n += x & 15
             code, extra = extended(x >> 4, bits >> n)
             n += extra
-            new = copied(out, far_of(code, width), count, total)
+            out += copied(out, far_of(code, width), count, total)
+            at += count
         else:
-            new = [cache[s - 256 - LENGTHS]]
+            for p in out[filed:]:
+                cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = p
+            filed = at
+            out.append(cache[s - 256 - LENGTHS])
+            at += 1
         pos += n
         if pos > end:
             raise ValueError("the image ends early")
-        if cache_bits:
-            for p in new:
-                cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = p
-        out += new
-        at += len(new)
     r.at = pos
     return np.array(out, dtype=np.uint32)
 
@@ -323,14 +341,18 @@ def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes:
             x = far.both[near[np.minimum(behind + extra, len(near) - 1)] & far.mask]
             s2 = x >> 4
             after[special] = np.where(s < LENGTHS, behind + extra + (x & 15) + np.where(s2 < 4, 0, (s2 - 2) >> 1), behind)
-        jump, path, p = after.tolist(), [], r.at - base
-        keep = path.append
-        for _ in range(total - held):
-            keep(p)
-            p = jump[p]
-            if p >= count:
+        # four steps at once; what leads out of the stretch ends at count
+        jump = np.append(np.minimum(after, count), count)
+        two = jump.take(jump)
+        four, path, p = memoryview(two.take(two)), [], r.at - base
+        for _ in range(-(-(total - held) // 4)):
+            path.append(p)
+            p = four[p]
+            if p == count:
                 break
         q = np.array(path)
+        q = np.stack([q, jump[q], two[q], jump[two[q]]], axis=1).ravel()[: total - held]
+        q = q[q < count]
         x = green.both[near[q] & green.mask]
         kinds, n, away = x >> 4, np.ones(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
         behind = q + (x & 15)
@@ -352,10 +374,10 @@ def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes:
         if taken <= len(q):
             if ends[taken - 1] > total:
                 raise ValueError("a back-reference leaves the image")
-            p = path[taken] if taken < len(q) else p
         parts.append((kinds[:taken], value[:taken], n[:taken], away[:taken]))
-        held = int(ends[min(taken, len(q)) - 1])
-        r.at = base + p
+        last = min(taken, len(q)) - 1
+        held = int(ends[last])
+        r.at = base + int(after[q[last]])
         if r.at > r.end:
             raise ValueError("the image ends early")
     kinds, value, n, away = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
@@ -648,30 +670,45 @@ def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
         for value, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
             w.write(value, n)
         return PrefixCode(lengths)
-    # runs of zeros, at most 138 long, and every other length on its own
-    zero = lengths == 0
-    begins = np.ones(len(lengths), dtype=bool)
-    begins[1:] = ~(zero[1:] & zero[:-1])
-    begin = begins.nonzero()[0]
-    run = np.concatenate([begin[1:], [len(lengths)]]) - begin
-    for x, k in zip(begin[run > 138].tolist(), run[run > 138].tolist(), strict=True):
-        begins[x : x + k : 138] = True
-    for _ in (0, 1):  # what is left of long runs, then two zeros each on its own
-        begin = begins.nonzero()[0]
-        run = np.concatenate([begin[1:], [len(lengths)]]) - begin
-        begins[begin[run == 2] + 1] = True
-    one, long = run == 1, run > 10
-    fields, counts = np.zeros((len(run), 2), dtype=np.int64), np.zeros((len(run), 2), dtype=np.int64)
-    steps = np.where(one, lengths[begin], 17 + long)
-    code = code_of_lengths(LENGTH_CODE)
-    fields[:, 0], fields[:, 1] = code.written[steps], np.where(one, 0, run - np.where(long, 11, 3))
-    counts[:, 0], counts[:, 1] = code.n[steps], np.where(one, 0, np.where(long, 7, 3))
+    # runs of zeros, and every other length on its own
     for value, n in LENGTH_HEAD:
         w.write(value, n)
-    w.write_all(fields.ravel(), counts.ravel())
+    written, sizes = fields_of_lengths()
+    values, bits, at = w.values, w.counts, 0
+    for symbol, n in zip([*used, len(lengths)], [*lengths[used].tolist(), 0], strict=True):
+        if symbol > at:
+            steps = fields_of_zeros(symbol - at)
+            values += steps[0]
+            bits += steps[1]
+        at = symbol + 1
+        if n:
+            values.append(written[n])
+            bits.append(sizes[n])
     return PrefixCode(lengths)
 
 
+@lru_cache(maxsize=1)
+def fields_of_lengths() -> tuple[list[int], list[int]]:
+    """(bits, number of bits) of each step of LENGTH_CODE."""
+    code = code_of_lengths(LENGTH_CODE)
+    return code.written.tolist(), code.n.tolist()
+
+
+@lru_cache(maxsize=2048)
+def fields_of_zeros(n: int) -> tuple[list[int], list[int]]:
+    """(fields, bits of each) of n lengths of zero: runs of 138 at most, one or two each on its own."""
+    written, sizes = fields_of_lengths()
+    fields, bits = [], []
+    while n:
+        run = min(n, 138)
+        step, base, extra = (0, 1, 0) if run < 3 else (17, 3, 3) if run < 11 else (18, 11, 7)
+        run = run if extra else 1
+        fields.append(written[step] | run - base << sizes[step])
+        bits.append(sizes[step] + extra)
+        n -= run
+    return fields, bits
+
+
 def prefix_of(value: int) -> tuple[int, int, int]:
     """(symbol, extra value, extra bits) of a length or distance."""
     v = value - 1
@@ -771,7 +808,7 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False,
         w.write(cache_bits, 4)
     if main:
         w.write(0, 1)
-    near = {d: i + 1 for i, d in reversed(list(enumerate(near_places(width))))} if steps else {}
+    near = near_codes(width)
     length = np.array([prefix_of(n) for _, n, _ in steps], dtype=np.int64).reshape(-1, 3)
     far = np.array([prefix_of(near.get(d, d + len(NEAR))) for _, _, d in steps], dtype=np.int64).reshape(-1, 3)
     green, red, blue, alpha = ((pixels[at] >> k & 255).astype(np.int64) for k in (8, 16, 0, 24))
