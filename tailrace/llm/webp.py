@@ -57,6 +57,11 @@ class Reader:
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.end = data + bytes(16), 0, 8 * len(data)
 
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("the image ends early")
+
     def read(self, n: int) -> int:
         i = self.at
         self.at = i + n
@@ -68,19 +73,19 @@ class Reader:
 class Writer:
     def __init__(self) -> None:
         self.fields: list[tuple[np.ndarray, np.ndarray]] = []
-        self.values, self.counts = [], []
+        self.small: list[int] = []  # value << 6 | bits
 
     def write(self, value: int, n: int) -> None:
-        self.values.append(value)
-        self.counts.append(n)
+        self.small.append(value << 6 | n)
 
     def write_all(self, values: np.ndarray, counts: np.ndarray) -> None:
-        """Fields one after the other, counts[i] bits of values[i]."""
-        self.fields += [(np.array(self.values, dtype=np.uint32), np.array(self.counts, dtype=np.int64)), (values.astype(np.uint32), counts)]
-        self.values, self.counts = [], []
+        """Fields one after the other, counts[i] bits of values[i]; 32 bits at most."""
+        small = np.array(self.small, dtype=np.int64)
+        self.fields += [(small >> 6, small & 63), (values, counts)]
+        self.small = []
 
     def bytes(self) -> bytes:
-        self.write_all(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        self.write_all(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         values, counts = (np.concatenate(x) for x in zip(*self.fields, strict=True))
         self.fields = [(values, counts)]
         begin = np.zeros(len(counts) + 1, dtype=np.int64)
@@ -89,7 +94,7 @@ class Writer:
         if not n:
             return b""
         word, here = begin[:-1] >> 5, begin[:-1] & 31
-        wide = (values.astype(np.int64) & (1 << counts) - 1) << here  # fields have 32 bits at most
+        wide = (values & (1 << counts) - 1) << here
         first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
         words = np.zeros((n >> 5) + 2, dtype=np.int64)
         words[word[first]] = np.add.reduceat(wide & 0xFFFFFFFF, first)
@@ -137,6 +142,11 @@ class PrefixCode:
         """Which are no literals."""
         return self.both >= 256 << 4
 
+    @cached_property
+    def copies(self) -> np.ndarray:
+        """Which are lengths of back-references."""
+        return self.above & (self.both < 256 + LENGTHS << 4)
+
     @cached_property
     def table(self) -> list[int]:
         return self.both.tolist()
@@ -168,17 +178,19 @@ def read_code(r: Reader, size: int) -> PrefixCode:
     code = code_of_lengths(tuple(of_lengths))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
     table, mask, at, before, found = code.table, code.mask, 0, 8, bytearray()
-    bits = kept = 0
+    bits = kept = given = 0
     while at < size and left:
         if kept < 16:  # 14 are the most that a step reads
+            r.skip(given - kept)
             bits = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 48], "little") >> (r.at & 7)
-            kept = 48 * 8 - 8
+            kept = given = 48 * 8 - 8
         left -= 1
         x = table[bits & mask]
         n, s = x & 15, x >> 4
         if s < 16:
             found.append(s)
-            at, before = at + 1, s or before
+            at += 1
+            before = s or before
         else:
             extra = 2 if s == 16 else 3 if s == 17 else 7
             run = (11 if s == 18 else 3) + (bits >> n & (1 << extra) - 1)
@@ -187,9 +199,7 @@ def read_code(r: Reader, size: int) -> PrefixCode:
             found += bytes([before if s == 16 else 0]) * run
         bits >>= n
         kept -= n
-        r.at += n
-        if r.at > r.end:
-            raise ValueError("the image ends early")
+    r.skip(given - kept)
     if at > size:
         raise ValueError("code lengths run over")
     return PrefixCode(np.frombuffer(found + bytes(size - at), dtype=np.uint8).astype(np.int64))
@@ -328,19 +338,21 @@ def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes:
         near = ((raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[:, None] >> SHIFTS).ravel()
         after = green.sizes.take(at_green := near[:count] & green.mask)
         after += np.arange(count)
-        special = green.above.take(at_green).nonzero()[0]
-        behind = after.take(special)
+        special = green.above.take(at_green)
+        behind = after.copy()
         for code in (red, blue, alpha):
             if code.mask:
                 at = near.take(after)
                 at &= code.mask
                 after += code.sizes.take(at)
-        if len(special):
-            s = (green.both.take(at_green.take(special)) >> 4) - 256
-            extra = np.where(s < 4, 0, (s - 2) >> 1)
-            x = far.both[near[np.minimum(behind + extra, len(near) - 1)] & far.mask]
+        np.copyto(after, behind, where=special)
+        copy = green.copies.take(at_green).nonzero()[0]
+        if len(copy):
+            s = (green.both.take(at_green.take(copy)) >> 4) - 256
+            at = behind.take(copy) + np.where(s < 4, 0, (s - 2) >> 1)
+            x = far.both[near[np.minimum(at, len(near) - 1)] & far.mask]
             s2 = x >> 4
-            after[special] = np.where(s < LENGTHS, behind + extra + (x & 15) + np.where(s2 < 4, 0, (s2 - 2) >> 1), behind)
+            after[copy] = at + (x & 15) + np.where(s2 < 4, 0, (s2 - 2) >> 1)
         # four steps at once; what leads out of the stretch ends at count
         jump = np.append(np.minimum(after, count), count)
         two = jump.take(jump)
@@ -673,40 +685,35 @@ def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
     # runs of zeros, and every other length on its own
     for value, n in LENGTH_HEAD:
         w.write(value, n)
-    written, sizes = fields_of_lengths()
-    values, bits, at = w.values, w.counts, 0
-    for symbol, n in zip([*used, len(lengths)], [*lengths[used].tolist(), 0], strict=True):
+    field, fields, at = fields_of_lengths(), w.small, 0
+    for symbol, n in zip(used, lengths[used].tolist(), strict=True):
         if symbol > at:
-            steps = fields_of_zeros(symbol - at)
-            values += steps[0]
-            bits += steps[1]
+            fields += fields_of_zeros(symbol - at)
         at = symbol + 1
-        if n:
-            values.append(written[n])
-            bits.append(sizes[n])
+        fields.append(field[n])
+    fields += fields_of_zeros(len(lengths) - at)
     return PrefixCode(lengths)
 
 
 @lru_cache(maxsize=1)
-def fields_of_lengths() -> tuple[list[int], list[int]]:
-    """(bits, number of bits) of each step of LENGTH_CODE."""
+def fields_of_lengths() -> list[int]:
+    """Each step of LENGTH_CODE as a writer's field."""
     code = code_of_lengths(LENGTH_CODE)
-    return code.written.tolist(), code.n.tolist()
+    return (code.written << 6 | code.n).tolist()
 
 
 @lru_cache(maxsize=2048)
-def fields_of_zeros(n: int) -> tuple[list[int], list[int]]:
-    """(fields, bits of each) of n lengths of zero: runs of 138 at most, one or two each on its own."""
-    written, sizes = fields_of_lengths()
-    fields, bits = [], []
+def fields_of_zeros(n: int) -> list[int]:
+    """The fields of n lengths of zero: runs of 138 at most, one or two each on its own."""
+    out = []
     while n:
         run = min(n, 138)
         step, base, extra = (0, 1, 0) if run < 3 else (17, 3, 3) if run < 11 else (18, 11, 7)
         run = run if extra else 1
-        fields.append(written[step] | run - base << sizes[step])
-        bits.append(sizes[step] + extra)
+        value, bits = divmod(fields_of_lengths()[step], 64)
+        out.append((value | run - base << bits) << 6 | bits + extra)
         n -= run
-    return fields, bits
+    return out
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -819,11 +826,17 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False,
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     symbols = (np.concatenate([green, 256 + length[:, 0]]), red[~hit], blue[~hit], alpha[~hit], far[:, 0])
     codes = [write_code(w, np.bincount(x, minlength=n)) for x, n in zip(symbols, sizes, strict=True)]
-    # four fields for each pixel and each reference, in the order of their places
-    values, counts = np.zeros((len(at) + len(steps), 4), dtype=np.int64), np.zeros((len(at) + len(steps), 4), dtype=np.int64)
+    # up to four fields for each pixel and each reference, in the order of their places
+    wide = 4 if steps or not codes[3].single else 3  # one alpha for all has no bits
+    values, counts = np.zeros((len(at) + len(steps), wide), dtype=np.int64), np.zeros((len(at) + len(steps), wide), dtype=np.int64)
     for k, symbol in enumerate((green, red, blue, alpha)):
-        values[: len(at), k], counts[: len(at), k] = codes[k].written[symbol], np.where(hit & (k > 0), 0, codes[k].n[symbol])
+        if not codes[k].single:
+            values[: len(at), k], counts[: len(at), k] = codes[k].written[symbol], codes[k].n[symbol]
+    if cache_bits:
+        counts[: len(at), 1:][hit] = 0
     for k, (code, x, base) in enumerate(((codes[0], length, 256), (codes[4], far, 0))):
+        if not steps:
+            break
         values[len(at) :, 2 * k], counts[len(at) :, 2 * k] = code.written[base + x[:, 0]], code.n[base + x[:, 0]]
         values[len(at) :, 2 * k + 1], counts[len(at) :, 2 * k + 1] = x[:, 1], x[:, 2]
     place = np.empty(len(pixels), dtype=np.int64)
@@ -867,7 +880,9 @@ def best_transforms(pixels: np.ndarray, width: int, bits: int) -> tuple[int, ...
     ones before it leave."""
     out, least = [], literal_bits(pixels)
     colours = np.unique(pixels[:2048])
-    if len(colours) <= 256 and len(colours := np.unique(pixels)) <= 256:
+    if len(pixels) > 2048 and len(colours) <= 256:
+        colours = np.unique(pixels)
+    if len(colours) <= 256:
         index = np.searchsorted(colours, pixels).astype(np.uint32) << np.uint32(8)
         if literal_bits(steps_of(colours)) + literal_bits(index) / (1 << palette_bits(len(colours))) < least:
             return (PALETTE,)
