@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,17 @@ LENGTHS, DISTANCES = 24, 40
 BLACK = np.array([0, 0, 0, 255], dtype=np.uint8)
 #: Pixels that a back-reference copies, and how far back it reaches.
 LEAST_COPY, MOST_COPY, MOST_DISTANCE = 3, 4096, (1 << 20) - 120
+#: Bits of a field that is written at once, at most.
+MOST_BITS = 32
 #: Bits of the encoder's colour cache, at most.
 CACHE_BITS = 8
 #: The encoder's own code for code lengths, the same for all images: bits of each of the 19 symbols.
 LENGTH_CODE = (4, 6, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 7, 7, 6, 0, 3, 5)
 #: What stands before code lengths: a normal code, all 19 lengths, no limit of symbols.
 LENGTH_HEAD = ((0, 1), (15, 4), (sum(LENGTH_CODE[s] << 3 * i for i, s in enumerate(CODE_ORDER[:9])), 27), (sum(LENGTH_CODE[s] << 3 * i for i, s in enumerate(CODE_ORDER[9:])), 30), (0, 1))
-SHIFTS = np.arange(8)
+#: Of each prefix symbol of a length or distance the bits behind it, and the least value.
+EXTRA = np.array([0, 0, 0, 0, *((s - 2) >> 1 for s in range(4, DISTANCES))])
+LEAST = np.array([1, 2, 3, 4, *((2 + (s & 1) << ((s - 2) >> 1)) + 1 for s in range(4, DISTANCES))])
 #: An image of so many pixels is decoded by arrays.
 MANY = 256
 
@@ -79,7 +84,7 @@ class Writer:
         self.small.append(value << 6 | n)
 
     def write_all(self, values: np.ndarray, counts: np.ndarray) -> None:
-        """Fields one after the other, counts[i] bits of values[i]; 32 bits at most."""
+        """Fields one after the other, counts[i] bits of values[i]; MOST_BITS at most."""
         small = np.array(self.small, dtype=np.int64)
         self.fields += [(small >> 6, small & 63), (values, counts)]
         self.small = []
@@ -120,7 +125,7 @@ class PrefixCode:
         self.mask = 0
         if not self.single:
             n = lengths[self.used]
-            place = n.argsort(kind="stable")
+            place = n.astype(np.uint8).argsort(kind="stable")
             self.order, self.lengths = self.used[place], n[place]
             most = int(self.lengths[-1])
             self.span = 1 << (most - self.lengths)
@@ -135,22 +140,22 @@ class PrefixCode:
 
     @cached_property
     def sizes(self) -> np.ndarray:
-        return self.both & 15
-
-    @cached_property
-    def above(self) -> np.ndarray:
-        """Which are no literals."""
-        return self.both >= 256 << 4
-
-    @cached_property
-    def copies(self) -> np.ndarray:
-        """Which are lengths of back-references."""
-        return self.above & (self.both < 256 + LENGTHS << 4)
+        """The lengths, and 16 for what is a place in the cache, 32 for lengths of back-references."""
+        sizes = (self.both & 15).astype(np.uint8)
+        if len(self.n) > 256:
+            sizes[self.both >= 256 << 4] += 32
+            sizes[self.both >= 256 + LENGTHS << 4] -= 16
+        return sizes
 
     @cached_property
     def table(self) -> list[int]:
         return self.both.tolist()
 
+    @cached_property
+    def steps(self) -> dict[int, tuple[int, int, bytes, int]]:
+        """length_steps() of the bits that were met."""
+        return {}
+
     @cached_property
     def written(self) -> np.ndarray:
         bits = np.zeros(len(self.n), dtype=np.int64)
@@ -164,39 +169,45 @@ def code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
     return PrefixCode(np.array(lengths, dtype=np.int64))
 
 
+@lru_cache(maxsize=1024)
+def code_of_few(size: int, symbols: tuple[int, ...]) -> PrefixCode:
+    """The code of one or two symbols."""
+    lengths = np.zeros(size, dtype=np.int64)
+    lengths[list(symbols)] = 1
+    return PrefixCode(lengths)
+
+
 def read_code(r: Reader, size: int) -> PrefixCode:
     if r.read(1):
-        lengths = np.zeros(size, dtype=np.int64)
         two = r.read(1)
-        lengths[r.read(8 if r.read(1) else 1)] = 1
-        if two:
-            lengths[r.read(8)] = 1
-        return PrefixCode(lengths)
+        symbols = (r.read(8 if r.read(1) else 1), *([r.read(8)] if two else []))
+        return code_of_few(size, symbols)
     of_lengths = [0] * 19
-    for i in range(4 + r.read(4)):
-        of_lengths[CODE_ORDER[i]] = r.read(3)
+    n = 4 + r.read(4)
+    bits = r.read(3 * n)
+    for i in range(n):
+        of_lengths[CODE_ORDER[i]] = bits >> 3 * i & 7
     code = code_of_lengths(tuple(of_lengths))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    table, mask, at, before, found = code.table, code.mask, 0, 8, bytearray()
+    steps, at, before, found = code.steps, 0, 8, bytearray()
     bits = kept = given = 0
     while at < size and left:
         if kept < 16:  # 14 are the most that a step reads
             r.skip(given - kept)
             bits = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 48], "little") >> (r.at & 7)
             kept = given = 48 * 8 - 8
-        left -= 1
-        x = table[bits & mask]
-        n, s = x & 15, x >> 4
-        if s < 16:
-            found.append(s)
-            at += 1
-            before = s or before
-        else:
-            extra = 2 if s == 16 else 3 if s == 17 else 7
-            run = (11 if s == 18 else 3) + (bits >> n & (1 << extra) - 1)
-            n += extra
-            at += run
-            found += bytes([before if s == 16 else 0]) * run
+        window = bits & 0x1FFF
+        step = steps.get(window)
+        if step is None:
+            step = steps[window] = length_steps(code, window)
+        n, symbols, part, last = step
+        if not symbols or symbols > left or at + len(part) > size:
+            n, part, last = length_step(code, bits, before)
+            symbols = 1
+        found += part
+        at += len(part)
+        left -= symbols
+        before = last or before
         bits >>= n
         kept -= n
     r.skip(given - kept)
@@ -205,6 +216,29 @@ def read_code(r: Reader, size: int) -> PrefixCode:
     return PrefixCode(np.frombuffer(found + bytes(size - at), dtype=np.uint8).astype(np.int64))
 
 
+def length_step(code: PrefixCode, bits: int, before: int) -> tuple[int, bytes, int]:
+    """(bits taken, the code lengths that they stand for, the last of these that is not zero, or zero) of one symbol."""
+    x = code.table[bits & code.mask]
+    n, s = x & 15, x >> 4
+    if s < 16:
+        return n, bytes([s]), s
+    extra = 2 if s == 16 else 3 if s == 17 else 7
+    run = (11 if s == 18 else 3) + (bits >> n & (1 << extra) - 1)
+    return n + extra, bytes([before if s == 16 else 0]) * run, 0
+
+
+def length_steps(code: PrefixCode, window: int) -> tuple[int, int, bytes, int]:
+    """The same of as many symbols as the 13 bits of the window hold whole, and their number; what
+    repeats the length before it ends them."""
+    n, symbols, found, last = 0, 0, b"", 0
+    while symbols < 13 and code.table[window >> n & code.mask] >> 4 != 16:
+        taken, part, some = length_step(code, window >> n, 0)
+        if n + taken > 13:
+            break
+        n, symbols, found, last = n + taken, symbols + 1, found + part, some or last
+    return n, symbols, found, last
+
+
 def blocks_of(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
@@ -250,65 +284,64 @@ def pixels_one_by_one(r: Reader, width: int, height: int, cache_bits: int, group
     out: list[int] = []
     cache, shift, filed = [0] * (1 << cache_bits), 32 - cache_bits, 0
     across, at, total = blocks_of(width, block), 0, width * height
-    data, pos, end, number = r.data, r.at, r.end, int.from_bytes
+    data, number, near = r.data, int.from_bytes, near_places(width)
+    bits = kept = given = 0
     while at < total:
         if which is not None:
             green, green_mask, red, red_mask, blue, blue_mask, alpha, alpha_mask, far, far_mask = codes[which[(at // width >> block) * across + (at % width >> block)]]
-        # no pixel and no reference has more than 60 bits
-        i = pos >> 3
-        bits = number(data[i : i + 9], "little") >> (pos & 7)
+        if kept < 76:  # no pixel and no reference has more bits
+            r.skip(given - kept)
+            bits = number(data[r.at >> 3 : (r.at >> 3) + 32], "little") >> (r.at & 7)
+            kept = given = 32 * 8 - 8
         x = green[bits & green_mask]
-        n, s = x & 15, x >> 4
-        if s < 256:
-            x = red[bits >> n & red_mask]
-            n += x & 15
-            y = blue[bits >> n & blue_mask]
+        n = x & 15
+        if x < 256 << 4:
+            y = red[bits >> n & red_mask]
             n += y & 15
-            z = alpha[bits >> n & alpha_mask]
+            z = blue[bits >> n & blue_mask]
             n += z & 15
-            out.append(z >> 4 << 24 | x >> 4 << 16 | s << 8 | y >> 4)
+            a = alpha[bits >> n & alpha_mask] if alpha_mask else alpha[0]
+            n += a & 15
+            out.append((a >> 4) << 24 | (y & 0xFF0) << 12 | (x & 0xFF0) << 4 | z >> 4)
             at += 1
-        elif s < 256 + LENGTHS:
-            count, extra = extended(s - 256, bits >> n)
-            n += extra
-            x = far[bits >> n & far_mask]
-            n += x & 15
-            code, extra = extended(x >> 4, bits >> n)
-            n += extra
-            out += copied(out, far_of(code, width), count, total)
-            at += count
-        else:
+        elif x >= 256 + LENGTHS << 4:
             for p in out[filed:]:
                 cache[(p * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = p
             filed = at
-            out.append(cache[s - 256 - LENGTHS])
+            out.append(cache[(x >> 4) - 256 - LENGTHS])
             at += 1
-        pos += n
-        if pos > end:
-            raise ValueError("the image ends early")
-    r.at = pos
+        else:
+            s = (x >> 4) - 256
+            if s < 4:
+                count = s + 1
+            else:
+                extra = (s - 2) >> 1
+                count = ((2 + (s & 1)) << extra) + (bits >> n & (1 << extra) - 1) + 1
+                n += extra
+            x = far[bits >> n & far_mask]
+            n += x & 15
+            s = x >> 4
+            if s < 4:
+                code = s + 1
+            else:
+                extra = (s - 2) >> 1
+                code = ((2 + (s & 1)) << extra) + (bits >> n & (1 << extra) - 1) + 1
+                n += extra
+            d = near[code - 1] if code <= len(NEAR) else code - len(NEAR)
+            if d > at or at + count > total:
+                raise ValueError("a back-reference leaves the image")
+            out += out[at - d : at - d + count] if d >= count else (out[-d:] * (count // d + 1))[:count]
+            at += count
+        bits >>= n
+        kept -= n
+    r.skip(given - kept)
     return np.array(out, dtype=np.uint32)
 
 
-def extended(s: int, bits: int) -> tuple[int, int]:
-    """A length or distance from its prefix symbol and the bits behind it, and how many of these it takes."""
-    if s < 4:
-        return s + 1, 0
-    extra = (s - 2) >> 1
-    return ((2 + (s & 1)) << extra) + (bits & (1 << extra) - 1) + 1, extra
-
-
-def copied(out: list[int], d: int, n: int, total: int) -> list[int]:
-    at = len(out)
-    if d > at or at + n > total:
-        raise ValueError("a back-reference leaves the image")
-    return out[at - d : at - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
-
-
 def extended_all(s: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """extended() of many symbols."""
-    extra = np.where(s < 4, 0, (s - 2) >> 1)
-    return np.where(s < 4, s, ((2 + (s & 1)) << extra) + (bits & (1 << extra) - 1)) + 1, extra
+    """Lengths or distances from their prefix symbols and the bits behind them, and how many of these they take."""
+    extra = EXTRA.take(s)
+    return LEAST.take(s) + (bits & (1 << extra) - 1), extra
 
 
 def followed(to: np.ndarray) -> np.ndarray:
@@ -335,24 +368,27 @@ def pixels_by_arrays(r: Reader, width: int, height: int, cache_bits: int, codes:
         count = min(stretch, max(8, r.end - base), (60 * (total - held) + 15) & ~7)
         raw = data[base >> 3 : (base + count >> 3) + 20].astype(np.int64)
         # 25 bits and more from every position on
-        near = ((raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[:, None] >> SHIFTS).ravel()
-        after = green.sizes.take(at_green := near[:count] & green.mask)
-        after += np.arange(count)
-        special = green.above.take(at_green)
-        behind = after.copy()
+        wide = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        near = np.empty((len(wide), 8), dtype=np.int64)
+        for k in range(8):
+            np.right_shift(wide, k, out=near[:, k])
+        near = near.ravel()
+        kind = green.sizes.take(near[:count] & green.mask)
+        behind = np.arange(count)
+        behind += kind & 15
+        plain = kind < 16
+        after = behind.copy()
         for code in (red, blue, alpha):
             if code.mask:
-                at = near.take(after)
-                at &= code.mask
-                after += code.sizes.take(at)
-        np.copyto(after, behind, where=special)
-        copy = green.copies.take(at_green).nonzero()[0]
+                n = code.sizes.take(near & code.mask).take(after)
+                n *= plain
+                after += n
+        copy = (kind > 31).nonzero()[0]
         if len(copy):
-            s = (green.both.take(at_green.take(copy)) >> 4) - 256
-            at = behind.take(copy) + np.where(s < 4, 0, (s - 2) >> 1)
-            x = far.both[near[np.minimum(at, len(near) - 1)] & far.mask]
-            s2 = x >> 4
-            after[copy] = at + (x & 15) + np.where(s2 < 4, 0, (s2 - 2) >> 1)
+            s = (green.both.take(near.take(copy) & green.mask) >> 4) - 256
+            at = behind.take(copy) + EXTRA.take(s)
+            x = far.both.take(near.take(at, mode="clip") & far.mask)
+            after[copy] = at + (x & 15) + EXTRA.take(x >> 4)
         # four steps at once; what leads out of the stretch ends at count
         jump = np.append(np.minimum(after, count), count)
         two = jump.take(jump)
@@ -401,30 +437,29 @@ def resolved(kinds: np.ndarray, value: np.ndarray, n: np.ndarray, away: np.ndarr
     the literal; a cached pixel comes from the last one before it with the same place in the cache."""
     begin = np.cumsum(n) - n
     total = int(n.sum())
-    here = np.arange(total)
-    one = kinds < 256
     pixels = np.zeros(total + 1, dtype=np.uint32)  # the last one is what an unused place of the cache holds
-    pixels[begin[one]] = value[one]
-    came = here
+    pixels[begin] = value  # of what is no literal nothing comes
+    came = here = np.arange(total + 1)
     if away.any():
-        came = here - np.repeat(away, n)
+        came = here.copy()
+        came[:-1] -= np.repeat(away, n)
         if came.min() < 0:
             raise ValueError("a back-reference leaves the image")
         came = followed(came)
-    hit = kinds >= 256 + LENGTHS
-    if hit.any():
-        slot = (pixels[:-1] * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
-        slot[begin[hit]] = kinds[hit] - 256 - LENGTHS
-        slot = slot[came]
-        slot = slot.astype(np.uint16)
+    hit = begin[kinds >= 256 + LENGTHS]
+    if len(hit):
+        slot = (pixels[:-1] * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+        slot[hit] = kinds[kinds >= 256 + LENGTHS] - 256 - LENGTHS
+        slot = slot.take(came[:-1])
         order = slot.argsort(kind="stable")
-        before = np.full(total, total)
-        same = slot[order[1:]] == slot[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        came = np.concatenate([came, [total]])
-        came[begin[hit]] = before[begin[hit]]
-        came = followed(came)[:-1]
-    return pixels[came]
+        slot = slot.take(order)
+        before = np.empty(total, dtype=np.int64)
+        before[order[:1]] = total
+        before[order[1:]] = np.where(slot[1:] == slot[:-1], order[:-1], total)
+        came = came.copy()
+        came[hit] = before[hit]
+        came = followed(came)
+    return pixels.take(came[:-1])
 
 
 def added(a: int, b: int) -> int:
@@ -644,7 +679,7 @@ def write_single(w: Writer, symbol: int) -> None:
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for the counts, none over `most`; one used symbol has length 1."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     lengths = np.zeros(len(counts), dtype=np.int64)
     if len(used) < 2:
         lengths[used] = 1
@@ -652,41 +687,57 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     used = used[np.argsort(counts[used], kind="stable")]
     leaves, some = counts[used].tolist(), len(used)
     while True:
-        weight, parent, leaf, joined = [*leaves, *[1 << 62] * some], [0] * (2 * some), 0, some
-        for new in range(some, 2 * some - 1):  # the two lightest of the leaves and of what was joined
-            both = 0
-            for _ in (0, 1):
-                if leaf < some and weight[leaf] <= weight[joined]:
-                    both += weight[leaf]
-                    parent[leaf] = new
-                    leaf += 1
-                else:
-                    both += weight[joined]
-                    parent[joined] = new
-                    joined += 1
+        # the two lightest of the leaves and of what was joined, again and again; behind both stands what is never light
+        leaves.append((1 << 62) + 1)
+        weight, of_leaf, of_joined, leaf, joined = [1 << 62] * some, [0] * some, [0] * some, 0, 0
+        a, b = leaves[0], weight[0]
+        for new in range(some - 1):
+            if a <= b:
+                both = a
+                of_leaf[leaf] = new
+                leaf += 1
+                a = leaves[leaf]
+            else:
+                both = b
+                of_joined[joined] = new
+                joined += 1
+                b = weight[joined]
+            if a <= b:
+                both += a
+                of_leaf[leaf] = new
+                leaf += 1
+                a = leaves[leaf]
+            else:
+                both += b
+                of_joined[joined] = new
+                joined += 1
+                b = weight[joined]
             weight[new] = both
-        depth = [0] * (2 * some - 1)
-        for i in range(2 * some - 3, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if depth[0] <= most:
-            lengths[used] = depth[:some]
+            if joined == new:
+                b = both
+        depth = [1] * (some - 1)
+        for i in range(some - 3, -1, -1):
+            depth[i] = depth[of_joined[i]] + 1
+        if depth[of_leaf[0]] <= most:
+            lengths[used] = [depth[i] for i in of_leaf]
             return lengths
-        leaves = [(n + 1) // 2 + 1 for n in leaves]
+        leaves = [(n + 1) // 2 + 1 for n in leaves[:some]]
 
 
 def write_code(w: Writer, counts: np.ndarray) -> PrefixCode:
-    lengths = code_lengths(counts, 15)
-    used = np.flatnonzero(lengths).tolist()
+    some = counts.nonzero()[0]
+    used = some.tolist()
     if len(used) <= 2 and max(used, default=0) < 256:
         symbols = used or [0]
         for value, n in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols)):
             w.write(value, n)
-        return PrefixCode(lengths)
+        return code_of_few(len(counts), tuple(symbols))
+    lengths = code_lengths(counts, 15)
     # runs of zeros, and every other length on its own
     for value, n in LENGTH_HEAD:
         w.write(value, n)
     field, fields, at = fields_of_lengths(), w.small, 0
-    for symbol, n in zip(used, lengths[used].tolist(), strict=True):
+    for symbol, n in zip(used, lengths[some].tolist(), strict=True):
         if symbol > at:
             fields += fields_of_zeros(symbol - at)
         at = symbol + 1
@@ -742,19 +793,23 @@ def copies(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     name = name[order]
     again = (name[1:] == name[:-1]).nonzero()[0]
     again, before = order[again + 1], order[again]
-    same = again - before <= MOST_DISTANCE
+    distance = again - before
+    same = distance <= MOST_DISTANCE
     for k in range(LEAST_COPY):
         same &= pixels[again + k] == pixels[before + k]
-    distance = np.zeros(n, dtype=np.int64)
-    distance[again[same]] = (again - before)[same]
-    wide = np.concatenate([[0], distance, [0]])
-    edge = (wide[1:] != wide[:-1]).nonzero()[0]
+    again, distance = again[same], distance[same]
+    if not len(again):
+        return []
+    order = again.argsort()
+    again, distance = again[order], distance[order]
+    # runs of places at the same distance
+    edge = ((again[1:] != again[:-1] + 1) | (distance[1:] != distance[:-1])).nonzero()[0]
+    begin, end = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(again) - 1]])
     out, at = [], 0
-    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=False):
-        d = int(distance[lo]) if lo < n else 0
+    for lo, hi, d in zip(again[begin].tolist(), again[end].tolist(), distance[begin].tolist(), strict=True):
         lo = max(lo, at)
-        left = hi + LEAST_COPY - 1 - lo
-        while d and left >= LEAST_COPY:
+        left = hi + LEAST_COPY - lo
+        while left >= LEAST_COPY:
             out.append((lo, min(left, MOST_COPY), d))
             at = lo = lo + out[-1][1]
             left -= out[-1][1]
@@ -764,14 +819,20 @@ def copies(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
 def entropy(symbols: np.ndarray) -> float:
     """Bits of the symbols under their best code, and about six for each in the code's table."""
     used = np.bincount(symbols)
-    used = used[used > 0].astype(float)
-    return float(len(symbols) * np.log2(max(1, len(symbols))) - (used * np.log2(used)).sum()) + 6 * len(used)
+    used = used[used.nonzero()[0]]
+    return len(symbols) * log2(max(1, len(symbols))) - float(used @ np.log2(used)) + 6 * len(used)
 
 
 def literal_bits(pixels: np.ndarray) -> float:
     """What the pixels take as literals."""
-    four = pixels.view(np.uint8).reshape(-1, 4) + np.array([0, 256, 512, 768])
-    return entropy(four.ravel()) - 8 * len(pixels)  # four codes, each for a quarter of the samples
+    four = pixels.view(np.uint8) + quarters(1 << max(10, (4 * len(pixels) - 1).bit_length()))[: 4 * len(pixels)]
+    return entropy(four) - 8 * len(pixels)  # four codes, each for a quarter of the samples
+
+
+@lru_cache(maxsize=2)
+def quarters(n: int) -> np.ndarray:
+    """Where the four samples of a pixel are counted, for n samples."""
+    return np.tile(np.array([0, 256, 512, 768]), n >> 2)
 
 
 def cached(pixels: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -786,16 +847,16 @@ def cached(pixels: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return slot[at].astype(np.int64), hit[at]
 
 
-def best_cache(pixels: np.ndarray, at: np.ndarray) -> int:
-    """The bits of the colour cache if it saves something on the literals, else 0: a hit takes a symbol
-    of so many bits, about, and its symbol a place in the code's table."""
+def best_cache(pixels: np.ndarray, at: np.ndarray) -> tuple[int, np.ndarray | None, np.ndarray | None]:
+    """(bits, cached()) of the colour cache if it saves something on the literals, else 0 bits: a hit
+    takes a symbol of so many bits, about, and its symbol a place in the code's table."""
     bits = min(CACHE_BITS, len(at).bit_length() - 2)
     if bits < 1:
-        return 0
+        return 0, None, None
     slot, hit = cached(pixels, at, bits)
     found = slot[hit]
     saved = literal_bits(pixels[at]) / len(at) - bits - 1
-    return bits if saved * len(found) > 5 * np.count_nonzero(np.bincount(found)) else 0
+    return (bits, slot, hit) if saved * len(found) > 5 * np.count_nonzero(np.bincount(found)) else (0, None, None)
 
 
 def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int | None = 0, references: bool = False) -> None:
@@ -808,8 +869,11 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False,
     depth[starts + spans] -= 1
     begins = depth[:-1].cumsum(dtype=np.int8) == 0
     at = begins.nonzero()[0]
+    slot = hit = None
     if cache_bits is None:
-        cache_bits = best_cache(pixels, at)
+        cache_bits, slot, hit = best_cache(pixels, at)
+    elif cache_bits:
+        slot, hit = cached(pixels, at, cache_bits)
     w.write(int(cache_bits > 0), 1)
     if cache_bits:
         w.write(cache_bits, 4)
@@ -818,32 +882,40 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool = False,
     near = near_codes(width)
     length = np.array([prefix_of(n) for _, n, _ in steps], dtype=np.int64).reshape(-1, 3)
     far = np.array([prefix_of(near.get(d, d + len(NEAR))) for _, _, d in steps], dtype=np.int64).reshape(-1, 3)
-    green, red, blue, alpha = ((pixels[at] >> k & 255).astype(np.int64) for k in (8, 16, 0, 24))
-    hit = np.zeros(len(at), dtype=bool)
+    four = pixels[at].view(np.uint8).reshape(-1, 4).astype(np.int64)
+    green, red, blue, alpha = (np.ascontiguousarray(four[:, k]) for k in (1, 2, 0, 3))
+    plain = (red, blue, alpha)
     if cache_bits:
-        slot, hit = cached(pixels, at, cache_bits)
         green = np.where(hit, 256 + LENGTHS + slot, green)
+        rest = (~hit).nonzero()[0]
+        plain = tuple(x.take(rest) for x in plain)
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    symbols = (np.concatenate([green, 256 + length[:, 0]]), red[~hit], blue[~hit], alpha[~hit], far[:, 0])
+    symbols = (np.concatenate([green, 256 + length[:, 0]]) if steps else green, *plain, far[:, 0])
     codes = [write_code(w, np.bincount(x, minlength=n)) for x, n in zip(symbols, sizes, strict=True)]
-    # up to four fields for each pixel and each reference, in the order of their places
-    wide = 4 if steps or not codes[3].single else 3  # one alpha for all has no bits
-    values, counts = np.zeros((len(at) + len(steps), wide), dtype=np.int64), np.zeros((len(at) + len(steps), wide), dtype=np.int64)
-    for k, symbol in enumerate((green, red, blue, alpha)):
-        if not codes[k].single:
-            values[: len(at), k], counts[: len(at), k] = codes[k].written[symbol], codes[k].n[symbol]
+    # a pixel's fields: green, red with blue, alpha if it has bits; a reference's: its length, its distance, in two if it is long
+    first, reds, blues, alphas, away = codes
+    behind = reds.n[red]
+    fields = [(first.written[green], first.n[green]), (reds.written[red] | blues.written[blue] << behind, behind + blues.n[blue])]
+    if not alphas.single:
+        fields.append((alphas.written[alpha], alphas.n[alpha]))
     if cache_bits:
-        counts[: len(at), 1:][hit] = 0
-    for k, (code, x, base) in enumerate(((codes[0], length, 256), (codes[4], far, 0))):
-        if not steps:
-            break
-        values[len(at) :, 2 * k], counts[len(at) :, 2 * k] = code.written[base + x[:, 0]], code.n[base + x[:, 0]]
-        values[len(at) :, 2 * k + 1], counts[len(at) :, 2 * k + 1] = x[:, 1], x[:, 2]
-    place = np.empty(len(pixels), dtype=np.int64)
-    place[at], place[starts] = np.arange(len(at)), np.arange(len(at), len(at) + len(steps))
-    begins[starts] = True
-    order = place[begins]
-    w.write_all(values[order].ravel(), counts[order].ravel())
+        for _, n in fields[1:]:
+            n[hit] = 0
+    if steps:
+        n, m = first.n[256 + length[:, 0]], away.n[far[:, 0]]
+        copy = [(first.written[256 + length[:, 0]] | length[:, 1] << n, n + length[:, 2])]
+        if len(fields) > 2 or (m + far[:, 2]).max() > MOST_BITS:
+            copy += [(away.written[far[:, 0]], m), (far[:, 1], far[:, 2])]
+        else:
+            copy.append((away.written[far[:, 0]] | far[:, 1] << m, m + far[:, 2]))
+        none = np.zeros(max(len(at), len(steps)), dtype=np.int64)
+        fields += [(none[: len(at)], none[: len(at)])] * (len(copy) - len(fields))
+        place = np.empty(len(pixels), dtype=np.int64)
+        place[at], place[starts] = np.arange(len(at)), np.arange(len(at), len(at) + len(steps))
+        begins[starts] = True
+        order = place[begins]
+        fields = [tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True)) for a, b in zip(fields, copy, strict=True)]
+    w.write_all(*(np.stack(x, axis=1).ravel() for x in zip(*fields, strict=True)))
 
 
 def best_modes(pixels: np.ndarray, width: int, bits: int) -> np.ndarray:
@@ -875,13 +947,18 @@ def best_elements(pixels: np.ndarray, width: int, bits: int) -> np.ndarray:
     return np.uint32(0xFF000000) | byte(red_blue) << np.uint32(16) | byte(to_blue) << np.uint32(8) | byte(to_red)
 
 
+def distinct(pixels: np.ndarray) -> np.ndarray:
+    colours = np.sort(pixels)
+    return np.concatenate([colours[:1], colours[1:][colours[1:] != colours[:-1]]])
+
+
 def best_transforms(pixels: np.ndarray, width: int, bits: int) -> tuple[int, ...]:
     """The transforms that save the most on the literals, by their entropies, each tried on what the
     ones before it leave."""
     out, least = [], literal_bits(pixels)
-    colours = np.unique(pixels[:2048])
+    colours = distinct(pixels[:2048])
     if len(pixels) > 2048 and len(colours) <= 256:
-        colours = np.unique(pixels)
+        colours = distinct(pixels)
     if len(colours) <= 256:
         index = np.searchsorted(colours, pixels).astype(np.uint32) << np.uint32(8)
         if literal_bits(steps_of(colours)) + literal_bits(index) / (1 << palette_bits(len(colours))) < least:
@@ -986,7 +1063,7 @@ def opened(data: bytes) -> tuple[int, int, int, bytes]:
     width, height = (parts[0][0] if parts else 0), sum(h for _, h, _ in parts)
     four = pixels.view(np.uint8).reshape(-1, 4)
     channels = 3 if (four[:, 3] == 255).all() else 4
-    return width, height, channels, four[:, [2, 1, 0, 3][:channels]].tobytes()
+    return width, height, channels, (four[:, 2::-1] if channels == 3 else four[:, [2, 1, 0, 3]]).tobytes()
 
 
 def feature(samples: bytes, width: int, channels: int) -> str:
@@ -994,11 +1071,17 @@ def feature(samples: bytes, width: int, channels: int) -> str:
     grey = np.frombuffer(samples, dtype=np.uint8)[::channels].reshape(-1, max(1, width)).astype(np.float64)
     if not grey.size:
         return "0.000:" + "0" * 16
-    rows, columns = (np.minimum(np.arange(8) * n // 8, n - 1) for n in grey.shape)
-    sums = np.add.reduceat(np.add.reduceat(grey, rows, axis=0), columns, axis=1)
-    size = np.outer(np.maximum(1, np.diff(np.r_[rows, grey.shape[0]])), np.maximum(1, np.diff(np.r_[columns, grey.shape[1]])))
-    bits = (sums / size > grey.mean()).ravel()
-    return f"{grey.mean():.3f}:{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
+    rows, columns, size = cells(*grey.shape)
+    sums, mean = np.add.reduceat(np.add.reduceat(grey, rows, axis=0), columns, axis=1), grey.mean()
+    bits = (sums / size > mean).ravel()
+    return f"{mean:.3f}:{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
+
+
+@lru_cache(maxsize=1024)
+def cells(height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first rows and columns of eight by eight cells, and the cells' sizes."""
+    rows, columns = (np.minimum(np.arange(8) * n // 8, n - 1) for n in (height, width))
+    return rows, columns, np.outer(np.maximum(1, np.diff(np.r_[rows, height])), np.maximum(1, np.diff(np.r_[columns, width])))
 
 
 def to_media(docs: DataFrame) -> DataFrame:

@@ -172,3 +172,80 @@ def test_columns(spark):
     got = webp.from_media(webp.to_media(docs)).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, bytes(r.samples)) for r in got) == sorted((i or 0, len((t or "").encode()), webp.payload((t or "").encode())) for i, t in rows)
     assert webp.from_media(webp.to_media(docs.limit(0))).collect() == []
+
+
+def test_work_is_done_once(monkeypatch):
+    """The cache is looked up once an image, and code lengths are read several at a time."""
+    seen, steps = [], []
+    cached, step = webp.cached, webp.length_step
+    monkeypatch.setattr(webp, "cached", lambda *a: seen.append(a[2]) or cached(*a))
+    text = " ".join(f"word{i * i % 37} of the line {i % 11}" for i in range(400)).encode()
+    data = webp.stored(text)
+    assert len(seen) == 1
+    webp.opened(data)  # what the bits stand for is kept from now on
+    monkeypatch.setattr(webp, "length_step", lambda *a: steps.append(a) or step(*a))
+    assert webp.opened(data)[3] == webp.payload(text) and len(steps) < 30
+
+
+def test_lengths_at_a_time_equal_one_by_one(monkeypatch):
+    """Every symbol of code lengths, repeats of the one before included, across all lengths of the code."""
+    r = np.random.default_rng(5)
+    code = webp.code_of_lengths(tuple([4] * 13 + [5] * 6))
+    steps = webp.length_steps
+    for _ in range(40):
+        w = webp.Writer()
+        w.write(0, 1)
+        w.write(15, 4)
+        for i in webp.CODE_ORDER:
+            w.write(int(code.n[i]), 3)
+        w.write(0, 1)
+        want, before = [], 8
+        symbols = r.choice([1, 2, 3, 7, 9, 16, 16, 17, 18, 0], 60)
+        for s in symbols.tolist():
+            extra = {16: 2, 17: 3, 18: 7}.get(s, 0)
+            more = int(r.integers(0, 1 << extra))
+            w.write(int(code.written[s]) | more << int(code.n[s]), int(code.n[s]) + extra)
+            want += [s] if s < 16 else [before if s == 16 else 0] * ((11 if s == 18 else 3) + more)
+            before = s if 0 < s < 16 else before
+        data = w.bytes()
+        got = []
+        monkeypatch.setattr(webp, "PrefixCode", lambda n: got.append(n.tolist()))
+        for way in (steps, lambda code, window: (0, 0, b"", 0)):
+            code.steps.clear()
+            monkeypatch.setattr(webp, "length_steps", way)
+            webp.read_code(webp.Reader(data), len(want))
+        assert got == [want, want]
+        monkeypatch.undo()
+    code.steps.clear()
+
+
+@pytest.mark.parametrize("alpha", [0xFF000000, None])
+def test_fields_of_references(monkeypatch, alpha):
+    """A reference's distance in one field or two, images with alpha or without: the same bits."""
+    x = picture(192, 30, seed=3)
+    x[3000:4500] = x[20:1520]
+    x = x if alpha is None else x & np.uint32(0xFFFFFF) | np.uint32(alpha)
+    data = webp.encode(x, 192, ())
+    monkeypatch.setattr(webp, "MOST_BITS", 1)
+    assert webp.encode(x, 192, ()) == data and (webp.decode(data)[2] == x).all()
+
+
+def test_lengths_of_codes_are_least():
+    """Against the plain way to join the two lightest again and again."""
+    r = np.random.default_rng(1)
+    for n in (2, 3, 5, 40, 300):
+        for most in (1, 4, 1000):
+            counts = r.integers(0, most + 1, n)
+            weights, total = sorted(c for c in counts.tolist() if c), 0
+            if len(weights) < 2:
+                continue
+            lengths = webp.code_lengths(counts, 15)
+            while len(weights) > 1:
+                total += weights[0] + weights[1]
+                weights = sorted([weights[0] + weights[1], *weights[2:]])
+            assert (lengths * counts).sum() == total and sum(2.0 ** -int(k) for k in lengths[counts > 0]) == 1
+    fibonacci = [1, 1]
+    while len(fibonacci) < 25:
+        fibonacci.append(sum(fibonacci[-2:]))
+    lengths = webp.code_lengths(np.array(fibonacci), 15)
+    assert lengths.max() <= 15 and sum(2.0 ** -int(k) for k in lengths) == 1
