@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tailrace.llm import bpe, linededup, mixing, quality, registry, simhash
-from tailrace.llm.common import table, written
+from tailrace.llm.common import small_batches, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject. The model is learned from the labels
     of the corpus at sf_dir; null and empty texts are scored like any other."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,6 +24,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of SimHash near-duplicates: the smallest doc_id, there the smallest
     text. Rows without doc_id cannot be told apart and stay."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -34,6 +36,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of each document in the mix; an empty text has no tokens."""
+    small_batches(spark)
     return bpe.round_trip(docs, registry.tokenizer_path())
 
 

@@ -79,12 +79,13 @@ class Automaton:
         self.never = never
         # labels letter by letter; under INSIDE and LAST the token that ends there, without and with the suffix
         self.paths: dict = {}
+        seen: dict[int, bool] = {}
         for label, i in vocabulary.items():
             last = bool(suffix) and label.endswith(suffix)
             letters, node = label[: -len(suffix)] if last else label, self.paths
             for c in letters:
                 node = node.setdefault(c, {})
-            if letters and self.whole(i):
+            if letters and self.whole(i, seen):
                 node[LAST if last or not suffix else INSIDE] = i
                 if not suffix:
                     node[INSIDE] = i
@@ -139,10 +140,11 @@ class Automaton:
             at = begin[at]
         return out[::-1]
 
-    @lru_cache(maxsize=None)  # noqa: B019  one automaton lives as long as its process
-    def whole(self, token: int) -> bool:
-        """Whether merging a token's own symbols yields the token."""
-        return self.made[token] < 0 or (self.whole(self.left[token]) and self.whole(self.right[token]) and self.joins(token))
+    def whole(self, token: int, seen: dict[int, bool]) -> bool:
+        """Whether merging a token's own symbols yields the token. seen: what is known of other tokens."""
+        if token not in seen:
+            seen[token] = self.made[token] < 0 or (self.whole(self.left[token], seen) and self.whole(self.right[token], seen) and self.joins(token))
+        return seen[token]
 
     def joins(self, token: int) -> bool:
         """Whether the parts stay apart until the token's own rule joins them."""

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python stage turns into arrays at once; a longer text goes alone.
 BLOCK_BYTES = 4_000_000
+#: Spark's bound of an Arrow batch on its way to a Python worker. At its default of 64 MB a task holds
+#: such a batch in the JVM's buffers and in the worker, though the stages work on blocks.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have about BLOCK_BYTES, or one row. Rows and results stay
+    as they are; plans are made when a frame is written, so the setting stays too."""
+    spark.conf.set(BATCH_BYTES, str(BLOCK_BYTES))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column's values of a block have `most` bytes, or are one value."""
     for batch in batches:

@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def chosen(rows: list[tuple[int, int]]) -> DataFrame:
-        small = docs.sparkSession.createDataFrame(rows, "id long, quality int")
+        # an Arrow table becomes a local relation; a list would start a second daemon with workers of its own on each executor
+        small = docs.sparkSession.createDataFrame(pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "quality": pa.array([q for _, q in rows], pa.int32())}))
         return texts.join(F.broadcast(small), texts.doc_id == small.id).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     # no more rows than ids were chosen, whole
